@@ -41,29 +41,30 @@ def _as_text(df: DataFrame, name: str, canonical: bool) -> Column:
     return column.cast("string").alias(name)
 
 
-def survivors(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
-    """Distinct byte-identical lines: (raw, canon) digests, smallest and largest id, number of distinct ids.
+def survivors(df: DataFrame, id_column: str, content: list[str], counts: bool = True) -> DataFrame:
+    """Distinct byte-identical lines: (raw, canon) digests, smallest and largest id and, with ``counts``, the number of ids.
 
-    The ids of one line are made distinct before the count, so a hot line is spread over tasks by its ids.
+    To count, the ids of one line are made distinct first, so a hot line is spread over tasks by its ids.
     """
-    once = df.select(id_column, *content).groupBy(id_column, *content).agg(F.lit(1).alias("one"))
-    distinct = once.groupBy(*content).agg(F.min(id_column).alias("lo"), F.max(id_column).alias("hi"), F.sum("one").alias("n"))
-    return distinct.select(
-        _digest([_as_text(df, c, False) for c in content]).alias("raw"),
-        _digest([_as_text(df, c, True) for c in content]).alias("canon"),
-        "lo", "hi", "n",
-    )
+    bounds = [F.min(id_column).alias("lo"), F.max(id_column).alias("hi")]
+    if counts:
+        once = df.groupBy(id_column, *content).agg(F.lit(1).alias("one"))
+        distinct = once.groupBy(*content).agg(*bounds, F.sum("one").alias("n"))
+    else:
+        distinct = df.groupBy(*content).agg(*bounds)
+    digests = [_digest([_as_text(df, c, canonical) for c in content]).alias(name) for name, canonical in (("raw", False), ("canon", True))]
+    return distinct.select(*digests, "lo", "hi", *(["n"] if counts else []))
 
 
 def copy_classes(lines: DataFrame) -> DataFrame:
-    """(canon, id_a, hi, copies) of each class of ``survivors`` rows: its smallest id and its number of lines."""
-    return lines.groupBy("canon").agg(F.min("lo").alias("id_a"), F.max("hi").alias("hi"), F.sum("n").alias("copies"))
+    """(canon, id_a, copies) of each class of counted ``survivors`` rows: its smallest id and its number of lines."""
+    return lines.groupBy("canon").agg(F.min("lo").alias("id_a"), F.sum("n").alias("copies"))
 
 
 def copies(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
     """(id_a, id_b): for each class of copies its smallest id, with one row for each other id."""
-    lines = durable(survivors(df, id_column, content))
-    classes = copy_classes(lines).where("id_a < hi").select("canon", "id_a")
+    lines = durable(survivors(df, id_column, content, counts=False))
+    classes = lines.groupBy("canon").agg(F.min("lo").alias("id_a"), F.max("hi").alias("hi")).where("id_a < hi").select("canon", "id_a")
     members = lines.join(classes, "canon").select("raw", "id_a")
     keyed = df.select(F.col(id_column).alias("id_b"), _digest([_as_text(df, c, False) for c in content]).alias("raw"))
     return keyed.join(members, "raw").where("id_b <> id_a").select("id_a", "id_b").distinct()
