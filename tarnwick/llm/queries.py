@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import dedupe, splits
+from tarnwick.llm import canonical, dedupe, encoding, splits
 from tarnwick.session import table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
 NOT_CONTENT = ("log_id", "image_id", "logged_at", "arrived_at")
+TOKENIZERS = "/opt/tokenizers"
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
@@ -19,6 +20,18 @@ def _content(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_CONTENT]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tips = table(spark, sf_dir, "tree_tips").select(F.col("tip_label").alias("entry"))
+    methods = table(spark, sf_dir, "match_methods").select(F.col("method").alias("entry"))
+    lists = [(["visual_label", "matched_tree_tip"], tips, True), (["match_method"], methods, False)]
+    return canonical.match_fields(table(spark, sf_dir, "tree_tip_matching_audit"), "audit_id", lists)
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the typed values that mean no entry: (field, rows)."""
+    return p1_found(spark, sf_dir).where("entry = ''").groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name in LOGS:
@@ -47,4 +60,16 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.join(splits.group_splits(images, SHARES).select("group_key", "split"), "group_key").select("image_id", "group_key", "split")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p4_splits)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tokens, same): number of ids of each document and whether decoding them gives its text again."""
+    docs, path = table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    ids = encoding.encode(docs, "doc_id", "text", path)
+    back = encoding.decode(ids, "doc_id", "ids", path)
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was")).join(back.select("doc_id", F.md5("text").alias("now")), "doc_id").select("doc_id", (F.col("was") == F.col("now")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p4_found, p4_splits, p6_ids, p6_roundtrip)}
