@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import canonical, dedupe, encoding, splits
+from tarnwick.llm import canonical, dedupe, encoding, splits, vectors
 from tarnwick.session import table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
@@ -50,6 +50,31 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+FIELDS = {"hue_hist": 18, "gabor": 24}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "knn_queries").select(F.col("feature_id").alias("id"))
+    return _knn(table(spark, sf_dir, "image_features"), asked)
+
+
+def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every row whose id is divisible by 100, against all rows: (field, query, id, distance)."""
+    rows = table(spark, sf_dir, "image_features")
+    asked = rows.select(F.col("feature_id").alias("id")).where("id % 100 = 0")
+    parts = [vectors.nearest(rows, asked, "feature_id", f, w, 5).select(F.lit(f).alias("field"), "query", "id", "distance") for f, w in FIELDS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _knn(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    parts = []
+    for field, width in FIELDS.items():
+        near = vectors.nearest(rows, asked, "feature_id", field, width, 5)
+        ends = (F.least("query", "id").alias("id_a"), F.greatest("query", "id").alias("id_b"))
+        parts.append(near.select(F.lit(field).alias("field"), *ends).distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.image_groups(table(spark, sf_dir, "annotation_log"))
 
@@ -72,4 +97,4 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was")).join(back.select("doc_id", F.md5("text").alias("now")), "doc_id").select("doc_id", (F.col("was") == F.col("now")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p4_found, p4_splits, p6_ids, p6_roundtrip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p6_ids, p6_roundtrip)}
