@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import canonical, dedupe, encoding, splits, vectors
-from tarnwick.session import table
+from tarnwick.llm import canonical, clusters, dedupe, encoding, splits, vectors
+from tarnwick.session import durable, table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
 NOT_CONTENT = ("log_id", "image_id", "logged_at", "arrived_at")
@@ -85,6 +85,21 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.join(splits.group_splits(images, SHARES).select("group_key", "split"), "group_key").select("image_id", "group_key", "split")
 
 
+def _coloured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = durable(clusters.points(table(spark, sf_dir, "image_features"), "feature_id", "dom_colours", "dorsal_ventral"))
+    return rows, clusters.members(clusters.cluster(rows, radius=0.25, share_gap=0.002), least=3)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coloured(spark, sf_dir)[1].select(F.col("id").alias("feature_id"), "cluster_id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size, medoid and five most typical rows."""
+    rows, grouped = _coloured(spark, sf_dir)
+    return clusters.describe(rows, durable(grouped), typical=5)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -97,4 +112,4 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was")).join(back.select("doc_id", F.md5("text").alias("now")), "doc_id").select("doc_id", (F.col("was") == F.col("now")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p6_ids, p6_roundtrip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p5_found, p5_clusters, p6_ids, p6_roundtrip)}
