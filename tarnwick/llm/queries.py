@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import canonical, clusters, dedupe, encoding, splits, vectors
+from tarnwick.llm import canonical, clusters, dedupe, encoding, leakage, splits, vectors
 from tarnwick.session import durable, table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
@@ -112,4 +112,19 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was")).join(back.select("doc_id", F.md5("text").alias("now")), "doc_id").select("doc_id", (F.col("was") == F.col("now")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p5_found, p5_clusters, p6_ids, p6_roundtrip)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _leaks(spark, sf_dir).where("sentences >= least(2, of)")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the leaked items: (item_id, documents, whole), the documents that hold it and those that hold all of it."""
+    found = _leaks(spark, sf_dir).where("sentences >= least(2, of)")
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("sentences") == F.col("of")).alias("whole"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p5_found, p5_clusters, p6_ids, p6_roundtrip, p7_found, p7_items)}
