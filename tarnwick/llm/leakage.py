@@ -111,12 +111,19 @@ def _windows(tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, found
 
 
+def _short(limit: int):
+    """Drops a short match (a note on the text), keeps the inside of a long one (a quotation)."""
+    return lambda m: " " if len(m[0]) <= limit else " " + m[0][2:-2] + " "
+
+
 def plain_words(text: str) -> list[str]:
-    """Folded words of a text without markup; words cut at a line's end are joined."""
+    """Folded words of a text without markup; words cut at a line's end are joined, long templates keep their content."""
     text = html.unescape(text)
-    text = re.sub(r"<ref[^>]*/>|<ref[^>]*>.*?</ref>|<!--.*?-->|<[^>]{1,80}>", " ", text, flags=re.S)
+    text = re.sub(r"<ref[^>]*/>", " ", text)
+    text = re.sub(r"<ref[^>]*>.*?</ref>", _short(200), text, flags=re.S)
     for _ in range(3):
-        text = re.sub(r"\{\{[^{}]*\}\}", " ", text)
+        text = re.sub(r"\{\{[^{}]*\}\}", _short(80), text)
+    text = re.sub(r"</?[A-Za-z][^>]{0,80}>", " ", text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", text)
     text = re.sub(r"[-‐]\s*\r?\n\s*(?=\w)", "", text)
     return "".join(map(_fold_cached, text)).split()
