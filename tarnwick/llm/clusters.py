@@ -14,6 +14,7 @@ other row form clusters of one; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
 
@@ -108,7 +109,7 @@ def buckets(rows: np.ndarray, seed: int, tables: int, bits: int, width: float) -
 
 
 def points(rows: DataFrame, id_column: str, colours: str, sides: str) -> DataFrame:
-    """(id, x): the 26 compared values of each sound row, once for each id."""
+    """(id, x): the 26 compared values of each sound row, packed in single precision, once for each id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +117,22 @@ def points(rows: DataFrame, id_column: str, colours: str, sides: str) -> DataFra
             also, right = matrix(batch.column(2), 9)
             both, i, j = np.intersect1d(at, also, return_indices=True)
             x = np.hstack([left[i], right[j, :6]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both)), _lists(x)], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both)), _packed(x)], ["id", "x"])
 
     plain = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), colours, sides)
-    return plain.mapInArrow(run, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x"))
+    return plain.mapInArrow(run, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    size = 4 * WIDTH
+    data = np.ascontiguousarray(x, np.float32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * size, size, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of a packed column; values stored with six decimals come back as they were."""
+    values = np.frombuffer(b"".join(column.to_pylist()), np.float32)
+    return np.round(values.astype(np.float64), 6).reshape(-1, WIDTH)
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -134,7 +147,7 @@ def _order(column: str) -> Column:
 def _in_buckets(rows: DataFrame, hashes: Callable[[np.ndarray], np.ndarray], share_gap: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), WIDTH)[1]
+            x = _unpacked(batch.column(1))
             at, every = variants(x, share_gap)
             found = hashes(every)
             ids = np.repeat(batch.column(0).to_numpy()[at], found.shape[1])
@@ -148,7 +161,7 @@ def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, radius: float
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = distances(matrix(batch.column(2), WIDTH)[1], matrix(batch.column(3), WIDTH)[1], share_gap)
+            apart = distances(_unpacked(batch.column(2)), _unpacked(batch.column(3)), share_gap)
             close = pa.array(np.flatnonzero(apart < radius))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(apart).take(close)], ["id", "other", "distance"])
 
@@ -164,9 +177,9 @@ def _meet(placed: DataFrame, leaders: DataFrame) -> DataFrame:
     return left.join(right, ["bucket", "salt"]).where("id <> other").select("id", "other").distinct()
 
 
-def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables: int) -> DataFrame:
+def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
     """(id, pivot) of the rows that one round settles."""
-    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, 8, 1.2 * radius), share_gap))
+    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, 1.2 * radius), share_gap))
     leaders = placed.groupBy("bucket").agg(F.min(_order("id"))["id"].alias("other"))
     heads = durable(leaders.select(F.col("other").alias("id")).distinct().join(free, "id"))
     close = durable(_compare(_meet(placed, leaders), free, heads, radius, share_gap))
@@ -176,30 +189,35 @@ def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables:
     return durable(taken.join(pivots.select(F.col("other").alias("id")), "id", "left_anti").union(pivots.select("other", "other")))
 
 
-def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables: int, max_rounds: int) -> DataFrame:
+def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int, max_rounds: int) -> DataFrame:
     free, settled = rows, []
     while not free.isEmpty():
         if len(settled) >= max_rounds:
             raise RuntimeError(f"rows are free after {max_rounds} rounds")
-        settled.append(_round(free, radius, share_gap, seed + len(settled), tables))
+        settled.append(_round(free, radius, share_gap, seed + len(settled), tables, bits))
         free = durable(free.join(settled[-1].select("id"), "id", "left_anti"))
     return reduce(DataFrame.union, settled) if settled else rows.select("id", F.col("id").alias("pivot"))
 
 
-def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 8, merge_tables: int = 24, max_rounds: int = 60) -> DataFrame:
-    """(id, pivot, distance) of each row of ``points``; rows of one cluster share the pivot."""
-    first = durable(_settle(rows, radius, share_gap, 1, tables, max_rounds))
+def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, merge_tables: int = 24, max_rounds: int = 60) -> DataFrame:
+    """(id, pivot) of each row of ``points``; rows of one cluster share the pivot.
+
+    The bits of a bucket grow with the logarithm of the rows, so a bucket holds few clusters at any size.
+    """
+    bits = min(14, max(4, round(math.log(max(2, rows.count())) / 1.2)))
+    first = durable(_settle(rows, radius, share_gap, 1, tables, bits, max_rounds))
     heads = durable(rows.join(first.select(F.col("pivot").alias("id")).distinct(), "id"))
-    merged = _settle(heads, radius, share_gap, 1001, merge_tables, max_rounds)
+    merged = durable(_settle(heads, radius, share_gap, 1001, merge_tables, bits, max_rounds))
     told = durable(first.join(merged.select(F.col("id").alias("pivot"), F.col("pivot").alias("top")), "pivot").select("id", F.col("top").alias("other")))
     centres = durable(rows.join(told.select(F.col("other").alias("id")).distinct(), "id"))
-    hashes = lambda x: buckets(x, 2001, tables, 8, 1.2 * radius)
+    hashes = lambda x: buckets(x, 2001, tables, bits + 2, 1.2 * radius)
     seen = _meet(_in_buckets(rows, hashes, share_gap), _in_buckets(centres, hashes, share_gap).select("bucket", F.col("id").alias("other")).distinct())
-    close = _compare(seen.union(told.where("id <> other")).distinct(), rows, centres, radius, share_gap)
-    closest = close.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best")).select("id", F.col("best.other").alias("pivot"), F.col("best.distance").alias("distance"))
-    own = centres.select("id", F.col("id").alias("pivot"), F.lit(0.0).alias("distance"))
-    moved = own.unionByName(closest.join(centres.select("id"), "id", "left_anti"))
-    return moved.unionByName(told.join(moved.select("id"), "id", "left_anti").select("id", F.col("id").alias("pivot"), F.lit(0.0).alias("distance")))
+    # Only members that meet another pivot than their own have a choice.
+    rival = durable(seen.join(told, ["id", "other"], "left_anti").join(centres.select("id"), "id", "left_anti"))
+    choice = rival.union(told.join(rival.select("id").distinct(), "id", "left_semi"))
+    close = _compare(choice, rows, centres, radius, share_gap)
+    best = close.groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("best"))
+    return told.join(best, "id", "left").select("id", F.coalesce("best", "other").alias("pivot"))
 
 
 def members(clustered: DataFrame, least: int) -> DataFrame:
@@ -216,7 +234,7 @@ def describe(rows: DataFrame, grouped: DataFrame, typical: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(_embed(matrix(batch.column(2), WIDTH)[1]))], ["id", "cluster_id", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(_embed(_unpacked(batch.column(2))))], ["id", "cluster_id", "e"])
 
     size = WIDTH + len(HUES)
     placed = rows.join(grouped, "id").select("id", "cluster_id", "x").mapInArrow(run, "id long, cluster_id long, e array<double>")
