@@ -186,13 +186,13 @@ def judge(item: str, words: list[str], share: float) -> tuple[int, float, int, i
         places.setdefault(word, []).append(p)
     found = [_align(plain_words(s), words, places) for s in passages(item)]
     best, run, low = (0, 0.0), 0, 1.0
-    last = -1
+    begun = last = -1
     for got, first, end, _ in found:
-        if got >= share and run and -3 <= first - last <= 12:
+        if got >= share and run and begun < first <= last + 12 and last < end:
             run, low = run + 1, min(low, got)
         else:
             run, low = (1, got) if got >= share else (0, 1.0)
-        last = end
+        begun, last = first, end
         best = max(best, (run, low if run else 0.0))
     changed = [g for _, _, _, gaps in found for g in gaps if not _same(*g)]
     told: dict[str, set[str]] = {}
