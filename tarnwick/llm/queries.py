@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import canonical, clusters, dedupe, encoding, leakage, splits, vectors
+from tarnwick.llm import canonical, clusters, dedupe, encoding, language, leakage, splits, vectors
 from tarnwick.session import durable, table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
@@ -127,4 +127,21 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("sentences") == F.col("of")).alias("whole"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p5_found, p5_clusters, p6_ids, p6_roundtrip, p7_found, p7_items)}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.document_languages(docs, "doc_id", "text", "lang", language.fit(docs, "doc_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir).where("languages > 1 or label is null or label <> lang")
+    return found.select(F.col("id").alias("doc_id"), "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of running text with its language and confidence."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.document_segments(docs, "doc_id", "text", language.fit(docs, "doc_id", "text", "lang"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p3_found, p3_knn, p4_found, p4_splits, p5_found, p5_clusters, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found, p8_segments)}
