@@ -199,7 +199,7 @@ def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables:
     return reduce(DataFrame.union, settled) if settled else rows.select("id", F.col("id").alias("pivot"))
 
 
-def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, merge_tables: int = 24, max_rounds: int = 60) -> DataFrame:
+def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, merge_tables: int = 16, max_rounds: int = 60) -> DataFrame:
     """(id, pivot) of each row of ``points``; rows of one cluster share the pivot.
 
     The bits of a bucket grow with the logarithm of the rows, so a bucket holds few clusters at any size.
@@ -207,10 +207,10 @@ def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, m
     bits = min(14, max(4, round(math.log(max(2, rows.count())) / 1.2)))
     first = durable(_settle(rows, radius, share_gap, 1, tables, bits, max_rounds))
     heads = durable(rows.join(first.select(F.col("pivot").alias("id")).distinct(), "id"))
-    merged = durable(_settle(heads, radius, share_gap, 1001, merge_tables, bits, max_rounds))
+    merged = durable(_settle(heads, radius, share_gap, 1001, merge_tables, bits + 3, max_rounds))
     told = durable(first.join(merged.select(F.col("id").alias("pivot"), F.col("pivot").alias("top")), "pivot").select("id", F.col("top").alias("other")))
     centres = durable(rows.join(told.select(F.col("other").alias("id")).distinct(), "id"))
-    hashes = lambda x: buckets(x, 2001, tables, bits + 2, 1.2 * radius)
+    hashes = lambda x: buckets(x, 2001, tables, bits + 6, 1.2 * radius)
     seen = _meet(_in_buckets(rows, hashes, share_gap), _in_buckets(centres, hashes, share_gap).select("bucket", F.col("id").alias("other")).distinct())
     # Only members that meet another pivot than their own have a choice.
     rival = durable(seen.join(told, ["id", "other"], "left_anti").join(centres.select("id"), "id", "left_anti"))
