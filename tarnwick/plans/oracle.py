@@ -74,7 +74,7 @@ SQL = {
     "composite_key": f"WITH {_FEATURES} SELECT genus || ' ' || species AS key, count(*) AS n FROM feats WHERE genus IS NOT NULL AND species IS NOT NULL GROUP BY 1",
     "selected_features": f"WITH {_FEATURES} SELECT feature_id, len(f) AS n, round(list_sum(f), 6) AS total, round(f[10], 6) AS tenth FROM (SELECT feature_id, {' || '.join(_SIGNAL)} AS f FROM feats WHERE {_where(*_SIGNAL)})",
     "finite_values": f"""WITH {_FEATURES} SELECT feature_id, len(list_filter(gabor, lambda v: isnan(v) OR isinf(v))) AS bad,
-      round(coalesce(list_sum(list_transform(gabor, lambda v: CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.0 ELSE v END)), 0.0), 4) AS total FROM feats WHERE gabor IS NOT NULL""",
+      round(coalesce(list_sum(list_transform(gabor, lambda v: CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.0 ELSE v END)), 0.0), 6) AS total FROM feats WHERE gabor IS NOT NULL""",
     "quality_gate": """SELECT CASE WHEN sam_score < 0.70 OR mask_area_frac < 0.10 OR mask_area_frac > 0.90 THEN 'LOW_CONFIDENCE' WHEN sam_score IS NULL THEN 'FAILED' ELSE 'OK' END AS gate,
       CASE WHEN sam_score < 0.70 THEN 'score' WHEN mask_area_frac < 0.10 THEN 'small' WHEN mask_area_frac > 0.90 THEN 'large' ELSE '' END AS reason, upper(status) AS status, count(*) AS n FROM annotation_log GROUP BY 1, 2, 3""",
     "size_gate": "SELECT genus, count(*) FILTER (n_fish_pixels < 100000) AS small, count(*) FILTER (n_fish_pixels >= 100000) AS large, count(*) FILTER (n_fish_pixels IS NULL) AS missing FROM extraction_log GROUP BY 1",
@@ -120,7 +120,7 @@ SQL = {
     "status_counts": " UNION ALL ".join(f"SELECT '{t}' AS tbl, status, count(*) AS n FROM (SELECT DISTINCT log_id, upper(status) AS status FROM {t}) GROUP BY 2" for t in _LOGS),
     "genus_counts": "SELECT genus, count(*) AS total, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status <> 'OK') AS failed FROM (SELECT DISTINCT log_id, lower(trim(genus)) AS genus, upper(status) AS status FROM standardization_log) GROUP BY 1",
     "genus_mean_vector": f"WITH {_FEATURES} SELECT genus, count(*) AS n, round(avg(gabor[1]), 5) AS m0, round(avg(gabor[12]), 5) AS m11, round(avg(gabor[24]), 5) AS m23 FROM feats WHERE genus IS NOT NULL AND {_sound('gabor')} GROUP BY 1",
-    "genus_entropy": f"WITH {_FEATURES} SELECT genus, round(avg(entropy[1]), 6) AS mean, min(entropy[1]) AS low, max(entropy[1]) AS high, count(*) AS n FROM feats WHERE genus IS NOT NULL AND {_sound('entropy')} GROUP BY 1",
+    "genus_entropy": f"WITH {_FEATURES} SELECT genus, round(avg(entropy[1]), 9) AS mean, min(entropy[1]) AS low, max(entropy[1]) AS high, count(*) AS n FROM feats WHERE genus IS NOT NULL AND {_sound('entropy')} GROUP BY 1",
     "slice_variance": f"WITH {_FEATURES} SELECT CAST((i - 1) // 6 AS INT) AS angle, round(var_pop(gabor[i]), 3) AS variance, min(gabor[i]) AS low FROM feats, range(1, 25) AS r(i) WHERE {_sound('gabor')} GROUP BY 1",
     "density_histogram": """WITH c AS (SELECT event_type, CAST(least(floor(value / 25.0), 19) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1, 2),
       t AS (SELECT event_type, sum(n) AS total FROM c GROUP BY 1)
@@ -128,16 +128,16 @@ SQL = {
     "cluster_frequencies": "SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM embeddings GROUP BY 1",
     "dorsal_ventral": """WITH p AS (SELECT *, floor((min(l_linenumber) OVER w + max(l_linenumber) OVER w) / 2) AS mid FROM lineitem WHERE l_returnflag = 'R' WINDOW w AS (PARTITION BY l_suppkey)),
       m AS (SELECT l_suppkey, coalesce(avg(l_discount) FILTER (l_linenumber < mid), 0) AS uh, coalesce(avg(l_discount) FILTER (l_linenumber >= mid), 0) AS lh, coalesce(avg(l_tax) FILTER (l_linenumber < mid), 0) AS us, coalesce(avg(l_tax) FILTER (l_linenumber >= mid), 0) AS ls FROM p GROUP BY 1)
-      SELECT l_suppkey, round(uh, 6) AS up_h, round(lh, 6) AS low_h, round(us, 6) AS up_s, round(ls, 6) AS low_s, round(uh - lh, 6) AS diff_h, round(us - ls, 6) AS diff_s FROM m""",
+      SELECT l_suppkey, round(uh, 9) AS up_h, round(lh, 9) AS low_h, round(us, 9) AS up_s, round(ls, 9) AS low_s, round(uh - lh, 9) AS diff_h, round(us - ls, 9) AS diff_s FROM m""",
     "energy_stats": f"WITH {_FEATURES} SELECT CAST(i - 1 AS INT) AS pos, round(avg(gabor[i]), 5) AS mean, round(stddev_pop(gabor[i]), 5) AS deviation FROM feats, range(1, 25) AS r(i) WHERE {_sound('gabor')} GROUP BY 1",
     "best_filter": f"""WITH {_FEATURES}, e AS (SELECT feature_id, k, gabor[2 * k + 1] AS e FROM feats, range(12) AS r(k) WHERE {_sound('gabor')})
       SELECT feature_id, CAST(k // 3 AS INT) AS angle, CAST(k % 3 AS INT) AS frequency, e AS energy FROM e QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY e DESC, k) = 1""",
     "confusion": f"WITH {_PREDICTED}, {_COUNTS} {_measures('counts')}",
-    "macro_average": f"WITH {_PREDICTED}, {_COUNTS}, m AS ({_measures('counts')}) SELECT count(*) AS n, " + ", ".join(f"round(avg({x}), 6) AS {x}" for x in ("accuracy", "precision", "recall", "f1", "iou")) + " FROM m",
+    "macro_average": f"WITH {_PREDICTED}, {_COUNTS}, m AS ({_measures('counts')}) SELECT count(*) AS n, " + ", ".join(f"round(avg({x}), 9) AS {x}" for x in ("accuracy", "precision", "recall", "f1", "iou")) + " FROM m",
     "micro_average": f"""WITH {_PREDICTED}, {_COUNTS}, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn FROM counts), m AS ({_measures('s', '')})
       SELECT * REPLACE (round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 4) AS f1) FROM m""",
     "mask_average_precision": f"WITH {_PREDICTED}, {_COUNTS}, m AS ({_measures('counts')}) SELECT l_suppkey % 5 AS part, round(avg(len(list_filter(range(10, 20), lambda k: iou >= k / 20)) / 10), 6) AS ap FROM m GROUP BY 1",
-    "summary_rows": f"WITH {_PREDICTED}, {_COUNTS}, m AS ({_measures('counts')}) SELECT CAST(l_suppkey AS VARCHAR) AS name, iou, tp FROM m UNION ALL SELECT 'MACRO', round(avg(iou), 6), NULL FROM m",
+    "summary_rows": f"WITH {_PREDICTED}, {_COUNTS}, m AS ({_measures('counts')}) SELECT CAST(l_suppkey AS VARCHAR) AS name, iou, tp FROM m UNION ALL SELECT 'MACRO', round(avg(iou), 9), NULL FROM m",
     "bounding_boxes": """SELECT l_suppkey, CAST(x AS DOUBLE) AS x, y, CAST(x1 - x AS DOUBLE) AS width, y1 - y AS height, area, round(area / n, 6) AS fraction FROM (
       SELECT l_suppkey, min(l_linenumber) FILTER (l_returnflag = 'R') AS x, max(l_linenumber) FILTER (l_returnflag = 'R') AS x1, min(l_quantity) FILTER (l_returnflag = 'R') AS y, max(l_quantity) FILTER (l_returnflag = 'R') AS y1,
       count(*) FILTER (l_returnflag = 'R') AS area, count(*) AS n FROM lineitem GROUP BY 1)""",
@@ -202,7 +202,7 @@ SQL = {
       side AS (SELECT 0 AS tree, parent AS p, label FROM nodes UNION ALL SELECT 1, (node - 100) // 5 + 10, label FROM nodes),
       grp AS (SELECT tree, p, list_sort(list(label)) AS s FROM side GROUP BY 1, 2), every_ AS (SELECT list_sort(list(label)) AS e FROM nodes),
       split AS (SELECT DISTINCT tree, array_to_string(CASE WHEN list_contains(s, l) THEN list_filter(e, lambda x: NOT list_contains(s, x)) ELSE s END, '|') AS split FROM grp, every_, first_ WHERE len(s) > 1 AND len(e) - len(s) > 1)
-      SELECT (SELECT count(*) FROM (SELECT split FROM split GROUP BY 1 HAVING count(*) = 1)) AS distance, round(distance / (2 * (n - 3)), 6) AS share FROM first_""",
+      SELECT distance, round(distance / (2 * (n - 3)), 6) AS share FROM first_, (SELECT count(*) AS distance FROM (SELECT split FROM split GROUP BY 1 HAVING count(*) = 1))""",
     "html_report": """WITH r AS (SELECT coalesce(source, '') AS source, coalesce(title, '') AS title, CAST(count(*) AS VARCHAR) AS n FROM documents WHERE rev_no = 1 GROUP BY coalesce(source, ''), title)
       SELECT source, '<section>' || string_agg('<div><h3>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h3><p>' || n || '</p></div>', '' ORDER BY title) || '</section>' AS html FROM r GROUP BY 1""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, count(*) FILTER (value < 50) AS low, count(*) FILTER (value BETWEEN 50 AND 400) AS ok, count(*) FILTER (value > 400) AS high FROM events GROUP BY 1",

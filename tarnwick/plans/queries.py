@@ -91,7 +91,7 @@ def finite_values(spark, d):
     bad = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
     count = F.size(F.filter("gabor", bad))
     total = N.array_sum(F.transform("gabor", lambda v: F.coalesce(N.finite_or_zero(v), F.lit(0.0))))
-    return rows.select("feature_id", count.alias("bad"), _r(total, 4).alias("total"))
+    return rows.select("feature_id", count.alias("bad"), _r(total, 6).alias("total"))
 
 
 @query
@@ -261,7 +261,7 @@ def genus_mean_vector(spark, d):
 @query
 def genus_entropy(spark, d):
     rows = sound_features(spark, d, ["entropy"]).where("genus is not null").withColumn("e", F.col("entropy")[0])
-    return rows.groupBy("genus").agg(_r(F.avg("e")).alias("mean"), F.min("e").alias("low"), F.max("e").alias("high"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("genus").agg(_r(F.avg("e"), 9).alias("mean"), F.min("e").alias("low"), F.max("e").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -286,7 +286,7 @@ def cluster_frequencies(spark, d):
 def dorsal_ventral(spark, d):
     pixels = table(spark, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_discount", "h").withColumnRenamed("l_tax", "s")
     means = A.region_means(pixels, "l_suppkey", "l_linenumber", ["h", "s"])
-    return means.select("l_suppkey", *[_r(F.col(c)).alias(c) for c in means.columns[1:]])
+    return means.select("l_suppkey", *[_r(F.col(c), 9).alias(c) for c in means.columns[1:]])
 
 
 @query
@@ -317,7 +317,7 @@ def confusion(spark, d):
 def macro_average(spark, d):
     names = ["accuracy", "precision", "recall", "f1", "iou"]
     means = A.macro(confusion(spark, d), names)
-    return means.select("n", *[_r(F.col(n)).alias(n) for n in names])
+    return means.select("n", *[_r(F.col(n), 9).alias(n) for n in names])
 
 
 @query
@@ -334,7 +334,7 @@ def mask_average_precision(spark, d):
 @query
 def summary_rows(spark, d):
     rows = confusion(spark, d).select(F.col("l_suppkey").cast("string").alias("name"), "iou", "tp")
-    summary = rows.agg(F.lit("MACRO").alias("name"), _r(F.avg("iou")).alias("iou"))
+    summary = rows.agg(F.lit("MACRO").alias("name"), _r(F.avg("iou"), 9).alias("iou"))
     return sinks.with_summary(rows, [summary])
 
 
