@@ -160,7 +160,9 @@ def match(values: DataFrame, entries: DataFrame, names: bool) -> DataFrame:
         epithets = entries.select("entry", F.element_at(F.split(low, "_"), -1).alias("word"), F.element_at(F.split(low, "_"), 1).alias("genus"))
         known = whole.union(epithets)
     limit = F.least(F.lit(3), F.floor(F.length("key") / 4)).cast("int")
-    keys = forms.select("key").distinct().withColumn("most", limit)
+    longest = known.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"))
+    # A key longer than every entry by more than the limit lies within no entry's reach.
+    keys = forms.select("key").distinct().join(F.broadcast(longest)).where("length(key) <= longest + 3").select("key", limit.alias("most"))
     exact = known.select(F.col("word").alias("key"), "word", F.lit(0).alias("distance")).distinct().join(keys.select("key"), "key", "left_semi")
     open_keys = durable(keys.join(known.select(F.col("word").alias("key")), "key", "left_anti"))
     near = within(open_keys, known.select("word").distinct())

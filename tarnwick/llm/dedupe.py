@@ -34,11 +34,18 @@ def _digest(columns: list[Column]) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
 
 
-def _as_text(df: DataFrame, name: str, canonical: bool) -> Column:
-    column = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return (canonical_text(column) if canonical else column).alias(name)
-    return column.cast("string").alias(name)
+def _content(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
+    """``id`` and the content under plain names, so that no column of the table clashes with those made here."""
+    return df.select(F.col(f"`{id_column}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(content)])
+
+
+def _texts(df: DataFrame, canonical: bool) -> list[Column]:
+    def text(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, T.StringType):
+            return canonical_text(F.col(name)) if canonical else F.col(name)
+        return F.col(name).cast("string")
+
+    return [text(c).alias(c) for c in df.columns if c.startswith("c")]
 
 
 def survivors(df: DataFrame, id_column: str, content: list[str], counts: bool = True) -> DataFrame:
@@ -46,14 +53,14 @@ def survivors(df: DataFrame, id_column: str, content: list[str], counts: bool =
 
     To count, the ids of one line are made distinct first, so a hot line is spread over tasks by its ids.
     """
-    bounds = [F.min(id_column).alias("lo"), F.max(id_column).alias("hi")]
+    rows = _content(df, id_column, content)
+    keys = rows.columns[1:]
+    bounds = [F.min("id").alias("lo"), F.max("id").alias("hi")]
     if counts:
-        once = df.groupBy(id_column, *content).agg(F.lit(1).alias("one"))
-        distinct = once.groupBy(*content).agg(*bounds, F.sum("one").alias("n"))
+        distinct = rows.groupBy("id", *keys).agg(F.lit(1).alias("one")).groupBy(*keys).agg(*bounds, F.sum("one").alias("n"))
     else:
-        distinct = df.groupBy(*content).agg(*bounds)
-    digests = [_digest([_as_text(df, c, canonical) for c in content]).alias(name) for name, canonical in (("raw", False), ("canon", True))]
-    return distinct.select(*digests, "lo", "hi", *(["n"] if counts else []))
+        distinct = rows.groupBy(*keys).agg(*bounds)
+    return distinct.select(_digest(_texts(rows, False)).alias("raw"), _digest(_texts(rows, True)).alias("canon"), "lo", "hi", *(["n"] if counts else []))
 
 
 def copy_classes(lines: DataFrame) -> DataFrame:
@@ -66,5 +73,6 @@ def copies(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
     lines = durable(survivors(df, id_column, content, counts=False))
     classes = lines.groupBy("canon").agg(F.min("lo").alias("id_a"), F.max("hi").alias("hi")).where("id_a < hi").select("canon", "id_a")
     members = lines.join(classes, "canon").select("raw", "id_a")
-    keyed = df.select(F.col(id_column).alias("id_b"), _digest([_as_text(df, c, False) for c in content]).alias("raw"))
+    rows = _content(df, id_column, content)
+    keyed = rows.select(F.col("id").alias("id_b"), _digest(_texts(rows, False)).alias("raw"))
     return keyed.join(members, "raw").where("id_b <> id_a").select("id_a", "id_b").distinct()

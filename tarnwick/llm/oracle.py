@@ -32,7 +32,7 @@ named AS (
   FROM (SELECT image_id, species, nullif(regexp_replace(lower(genus), '[^\p{L}]+', '', 'g'), '') AS gen FROM annotation_log WHERE image_id IS NOT NULL AND species IS NOT NULL)
 ),
 told AS (
-  SELECT image_id, w, coalesce(gen, CASE WHEN len(w) > 1 THEN CASE WHEN regexp_matches(species, '^\s*\p{L}+\s*,') THEN w[len(w)] ELSE w[1] END END) AS g FROM named
+  SELECT image_id, w, coalesce(gen, CASE WHEN len(w) > 1 THEN CASE WHEN regexp_matches(species, '^\s*\p{L}+\s*,|^\s*\p{Ll}+[\s_-]+\p{Lu}\p{Ll}') THEN w[len(w)] ELSE w[1] END END) AS g FROM named
 ),
 rest AS (SELECT image_id, g, list_filter(w, lambda x: x <> g AND NOT (len(x) <= 4 AND starts_with(g, x)))[1] AS e FROM told),
 pairs AS (

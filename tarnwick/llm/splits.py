@@ -18,14 +18,15 @@ def species_name(genus: Column, species: Column) -> Column:
     """Lower-case genus, one blank, lower-case epithet, from a genus and a species written unevenly.
 
     Words are runs of letters, split at a change from lower to upper case. The genus is that of its own column
-    if given; else the last word where a comma follows the epithet, else the first word. The epithet is the
+    if given; else the last word where a comma follows the epithet or only the last word is capitalised, else the
+    first word. The epithet is the
     first word that is not the genus, its repetition or an initial of it. Null if the species is null or blank,
     or if no genus is given anywhere.
     """
     parted = F.regexp_replace(species, r"(\p{Ll})(\p{Lu}\p{Ll})", "$1 $2")
     words = F.filter(F.split(F.lower(parted), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     own = F.nullif(F.regexp_replace(F.lower(genus), r"[^\p{L}]+", ""), F.lit(""))
-    told = F.when(F.size(words) > 1, F.when(species.rlike(r"^\s*\p{L}+\s*,"), F.element_at(words, -1)).otherwise(F.element_at(words, 1)))
+    told = F.when(F.size(words) > 1, F.when(species.rlike(r"^\s*\p{L}+\s*,|^\s*\p{Ll}+[\s_-]+\p{Lu}\p{Ll}"), F.element_at(words, -1)).otherwise(F.element_at(words, 1)))
     name = F.coalesce(own, told)
     rest = F.filter(words, lambda w: (w != name) & ~((F.length(w) <= 4) & F.startswith(name, w)))
     epithet = F.get(rest, F.lit(0))

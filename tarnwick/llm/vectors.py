@@ -115,7 +115,7 @@ def _coded(rows: DataFrame, id_column: str, column: str, width: int, model, cell
             codes = model.value.encode(np.repeat(values, near.shape[1], axis=0), home)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(home, pa.int32()), pa.array(codes, pa.int64())], ["id", "cell", "code"])
 
-    plain = rows.where(f"{id_column} is not null").select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
+    plain = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
     return plain.mapInArrow(run, "id long, cell int, code long")
 
 
@@ -125,13 +125,13 @@ def _substring(code: str, number) -> F.Column:
 
 def nearest(rows: DataFrame, queries: DataFrame, id_column: str, column: str, width: int, k: int, probe_cells: int = 4, wider: tuple[int, ...] = (32, 0)) -> DataFrame:
     """(query, id, distance): for each id of ``queries`` (column ``id``) its k nearest other rows by Euclidean distance."""
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, rows.select(id_column, column)
     codes = fit(rows, id_column, column, width)
     model = spark.sparkContext.broadcast(codes)
     stored = _coded(rows, id_column, column, width, model, 1)
-    asked = rows.where(f"{id_column} is not null").join(queries.select(F.col("id").alias(id_column)).distinct(), id_column, "left_semi").dropDuplicates([id_column])
+    asked = rows.where(F.col(id_column).isNotNull()).join(queries.select(F.col("id").alias(id_column)).distinct(), id_column, "left_semi").dropDuplicates([id_column])
     asked = durable(asked.select(id_column, column))
-    vectors = rows.where(f"{id_column} is not null").select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
+    vectors = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v"))
     query_vectors = asked.select(F.col(id_column).cast("long").alias("query"), F.col(column).alias("q"))
 
     def rerank(pairs: DataFrame) -> DataFrame:
