@@ -192,12 +192,12 @@ SQL = {
         f"SELECT '{name}' AS test, CASE WHEN count(*) FILTER ({bad}) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) FILTER ({bad}) || ' of ' || count(*) AS detail FROM feats"
         for name, bad in [*((f"sound_{g}", f"NOT {_sound(g)}") for g in _SIZES), ("genus_given", "genus IS NULL")]
     ),
-    "tree_tips_sorted": f"WITH {_NODES} SELECT label, round(length, 6) AS length FROM nodes",
-    "patristic": f"WITH {_NODES} SELECT a, b, round(d, 6) AS d FROM paths",
-    "region_distances": f"WITH {_NODES} SELECT pa = pb AS same, round(avg(d), 5) AS mean, round(min(d), 5) AS low FROM paths GROUP BY 1",
+    "tree_tips_sorted": f"WITH {_NODES} SELECT label, round(length, 9) AS length FROM nodes",
+    "patristic": f"WITH {_NODES} SELECT a, b, round(d, 9) AS d FROM paths",
+    "region_distances": f"WITH {_NODES} SELECT pa = pb AS same, round(avg(d), 9) AS mean, round(min(d), 9) AS low FROM paths GROUP BY 1",
     "pruned_tree": f"""WITH {_NODES}, k AS (SELECT DISTINCT n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000),
       t AS (SELECT nodes.*, count(*) OVER (PARTITION BY parent) AS same FROM nodes SEMI JOIN k USING (label)), f AS (SELECT count(DISTINCT parent) AS n FROM t)
-      SELECT label, CASE WHEN same > 1 THEN parent WHEN n > 1 THEN 1 END AS parent, CASE WHEN same > 1 THEN round(t.length, 6) WHEN n > 1 THEN round(t.length + regions.length, 6) END AS length FROM t, f, regions WHERE regions.node = t.parent""",
+      SELECT label, CASE WHEN same > 1 THEN parent WHEN n > 1 THEN 1 END AS parent, CASE WHEN same > 1 THEN round(t.length, 9) WHEN n > 1 THEN round(t.length + regions.length, 9) END AS length FROM t, f, regions WHERE regions.node = t.parent""",
     "robinson_foulds": f"""WITH {_NODES}, first_ AS (SELECT min(label) AS l, count(*) AS n FROM nodes),
       side AS (SELECT 0 AS tree, parent AS p, label FROM nodes UNION ALL SELECT 1, (node - 100) // 5 + 10, label FROM nodes),
       grp AS (SELECT tree, p, list_sort(list(label)) AS s FROM side GROUP BY 1, 2), every_ AS (SELECT list_sort(list(label)) AS e FROM nodes),

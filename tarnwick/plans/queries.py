@@ -571,12 +571,12 @@ def nodes(spark, d) -> DataFrame:
 
 @query
 def tree_tips_sorted(spark, d):
-    return T.tips(nodes(spark, d)).select("label", _r(F.col("length")).alias("length")).orderBy("label")
+    return T.tips(nodes(spark, d)).select("label", _r(F.col("length"), 9).alias("length")).orderBy("label")
 
 
 @query
 def patristic(spark, d):
-    return T.path_distances(nodes(spark, d)).withColumn("d", _r(F.col("d")))
+    return T.path_distances(nodes(spark, d)).withColumn("d", _r(F.col("d"), 9))
 
 
 @query
@@ -585,13 +585,13 @@ def region_distances(spark, d):
     of = table(spark, d, "nation").select(F.col("n_name"), F.col("n_regionkey"))
     pairs = T.path_distances(nodes(spark, d))
     named = pairs.join(of.select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("ra")), "a").join(of.select(F.col("n_name").alias("b"), F.col("n_regionkey").alias("rb")), "b")
-    return named.groupBy((F.col("ra") == F.col("rb")).alias("same")).agg(_r(F.avg("d"), 5).alias("mean"), _r(F.min("d"), 5).alias("low"))
+    return named.groupBy((F.col("ra") == F.col("rb")).alias("same")).agg(_r(F.avg("d"), 9).alias("mean"), _r(F.min("d"), 9).alias("low"))
 
 
 @query
 def pruned_tree(spark, d):
     keep = table(spark, d, "supplier").where("s_acctbal > 9000").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("label"))
-    return T.pruned(nodes(spark, d), keep).where("label is not null").select("label", F.col("parent"), _r(F.col("length")).alias("length"))
+    return T.pruned(nodes(spark, d), keep).where("label is not null").select("label", F.col("parent"), _r(F.col("length"), 9).alias("length"))
 
 
 @query
