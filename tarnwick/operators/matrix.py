@@ -198,3 +198,18 @@ def to_newick(merges: list[tuple]) -> str:
         text[last] = "(" + ",".join(f"{text.pop(c, c.replace(' ', '_').replace('.', ''))}:{h / 2 - height.get(c, 0.0):g}" for c in (left, right)) + ")"
         height[last] = h / 2
     return text.get(last, "") + ";"
+
+
+def facing_leaves(first: list[str], second: list[str]) -> list[tuple[str, int, int, bool]]:
+    """(leaf, place in the first order, place in the second, same height) of the leaves that two orders share."""
+    kept = [[leaf for leaf in order if leaf in set(other)] for order, other in ((first, second), (second, first))]
+    at = {leaf: i for i, leaf in enumerate(kept[1])}
+    return [(leaf, i, at[leaf], i == at[leaf]) for i, leaf in enumerate(kept[0])]
+
+
+def reordered(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """(row, column, d) of a distance table with rows and columns at their places in a leaf order, diagonal included."""
+    places = pairs.sparkSession.createDataFrame(list(zip(order, range(len(order)))), "k string, place int")
+    both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).union(places.select("k", "k", F.lit(0.0)))
+    left, right = places.select(F.col("k").alias("a"), F.col("place").alias("row")), places.select(F.col("k").alias("b"), F.col("place").alias("column"))
+    return both.join(left, "a").join(right, "b").select("row", "column", "d")
