@@ -160,19 +160,21 @@ def _align(sentence: list[str], words: list[str], places: dict[str, list[int]])
     low = max(0, near - 8)
     part = words[low : near + len(sentence) + 12]
     size = [[0] * (len(part) + 1) for _ in range(len(sentence) + 1)]
-    for i in range(len(sentence) - 1, -1, -1):
-        for j in range(len(part) - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if _same(sentence[i], part[j]) else max(size[i + 1][j], size[i][j + 1])
-    i = j = 0
+    for i, word in enumerate(sentence):
+        for j, other in enumerate(part):
+            size[i + 1][j + 1] = size[i][j] + 1 if _same(word, other) else max(size[i][j + 1], size[i + 1][j])
+    # The earliest end and from there the latest start: the tightest stretch of the document.
+    i, j = len(sentence), size[-1].index(size[-1][-1])
     hits = []
-    while i < len(sentence) and j < len(part):
-        if _same(sentence[i], part[j]):
+    while i and j:
+        if _same(sentence[i - 1], part[j - 1]) and size[i][j] == size[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
             hits.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
+        elif size[i - 1][j] >= size[i][j - 1]:
+            i -= 1
         else:
-            j += 1
+            j -= 1
+    hits.reverse()
     if not hits:
         return 0.0, 0, 0, []
     gaps = [(sentence[a + 1], part[b + 1]) for (a, b), (c, d) in zip(hits, hits[1:]) if c == a + 2 and d == b + 2]

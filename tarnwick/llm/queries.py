@@ -105,7 +105,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, tokens, same): number of ids of each document and whether decoding them gives its text again."""
+    """(doc_id, same): whether decoding the ids of each document gives its text again."""
     docs, path = table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     ids = encoding.encode(docs, "doc_id", "text", path)
     back = encoding.decode(ids, "doc_id", "ids", path)
