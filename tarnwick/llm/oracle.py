@@ -40,7 +40,18 @@ pairs AS (
   FROM (SELECT image_id, g, CASE WHEN starts_with(e, g) THEN substr(e, len(g) + 1) ELSE e END AS e2 FROM rest) WHERE len(e2) > 0 AND g IS NOT NULL
 )"""
 
+
+
+def _nearest(field: str, size: int) -> str:
+    return f"""SELECT DISTINCT '{field}' AS field, least(q, id) AS id_a, greatest(q, id) AS id_b FROM (
+  SELECT q.feature_id AS q, r.feature_id AS id, row_number() OVER (PARTITION BY q.feature_id ORDER BY list_distance(q.{field}, r.{field}), r.feature_id) AS place
+  FROM (SELECT * FROM once SEMI JOIN knn_queries USING (feature_id)) q JOIN once r ON q.feature_id <> r.feature_id
+  WHERE len(q.{field}) = {size} AND len(r.{field}) = {size} AND len(list_filter(q.{field}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(r.{field}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) WHERE place <= 5"""
+
+
 SQL = {
+    "p3_found": "WITH once AS (SELECT feature_id, any_value(hue_hist) AS hue_hist, any_value(gabor) AS gabor FROM image_features GROUP BY 1) " + _nearest("hue_hist", 18) + " UNION ALL " + _nearest("gabor", 24),
     "p2_found": " UNION ALL ".join(f"SELECT '{n}' AS tbl, id_a, log_id AS id_b FROM ({_classes(n)}) WHERE log_id <> id_a" for n in _CONTENT),
     "p2_copies": " UNION ALL ".join(f"SELECT '{n}' AS tbl, id_a AS log_id, count(*) AS copies FROM ({_classes(n)}) GROUP BY id_a" for n in _CONTENT),
     "p4_found": f"""WITH RECURSIVE {_SPECIES},

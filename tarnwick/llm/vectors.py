@@ -48,6 +48,7 @@ class Codes:
     def __init__(self, sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         n, width = sample.shape
+        sample = sample[np.lexsort(sample.T)]  # whatever order the rows arrived in
         cells = max(1, min(cells, n // 160))
         self.centres = sample[rng.choice(n, cells, replace=False)].copy() if n else np.zeros((1, width))
         for _ in range(rounds):
