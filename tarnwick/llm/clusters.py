@@ -165,8 +165,10 @@ def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, radius: float
             close = pa.array(np.flatnonzero(apart < radius))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(apart).take(close)], ["id", "other", "distance"])
 
-    theirs = others.select(F.col("id").alias("other"), F.col("x").alias("y"))
-    full = pairs.join(rows.select("id", "x"), "id").join(theirs, "other").select("id", "other", "x", "y")
+    # A pivot of a third of the rows is one key: its partners spread over salts.
+    theirs = others.select(F.col("id").alias("other"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mine = pairs.join(rows.select("id", "x"), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    full = mine.join(theirs, ["other", "salt"]).select("id", "other", "x", "y")
     return full.mapInArrow(run, "id long, other long, distance double")
 
 
@@ -229,7 +231,8 @@ def members(clustered: DataFrame, least: int) -> DataFrame:
 def describe(rows: DataFrame, grouped: DataFrame, typical: int) -> DataFrame:
     """(cluster_id, size, medoid, typical): the member closest to the cluster's mean and the ``typical`` closest ones.
 
-    Means and distances are taken where hues lie on a circle; the typical members come from salted parts first.
+    Means and distances are taken where hues lie on a circle; Spark keeps the first members of each map task before
+    the shuffle, so a large cluster sends few rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +243,7 @@ def describe(rows: DataFrame, grouped: DataFrame, typical: int) -> DataFrame:
     placed = rows.join(grouped, "id").select("id", "cluster_id", "x").mapInArrow(run, "id long, cluster_id long, e array<double>")
     means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.col("e")[i]) for i in range(size)]).alias("mean"))
     gap = F.aggregate(F.zip_with("e", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    ranked = placed.join(means, "cluster_id").select("cluster_id", "size", F.round(gap, 12).alias("gap"), "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    for keys in (["cluster_id", "salt"], ["cluster_id"]):
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("gap", "id"))).where(F.col("rank") <= typical)
+    gaps = placed.join(means, "cluster_id").select("cluster_id", "size", F.round(gap, 12).alias("gap"), "id")
+    ranked = gaps.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("gap", "id"))).where(F.col("rank") <= typical)
     lists = F.array_sort(F.collect_list(F.struct("rank", "id")))
     return ranked.groupBy("cluster_id", "size").agg(F.transform(lists, lambda s: s["id"]).alias("typical")).select("cluster_id", "size", F.col("typical")[0].alias("medoid"), "typical")
