@@ -199,7 +199,7 @@ SQL = {
       t AS (SELECT nodes.*, count(*) OVER (PARTITION BY parent) AS same FROM nodes SEMI JOIN k USING (label)), f AS (SELECT count(DISTINCT parent) AS n FROM t)
       SELECT label, CASE WHEN same > 1 THEN parent WHEN n > 1 THEN 1 END AS parent, CASE WHEN same > 1 THEN round(t.length, 9) WHEN n > 1 THEN round(t.length + regions.length, 9) END AS length FROM t, f, regions WHERE regions.node = t.parent""",
     "robinson_foulds": f"""WITH {_NODES}, first_ AS (SELECT min(label) AS l, count(*) AS n FROM nodes),
-      side AS (SELECT 0 AS tree, parent AS p, label FROM nodes UNION ALL SELECT 1, (node - 100) // 5 + 10, label FROM nodes),
+      side AS (SELECT 0 AS tree, parent AS p, label FROM nodes UNION ALL SELECT 1, coalesce(c, 0) % 5 + 10, label FROM nodes LEFT JOIN (SELECT c_nationkey + 100 AS node, count(*) AS c FROM customer GROUP BY 1) USING (node)),
       grp AS (SELECT tree, p, list_sort(list(label)) AS s FROM side GROUP BY 1, 2), every_ AS (SELECT list_sort(list(label)) AS e FROM nodes),
       split AS (SELECT DISTINCT tree, array_to_string(CASE WHEN list_contains(s, l) THEN list_filter(e, lambda x: NOT list_contains(s, x)) ELSE s END, '|') AS split FROM grp, every_, first_ WHERE len(s) > 1 AND len(e) - len(s) > 1)
       SELECT distance, round(distance / (2 * (n - 3)), 6) AS share FROM first_, (SELECT count(*) AS distance FROM (SELECT split FROM split GROUP BY 1 HAVING count(*) = 1))""",

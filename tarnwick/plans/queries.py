@@ -596,16 +596,21 @@ def pruned_tree(spark, d):
 
 @query
 def robinson_foulds(spark, d):
-    second = nodes(spark, d)
-    moved = second.withColumn("parent", F.when(F.col("label").isNotNull(), F.floor((F.col("node") - 100) / 5).cast("int") + 10).otherwise(F.col("parent")))
-    return T.robinson_foulds(second, moved).withColumn("share", _r(F.col("share")))
+    """Nations below their regions against nations below the remainder of their number of customers by five."""
+    first = nodes(spark, d)
+    customers = table(spark, d, "customer").groupBy((F.col("c_nationkey") + 100).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    placed = first.join(customers, "node", "left")
+    second = placed.select("node", F.when(F.col("label").isNotNull(), (F.pmod(F.coalesce("n", F.lit(0)), F.lit(5)) + 10).cast("int")).otherwise(F.col("parent")).alias("parent"), "label", "length")
+    return T.robinson_foulds(first, second).withColumn("share", _r(F.col("share")))
 
 
 @query
 def newick_nodes(spark, d):
-    """Rows only: nodes parsed from a tree text of each genus, written from its tips."""
-    tips = table(spark, d, "tree_tips").select(F.element_at(F.split("tip_label", "_"), 1).alias("genus"), F.struct("tip_id", F.format_string("%s:%.6f", "tip_label", "branch_length").alias("t")).alias("s"))
-    texts = tips.groupBy("genus").agg(F.concat(F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), ","), F.lit(");")).alias("text"))
+    """Rows only: nodes parsed from a tree text of each genus, written from its species and their mean entropy."""
+    rows = sound_features(spark, d, ["entropy"]).where("genus is not null and species is not null")
+    species = rows.groupBy(F.lower(F.trim("genus")).alias("genus"), F.regexp_replace(F.lower("species"), "[^a-z]+", "_").alias("tip")).agg(F.avg(F.col("entropy")[0]).alias("length"))
+    tips = species.select("genus", F.format_string("%s:%.6f", "tip", "length").alias("t"))
+    texts = tips.groupBy("genus").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("t")), ","), F.lit(");")).alias("text"))
     return T.parse_newick(texts, "genus", "text")
 
 

@@ -30,8 +30,3 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def hashed_partitions(df: DataFrame, rows_per_partition: int) -> int:
-    """Partitions for ``rows_per_partition`` rows each, at least the session's default parallelism."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_partition))
