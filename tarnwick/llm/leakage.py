@@ -37,7 +37,7 @@ CHUNK_CHARS = 1_000_000
 #: Look-alike letters of other scripts and the Latin letters they stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнАВЕКМНОРСТУХІЈЅοανρικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhkmtbhabekmhopctyxijsoavpiktuabezhikmnoptyx"))
 #: Characters that are not seen.
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Units of measure.
 UNITS = "mm cm km metres meters kilometres kilometers grams kilograms kg litres liters percent years weeks days hours minutes".split()
 _NUMBER, _UNIT, _NAME = 1, 2, 3
