@@ -84,6 +84,22 @@ def distances(a: np.ndarray, b: np.ndarray, share_gap: float) -> np.ndarray:
     return np.sqrt(best)
 
 
+def aligned(a: np.ndarray, b: np.ndarray, share_gap: float) -> np.ndarray:
+    """Rows of ``a`` in the order of blocks that fits ``b`` best, of those that near-equal shares of either row allow."""
+    out, best = a.copy(), _apart(a, b)
+    for rows, back in ((a, False), (b, True)):
+        patterns = _patterns(rows, share_gap)
+        for pattern in np.unique(patterns[patterns > 0]):
+            own = np.flatnonzero(patterns == pattern)
+            for order in _orders(int(pattern)):
+                # An order of ``b`` is undone on ``a``.
+                moved = a[own][:, _columns(np.argsort(order).tolist() if back else order)]
+                apart = _apart(moved, b[own])
+                closer = apart < best[own]
+                out[own[closer]], best[own[closer]] = moved[closer], apart[closer]
+    return out
+
+
 def _embed(rows: np.ndarray) -> np.ndarray:
     """Hues on a circle of circumference one, so no distance grows."""
     plain = [i for i in range(WIDTH) if i not in HUES]
@@ -91,6 +107,15 @@ def _embed(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows[:, plain], np.cos(turn) / (2 * np.pi), np.sin(turn) / (2 * np.pi)])
 
 
+def _centre(means: np.ndarray) -> np.ndarray:
+    """Rows of the 26 values whose place on the circles is that of ``means``."""
+    out = np.zeros((len(means), WIDTH))
+    plain, turns = WIDTH - len(HUES), len(HUES)
+    out[:, [i for i in range(WIDTH) if i not in HUES]] = means[:, :plain]
+    out[:, HUES] = np.arctan2(means[:, plain + turns :], means[:, plain : plain + turns]) / (2 * np.pi) % 1.0
+    return out
+
+
 def buckets(rows: np.ndarray, seed: int, tables: int, bits: int, width: float) -> np.ndarray:
     """Bucket of each row in each table: cells of ``bits`` random directions, ``width`` wide."""
     rng = np.random.default_rng(seed)
@@ -223,27 +248,43 @@ def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, m
 
 
 def members(clustered: DataFrame, least: int) -> DataFrame:
-    """(id, cluster_id) of the clusters with at least ``least`` rows; a cluster is named by its smallest id."""
+    """(id, cluster_id, pivot) of the clusters with at least ``least`` rows; a cluster is named by its smallest id."""
     named = clustered.groupBy("pivot").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    return clustered.join(named.select("pivot", "cluster_id"), "pivot").select("id", "cluster_id")
+    return clustered.join(named.select("pivot", "cluster_id"), "pivot").select("id", "cluster_id", "pivot")
+
+
+def _beside(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row of ``few`` a key; the rows of a hot key spread over salts."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return left.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
 
 
-def describe(rows: DataFrame, grouped: DataFrame, typical: int) -> DataFrame:
-    """(cluster_id, size, medoid, typical): the member closest to the cluster's mean and the ``typical`` closest ones.
+def describe(rows: DataFrame, grouped: DataFrame, typical: int, share_gap: float = 0.002) -> DataFrame:
+    """(cluster_id, size, medoid, typical): the member closest to the cluster's centre and the ``typical`` closest ones.
 
-    Means and distances are taken where hues lie on a circle; Spark keeps the first members of each map task before
-    the shuffle, so a large cluster sends few rows.
+    Every member comes into the order of blocks that fits its pivot best; the centre is the mean of the members in
+    that order, with hues on a circle, and members are ranked by ``distances`` to it, as the clusters are made.
+    Spark keeps the first members of each map task before the shuffle, so a large cluster sends few rows.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = aligned(_unpacked(batch.column(2)), _unpacked(batch.column(3)), share_gap)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(x), _lists(_embed(x))], ["id", "cluster_id", "x", "e"])
+
+    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(_embed(_unpacked(batch.column(2))))], ["id", "cluster_id", "e"])
+            means = np.array(batch.column(4).to_pylist(), np.float64).reshape(-1, WIDTH + len(HUES))
+            gap = np.round(distances(_unpacked(batch.column(3)), _centre(means), share_gap), 9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(gap)], ["id", "cluster_id", "size", "gap"])
 
     size = WIDTH + len(HUES)
-    placed = rows.join(grouped, "id").select("id", "cluster_id", "x").mapInArrow(run, "id long, cluster_id long, e array<double>")
+    pivots = rows.join(grouped.select(F.col("pivot").alias("id")).distinct(), "id").select(F.col("id").alias("pivot"), F.col("x").alias("y"))
+    beside = _beside(rows.join(grouped, "id"), "pivot", pivots).select("id", "cluster_id", "x", "y")
+    placed = durable(beside.mapInArrow(align, "id long, cluster_id long, x binary, e array<double>"))
     means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.col("e")[i]) for i in range(size)]).alias("mean"))
-    gap = F.aggregate(F.zip_with("e", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    gaps = placed.join(means, "cluster_id").select("cluster_id", "size", F.round(gap, 12).alias("gap"), "id")
+    ranks = _beside(placed.drop("e"), "cluster_id", means).select("id", "cluster_id", "size", "x", "mean")
+    gaps = ranks.mapInArrow(rank, "id long, cluster_id long, size long, gap double")
     ranked = gaps.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("gap", "id"))).where(F.col("rank") <= typical)
     lists = F.array_sort(F.collect_list(F.struct("rank", "id")))
     return ranked.groupBy("cluster_id", "size").agg(F.transform(lists, lambda s: s["id"]).alias("typical")).select("cluster_id", "size", F.col("typical")[0].alias("medoid"), "typical")

@@ -176,6 +176,34 @@ def test_clusters_against_brute_force(spark):
     assert clusters.members(clusters.cluster(none, 0.25, 0.002), 3).count() == 0
 
 
+def test_typical_rows_of_a_cluster_in_both_block_orders(spark):
+    rng = np.random.default_rng(6)
+    base = np.hstack([[0.99, 0.9, 0.9, 0.3, 0.1, 0.2], rng.random(9), [0.3, 0.3, 0.2, 0.15, 0.05], rng.random(9)])
+    x = np.repeat(base[None], 40, 0)
+    x[:, 1] += np.linspace(-0.05, 0.05, 41)[np.arange(40) + (np.arange(40) >= 20)]
+    x[:, 0] = (x[:, 0] + rng.normal(size=40) * 0.001) % 1.0
+    x[20] = base
+    order = [3, 4, 5, 0, 1, 2]
+    x[::3, :6] = x[::3][:, order]
+    x = np.round(x, 6)
+    pts = clusters.points(spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(x)], "fid long, dom array<double>, side array<double>"), "fid", "dom", "side")
+    (told,) = clusters.describe(pts, clusters.members(clusters.cluster(pts, 0.25, 0.002), 3), 5).collect()
+    every = np.hstack([x[:, :20], x[:, 20:26]])
+    sums = np.array([(clusters.distances(np.repeat(every[[i]], 40, 0), every.copy(), 0.002) ** 2).sum() for i in range(40)])
+    assert told["size"] == 40 and told["medoid"] == np.argmin(sums) == 20
+    assert set(told["typical"]) == set(np.argsort(sums)[:5].tolist())
+
+
+@pytest.mark.parametrize("swapped", [0, 1])
+def test_rows_come_into_the_order_of_their_pivot(swapped):
+    a = np.linspace(0.02, 0.98, 26)[None]
+    a[0, 15:20] = [0.3, 0.2, 0.2, 0.15, 0.1]
+    b = a[:, clusters._columns([0, 2, 1, 3, 4])]
+    pair = (a, b) if swapped else (b, a)
+    assert (clusters.aligned(*pair, 0.002) == pair[1]).all()
+    assert (clusters._centre(clusters._embed(a)).round(9) == a.round(9)).all()
+
+
 # 6
 
 
