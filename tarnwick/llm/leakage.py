@@ -16,7 +16,9 @@ items give candidates for each of them; texts of any length are read whole.
 
 from __future__ import annotations
 
+import bisect
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -148,22 +150,12 @@ def _same(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) > 3 and abs(len(a) - len(b)) <= 2 and (a.startswith(b) or b.startswith(a)))
 
 
-def _align(sentence: list[str], words: list[str], places: dict[str, list[int]]) -> tuple[float, int, int, list[tuple[str, str]]]:
-    """(share of the sentence found, first and last place, aligned words) by the longest common subsequence near the best offset."""
-    votes: Counter[int] = Counter()
-    for k, word in enumerate(sentence):
-        for p in places.get(word, ()):
-            votes[(p - k) // 4] += 1
-    if not votes:
-        return 0.0, 0, 0, []
-    near = max(votes, key=lambda v: (votes[v - 1] + votes[v] + votes[v + 1], -v)) * 4
-    low = max(0, near - 8)
-    part = words[low : near + len(sentence) + 12]
+def _hits(sentence: list[str], part: list[str]) -> list[tuple[int, int]]:
+    """Aligned places of the longest common subsequence: the earliest end and from there the latest start."""
     size = [[0] * (len(part) + 1) for _ in range(len(sentence) + 1)]
     for i, word in enumerate(sentence):
         for j, other in enumerate(part):
             size[i + 1][j + 1] = size[i][j] + 1 if _same(word, other) else max(size[i][j + 1], size[i + 1][j])
-    # The earliest end and from there the latest start: the tightest stretch of the document.
     i, j = len(sentence), size[-1].index(size[-1][-1])
     hits = []
     while i and j:
@@ -174,33 +166,112 @@ def _align(sentence: list[str], words: list[str], places: dict[str, list[int]])
             i -= 1
         else:
             j -= 1
-    hits.reverse()
-    if not hits:
-        return 0.0, 0, 0, []
-    gaps = [(sentence[a + 1], part[b + 1]) for (a, b), (c, d) in zip(hits, hits[1:]) if c == a + 2 and d == b + 2]
-    return len(hits) / len(sentence), low + hits[0][1], low + hits[-1][1], gaps
+    return hits[::-1]
+
+
+def _changes(sentence: list[str], part: list[str]) -> list[tuple[str, str]]:
+    """(word, other word in its place) between two aligned words."""
+    hits = _hits(sentence, part)
+    return [(sentence[a + 1], part[b + 1]) for (a, b), (c, d) in zip(hits, hits[1:]) if c == a + 2 and d == b + 2]
+
+
+def _best_part(sentence: list[str], words: list[str], places: dict[str, list[int]]) -> list[str]:
+    """The stretch of a document with the most words of a sentence at their offset."""
+    votes: Counter[int] = Counter()
+    for k, word in enumerate(sentence):
+        for p in places.get(word, ()):
+            votes[(p - k) // 4] += 1
+    if not votes:
+        return []
+    near = max(votes, key=lambda v: (votes[v - 1] + votes[v] + votes[v + 1], -v)) * 4
+    return words[max(0, near - 8) : near + len(sentence) + 12]
+
+
+def _like(places: dict[str, list[int]]) -> dict[str, list[str]]:
+    """The words of a document by themselves and by their beginnings that ``_same`` may take for them."""
+    found: dict[str, list[str]] = {}
+    for word in places:
+        for short in {word, word[:-1], word[:-2]} if len(word) > 3 else {word}:
+            if short == word or len(short) > 3:
+                found.setdefault(short, []).append(word)
+    return found
+
+
+def _placements(sentence: list[str], places: dict[str, list[int]], like: dict[str, list[str]], share: float) -> list[tuple[int, int, float]]:
+    """(first, last, share), ordered, of every stretch of the document that holds at least ``share`` of the sentence in order.
+
+    Each word that may begin a stretch is tried; for each number of words found, the earliest end is kept and the
+    latest start for that end.
+    """
+    need = max(1, math.ceil(share * len(sentence) - 1e-9))
+    at: dict[int, int] = {}
+    own: list[np.ndarray] = []
+    for k, word in enumerate(sentence):
+        others = set(like.get(word, ())) | {short for short in (word[:-1], word[:-2]) if len(short) > 3 and short in places}
+        spots = [p for other in others for p in places[other]]
+        own.append(np.sort(np.array(spots, np.int64)))
+        for p in spots:
+            at[p] = at.get(p, 0) | 1 << k
+    early = [spots for spots in own[: len(sentence) - need + 1] if len(spots)]
+    if not early:
+        return []
+    start, reach = np.unique(np.concatenate(early)), len(sentence) + 20
+    held = sum((np.searchsorted(spots, start + reach) > np.searchsorted(spots, start)).astype(np.int64) for spots in own)
+    full, every = (1 << len(sentence)) - 1, np.array(sorted(at), np.int64)
+    latest: dict[tuple[int, int], int] = {}
+    for first in start[held >= need].tolist():
+        row, best = full, need - 1
+        low, high = np.searchsorted(every, (first, first + reach)).tolist()
+        for p in every[low:high].tolist():
+            # Longest common subsequence by bits: a zero for each word found up to here.
+            hit = row & at[p]
+            row = ((row + hit) | (row - hit)) & full
+            if (got := len(sentence) - row.bit_count()) > best:
+                best = got
+                latest[p, got] = first
+    return sorted((first, last, got / len(sentence)) for (last, got), first in latest.items())
 
 
 def judge(item: str, words: list[str], share: float) -> tuple[int, float, int, int]:
-    """(sentences found on end, their lowest share, slots changed, slots changed inconsistently)."""
+    """(sentences found on end, their lowest share, slots changed, slots changed inconsistently).
+
+    The longest run over all places of the sentences counts, of equally long ones the one with the highest share.
+    """
     places: dict[str, list[int]] = {}
     for p, word in enumerate(words):
         places.setdefault(word, []).append(p)
-    found = [_align(plain_words(s), words, places) for s in passages(item)]
-    best, run, low = (0, 0.0), 0, 1.0
-    begun = last = -1
-    for got, first, end, _ in found:
-        if got >= share and run and begun < first <= last + 12 and last < end:
-            run, low = run + 1, min(low, got)
-        else:
-            run, low = (1, got) if got >= share else (0, 1.0)
-        begun, last = first, end
-        best = max(best, (run, low if run else 0.0))
-    changed = [g for _, _, _, gaps in found for g in gaps if not _same(*g)]
+    like = _like(places)
+    sentences = [plain_words(s) for s in passages(item)]
+    found = [_placements(s, places, like, share) if s else [] for s in sentences]
+    runs: list[list[tuple[int, float, int]]] = []
+    best, end = (0, 0.0), (0, -1)
+    for k, spots in enumerate(found):
+        before = found[k - 1] if k else []
+        ranked = []
+        for n, (first, last, got) in enumerate(spots):
+            run = (1, got, -1)
+            # A sentence reaches over its words and 20 more, the next one starts at most 12 behind its end.
+            for m in range(bisect.bisect_left(before, (first - len(sentences[k - 1]) - 32,)), bisect.bisect_left(before, (first,))):
+                if first <= before[m][1] + 12 and before[m][1] < last:
+                    run = max(run, (runs[-1][m][0] + 1, min(got, runs[-1][m][1]), m))
+            ranked.append(run)
+            if run[:2] > best:
+                best, end = run[:2], (k, n)
+        runs.append(ranked)
+    chosen, (k, n) = {}, end
+    while n >= 0:
+        chosen[k] = found[k][n]
+        k, n = k - 1, runs[k][n][2]
     told: dict[str, set[str]] = {}
-    for a, b in changed:
-        told.setdefault(a, set()).add(b)
-    return best[0], best[1], len(changed), sum(len(b) > 1 for b in told.values())
+    changed = 0
+    for k, sentence in enumerate(sentences):
+        spot = chosen.get(k) or max(found[k], key=lambda f: (f[2], -f[0]), default=None)
+        part = words[spot[0] : spot[1] + 1] if spot else _best_part(sentence, words, places)
+        for a, b in _changes(sentence, part):
+            if not _same(a, b):
+                changed += 1
+                told.setdefault(a, set()).add(b)
+    return best[0], best[1], changed, sum(len(b) > 1 for b in told.values())
 
 
 def _sides(items: DataFrame, item_id: str, item_text: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:

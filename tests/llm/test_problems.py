@@ -264,6 +264,34 @@ def test_leaks(spark):
     assert leakage.leaks(df, "doc", "body", items.where("false"), "iid", "body").count() == 0
 
 
+def test_sentences_are_sought_at_every_place():
+    s = [x.rstrip(".") + "." for x in ITEM.split(". ")[:3]]
+    judged = lambda text: leakage.judge(ITEM, leakage.plain_words(text), 0.75)[:2]
+    far = " unrelated words only." * 30
+    assert judged(s[0] + far + s[0] + " " + s[1]) == (2, 1.0)
+    cut = [x.replace("woollen ", "").replace("tilted ", "") for x in s]
+    got = judged(cut[0] + " " + s[1] + far + s[0] + " " + cut[1])
+    assert got[0] == 2 and 0.9 < got[1] < 1
+    assert judged(s[0] + far + s[1] + far + s[0]) == (1, 1.0)
+    assert judged(s[1] + " " + s[0]) == (1, 1.0)
+    assert judged((s[0] + " ") * 300 + s[1] + " " + s[2]) == (3, 1.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=6), st.lists(st.sampled_from("abcdx"), max_size=40))
+def test_placements_against_brute_force(sentence, words):
+    places: dict = {}
+    for p, word in enumerate(words):
+        places.setdefault(word, []).append(p)
+    got = leakage._placements(sentence, places, leakage._like(places), 0.75)
+    whole = lambda a, b: len(leakage._hits(sentence, words[a : b + 1])) / len(sentence)
+    assert all(whole(a, b) == share >= 0.75 for a, b, share in got)
+    for a in range(len(words)):
+        for b in range(a, min(len(words), a + len(sentence) + 20)):
+            if whole(a, b) >= 0.75:
+                assert any(a <= c and d <= b and share >= 0.75 for c, d, share in got)
+
+
 # 8
 
 ENGLISH = ["The young fish sleeps near the outer reef during the day.", "It returns to the lagoon when the water is warm.", "Few divers have ever seen the whole school at once.", "The tail is longer than the body of the male."]
