@@ -7,6 +7,7 @@ single records: ``entity_pairs`` refuses more than ``most`` entities. Records ar
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,11 @@ from pyspark.sql import types as T
 
 from tarnwick.functions.numeric import euclidean
 from tarnwick.operators.ranking import average_rank
+from tarnwick.session import durable
 
 MOST_ENTITIES = 5_000
+#: Rows that one chunk of permutations joins.
+CHUNK_ROWS = 2_000_000
 
 
 def checked(entities: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
@@ -123,30 +127,42 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n)])
 
 
-def permutations(keys: DataFrame, key: str, count: int) -> DataFrame:
-    """(perm, key, other): ``count`` permutations of the keys in the order of md5(perm_key), the same in any engine."""
+def permutations(keys: DataFrame, key: str, count: int, first: int = 1) -> DataFrame:
+    """(perm, key, other): permutations ``first`` to ``count`` of the keys in the order of md5(perm_key), the same in any engine."""
     listed = checked(keys.select(key).distinct()).agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    each = listed.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(count)))).select("perm", "keys", F.posexplode("keys").alias("pos", key))
+    each = listed.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(count)))).select("perm", "keys", F.posexplode("keys").alias("pos", key))
     mark = F.md5(F.concat_ws("_", F.col("perm").cast("string"), F.col(key).cast("string")).cast("binary"))
     order = F.row_number().over(Window.partitionBy("perm").orderBy(mark))
     return each.withColumn("pos", order).select("perm", key, F.element_at("keys", F.col("pos")).alias("other"))
 
 
-def mantel(visual: DataFrame, path: DataFrame, count: int) -> DataFrame:
-    """(r, p, pairs): correlation of two distance tables (a, b, d) and its one-sided permutation p.
+def mantel(visual: DataFrame, path: DataFrame, count: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(r, p, rho, rho_p, pairs): correlation and rank correlation of two distance tables (a, b, d), each with its one-sided permutation p.
 
     Only the sum of products changes under a permutation; means and deviations of both tables do not, so they are
-    taken once. Rows and columns of the visual table are permuted together.
+    taken once, and both tables are ranked once. Rows and columns of the visual table are permuted together. A chunk
+    of permutations makes at most ``chunk_rows`` rows, or the pairs of one permutation.
     """
-    both = visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"])
-    base = both.agg(F.corr("v", "p").alias("r"), F.count(F.lit(1)).alias("m"), F.avg("v").alias("mv"), F.avg("p").alias("mp"), F.stddev_pop("v").alias("sv"), F.stddev_pop("p").alias("sp"))
-    keys = both.select(F.col("a").alias("k")).union(both.select("b")).distinct()
-    perms = permutations(keys, "k", count)
-    moved = both.select("a", "b", "p").join(perms.select("perm", F.col("k").alias("a"), F.col("other").alias("x")), "a").join(perms.select("perm", F.col("k").alias("b"), F.col("other").alias("y")), ["perm", "b"])
-    mirrored = both.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "v")
-    sums = moved.select("perm", "p", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).join(mirrored, ["lo", "hi"]).groupBy("perm").agg(F.sum(F.col("v") * F.col("p")).alias("vp"))
-    null = sums.join(F.broadcast(base)).withColumn("rp", (F.col("vp") - F.col("m") * F.col("mv") * F.col("mp")) / (F.col("m") * F.col("sv") * F.col("sp")))
-    return null.groupBy("r", "m").agg(((F.count_if(F.round("rp", 9) >= F.round("r", 9)) + 1) / F.lit(count + 1)).alias("p")).select("r", "p", F.col("m").alias("pairs"))
+    plain = visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"]).withColumn("all", F.lit(1))
+    ranked = average_rank(average_rank(plain, "v", "all").withColumnRenamed("rank", "rv"), "p", "all").withColumnRenamed("rank", "rp")
+    both = durable(ranked.select("a", "b", "v", "p", "rv", "rp"))
+    sides = [[F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}")] for c in ("v", "p", "rv", "rp")]
+    base = durable(both.agg(F.corr("v", "p").alias("r"), F.corr("rv", "rp").alias("rho"), F.count(F.lit(1)).alias("m"), *[c for side in sides for c in side]))
+    keys = durable(both.select(F.col("a").alias("k")).union(both.select("b")).distinct())
+    mirrored = both.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "v", "rv")
+
+    def sums(first: int, last: int) -> DataFrame:
+        perms = permutations(keys, "k", last, first)
+        moved = both.select("a", "b", "p", "rp").join(perms.select("perm", F.col("k").alias("a"), F.col("other").alias("x")), "a").join(perms.select("perm", F.col("k").alias("b"), F.col("other").alias("y")), ["perm", "b"])
+        placed = moved.select("perm", "p", "rp", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).join(mirrored, ["lo", "hi"])
+        return durable(placed.groupBy("perm").agg(F.sum(F.col("v") * F.col("p")).alias("vp"), F.sum(F.col("rv") * F.col("rp")).alias("rvp")))
+
+    step = max(1, chunk_rows // max(1, base.first()["m"]))
+    every = reduce(DataFrame.unionByName, [sums(k, min(count, k + step - 1)) for k in range(1, count + 1, step)])
+    moved_r = lambda total, x, y: (F.col(total) - F.col("m") * F.col(f"m{x}") * F.col(f"m{y}")) / (F.col("m") * F.col(f"s{x}") * F.col(f"s{y}"))
+    null = every.join(F.broadcast(base)).withColumn("nr", moved_r("vp", "v", "p")).withColumn("nrho", moved_r("rvp", "rv", "rp"))
+    share = lambda c, of: (F.count_if(F.round(c, 9) >= F.round(of, 9)) + 1) / F.lit(count + 1)
+    return null.groupBy("r", "rho", "m").agg(share("nr", "r").alias("p"), share("nrho", "rho").alias("rho_p")).select("r", "p", "rho", "rho_p", F.col("m").alias("pairs"))
 
 
 def upgma(pairs: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:

@@ -113,7 +113,7 @@ def extract_features(spark: SparkSession, image_path: str, mask_path: str) -> Da
 
 
 def signal_statistics(features: DataFrame, key: str, vector: str, size: int, nodes: DataFrame, permutations: int = 9_999) -> DataFrame:
-    """(space, r, p, pairs): agreement of feature distances, standardised and in principal components, with the paths of a tree.
+    """(space, r, p, rho, rho_p, pairs): agreement of feature distances, standardised and in principal components, with the paths of a tree.
 
     ``key`` must name the tips as the tree does; rows are averaged to one vector a key, tips without rows take no part.
     """
@@ -121,7 +121,7 @@ def signal_statistics(features: DataFrame, key: str, vector: str, size: int, nod
     tree = durable(trees.pruned(nodes, means.select(F.col(key).alias("label"))))
     paths = durable(trees.path_distances(tree))
     spaces = {"standardised": matrix.distances(matrix.standardised(means, key, "mean", size), key, "z"), "components": matrix.principal_distances(means, key, "mean", size)}
-    found = [matrix.mantel(durable(pairs), paths, permutations).select(F.lit(space).alias("space"), "r", "p", "pairs") for space, pairs in spaces.items()]
+    found = [matrix.mantel(durable(pairs), paths, permutations).select(F.lit(space).alias("space"), "r", "p", "rho", "rho_p", "pairs") for space, pairs in spaces.items()]
     return found[0].unionByName(found[1])
 
 

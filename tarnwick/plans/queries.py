@@ -499,6 +499,13 @@ def mantel(spark, d):
     return found.select(_r(F.col("r"), 5).alias("r"), _r(F.col("p")).alias("p"), "pairs", _r(N.least_detectable_r(F.col("pairs"))).alias("least_r"))
 
 
+@query
+def mantel_test(spark, d):
+    """Rows only: ``mantel`` with 9,999 permutations and the rank correlation; its SQL counts 99."""
+    found = M.mantel(M.distances(_genera(spark, d, "gabor"), "genus", "mean"), _tree_distances(spark, d), 9_999)
+    return found.select(_r(F.col("r"), 5).alias("r"), _r(F.col("p")).alias("p"), _r(F.col("rho"), 5).alias("rho"), _r(F.col("rho_p")).alias("rho_p"), "pairs", _r(N.least_detectable_r(F.col("pairs"))).alias("least_r"))
+
+
 @query
 def feature_correlations(spark, d):
     found = M.feature_correlations(_genera(spark, d, "gabor"), "genus", "mean", _tree_distances(spark, d), 24)

@@ -85,6 +85,25 @@ def test_standardise_and_distances_against_numpy(spark):
     assert all(abs(r["d"] - np.linalg.norm(want[r["a"]] - want[r["b"]])) < 1e-6 for r in spread)
 
 
+def test_mantel_ranks_and_chunks(spark):
+    names, rng = list("abcdef"), np.random.default_rng(4)
+    v, p = rng.random((6, 6)).round(1), rng.random((6, 6)) ** 4
+    at = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    one, two = (spark.createDataFrame([(names[i], names[j], float(m[i, j])) for i, j in at], "a string, b string, d double") for m in (v, p))
+    rank = lambda x: np.array([(x < y).sum() + ((x == y).sum() + 1) / 2 for y in x])
+    x, y = (np.array([m[i, j] for i, j in at]) for m in (v, p))
+    row = M.mantel(one, two, 29, chunk_rows=100).first()
+    assert abs(row["r"] - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(row["rho"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+    perms = {}
+    for r in M.permutations(spark.createDataFrame([(k,) for k in names], "k string"), "k", 29).collect():
+        perms.setdefault(r["perm"], {})[names.index(r["k"])] = names.index(r["other"])
+    place = {pair: n for n, pair in enumerate(at)}
+    for name, a, b in (("p", x, y), ("rho_p", rank(x), rank(y))):
+        null = [np.corrcoef(a[[place[tuple(sorted((o[i], o[j])))] for i, j in at]], b)[0, 1] for o in perms.values()]
+        assert row[name] == pytest.approx((sum(round(n, 9) >= round(np.corrcoef(a, b)[0, 1], 9) for n in null) + 1) / 30)
+    assert tuple(M.mantel(one, two, 29).first()) == pytest.approx(tuple(row))
+
+
 def test_mantel_of_a_table_with_itself(spark):
     x = np.random.default_rng(1).normal(size=(8, 2))
     pairs = M.distances(spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "k string, v array<double>"), "k", "v").cache()
