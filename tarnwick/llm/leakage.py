@@ -10,7 +10,7 @@ Folding of characters (lower case, accents, look-alike letters, invisible charac
 arrays of code points, whole texts at once; only candidates are aligned word by word.
 
 Defined cases: null and empty texts and items match nothing; a document sent twice gives one row; a question at
-the end of an item does not count; an item of a single sentence leaks if that sentence does; windows shared by
+the end of an item, or a last sentence that ends several items word for word, does not count; an item of a single sentence leaks if that sentence does; windows shared by
 items give candidates for each of them; texts of any length are read whole.
 """
 
@@ -22,7 +22,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -36,6 +36,8 @@ from tarnwick.session import durable
 WINDOW = 5
 ITEM_BLOCK = 20_000
 CHUNK_CHARS = 1_000_000
+#: Items that a sentence ends before it counts as a closing.
+REPEATS = 3
 #: Look-alike letters of other scripts and the Latin letters they stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнАВЕКМНОРСТУХІЈЅοανρικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhkmtbhabekmhopctyxijsoavpiktuabezhikmnoptyx"))
 #: Characters that are not seen.
@@ -134,15 +136,49 @@ def plain_words(text: str) -> list[str]:
 _fold_cached = cache(_fold)
 
 
-def passages(text: str) -> list[str]:
-    """Sentences of an item without a question at its end."""
-    found = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    return found[:-1] if len(found) > 1 and found[-1].endswith("?") else found
+def sentences_of(text: str) -> list[str]:
+    return [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
 
 
-def item_names(text: str) -> set[str]:
+def passages(text: str, closings: Container[str] = ()) -> list[str]:
+    """Sentences of an item without a question, or one of the ``closings``, at its end."""
+    found = sentences_of(text)
+    return found[:-1] if len(found) > 1 and (found[-1].endswith("?") or found[-1] in closings) else found
+
+
+def closings_of(items: DataFrame, item_text: str) -> DataFrame:
+    """(closing): last sentences that end ``REPEATS`` or more items word for word, each behind another sentence."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = [s[-2:] for s in map(sentences_of, batch["text"]) if len(s) > 1]
+            yield pd.DataFrame(ends, columns=["before", "closing"])
+
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_text).alias("text"))
+    ends = rows.mapInPandas(run, "before string, closing string")
+    return ends.groupBy("closing").agg(F.count_distinct("before").alias("n")).where(F.col("n") >= REPEATS).select("closing")
+
+
+def item_passages(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, sentences): each item's sentences without what only asks about them at its end."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [passages(t, {c} if c is not None else ()) for t, c in zip(batch["text"], batch["closing"])]
+            yield pd.DataFrame({"item": batch["item"], "sentences": told})
+
+    def last(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: (sentences_of(t) or [""])[-1])
+
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+    ended = rows.withColumn("last", F.pandas_udf(last, "string")("text"))
+    both = ended.join(closings_of(items, item_text), F.col("last") == F.col("closing"), "left")
+    return both.select("item", "text", "closing").mapInPandas(run, "item long, sentences array<string>")
+
+
+def item_names(sentences: Iterable[str]) -> set[str]:
     """Folded words that an item capitalises inside a sentence."""
-    inner = [w for s in passages(text) for w in s.split()[1:] if w[:1].isupper()]
+    inner = [w for s in sentences for w in s.split()[1:] if w[:1].isupper()]
     return {f for w in inner for f in plain_words(w)}
 
 
@@ -232,7 +268,7 @@ def _placements(sentence: list[str], places: dict[str, list[int]], like: dict[st
     return sorted((first, last, got / len(sentence)) for (last, got), first in latest.items())
 
 
-def judge(item: str, words: list[str], share: float) -> tuple[int, float, int, int]:
+def judge(item: list[str], words: list[str], share: float) -> tuple[int, float, int, int]:
     """(sentences found on end, their lowest share, slots changed, slots changed inconsistently).
 
     The longest run over all places of the sentences counts, of equally long ones the one with the highest share.
@@ -241,7 +277,7 @@ def judge(item: str, words: list[str], share: float) -> tuple[int, float, int, i
     for p, word in enumerate(words):
         places.setdefault(word, []).append(p)
     like = _like(places)
-    sentences = [plain_words(s) for s in passages(item)]
+    sentences = [plain_words(s) for s in item]
     found = [_placements(s, places, like, share) if s else [] for s in sentences]
     runs: list[list[tuple[int, float, int]]] = []
     best, end = (0, 0.0), (0, -1)
@@ -274,30 +310,31 @@ def judge(item: str, words: list[str], share: float) -> tuple[int, float, int, i
     return best[0], best[1], changed, sum(len(b) > 1 for b in told.values())
 
 
-def _sides(items: DataFrame, item_id: str, item_text: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+def _sides(items: DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Windows of one bounded block of items and the words outside their names."""
-    rows = items.select(item_id, item_text).where(F.col(item_text).isNotNull()).toPandas()
+    rows = items.toPandas()
     kept, names = [], set()
-    for text in rows[item_text]:
-        kept.append("\n".join(passages(text)))
-        names |= item_names(text)
+    for sentences in rows["sentences"]:
+        kept.append("\n".join(sentences))
+        names |= item_names(sentences)
     marks, digit, text_of = _word_marks(kept) if kept else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, int))
     out = np.unique(_word_marks(sorted(names))[0]) if names else np.zeros(0, np.uint64)
     units = _word_marks(UNITS)[0]
     known = np.setdiff1d(np.unique(marks), out)
     start, codes = _windows(_tokens(marks, digit, known, units), text_of)
-    ids = rows[item_id].to_numpy()[text_of[start]] if len(start) else []
+    ids = rows["item"].to_numpy()[text_of[start]] if len(start) else []
     return pd.DataFrame({"item": np.asarray(ids, np.int64), "place": start.astype(np.int64), "code": codes.view(np.int64)}), known, units
 
 
 def candidates(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(id, text, item, item_text, windows): pairs that share template windows at two or more places of the item."""
+    """(id, text, item, sentences, windows): pairs that share template windows at two or more places of the item."""
     spark = docs.sparkSession
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    told = durable(item_passages(items, item_id, item_text))
     found = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == block)
-        sides, words, units = _sides(own, item_id, item_text)
+        own = told.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        sides, words, units = _sides(own)
         shared = spark.sparkContext.broadcast((words, units))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -327,8 +364,7 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, items: DataFra
         partly = durable(plain.mapInArrow(run, "id long, text string, codes array<long>"))
         windows = spark.createDataFrame(sides, "item long, place long, code long")
         pairs = partly.select("id", F.explode("codes").alias("code")).distinct().join(windows, "code").groupBy("id", "item").agg(F.count_distinct("place").alias("windows")).where("windows >= 2")
-        texts = own.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("item_text"))
-        found.append(pairs.join(partly.select("id", "text").dropDuplicates(["id"]), "id").join(texts, "item").select("id", "text", "item", "item_text", "windows"))
+        found.append(pairs.join(partly.select("id", "text").dropDuplicates(["id"]), "id").join(own, "item").select("id", "text", "item", "sentences", "windows"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -342,8 +378,8 @@ def leaks(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text, item, item_words in zip(batch["id"], batch["text"], batch["item"], batch["item_text"]):
-                rows.append((i, item, len(passages(item_words)), *judge(item_words, plain_words(text), share)))
+            for i, text, item, sentences in zip(batch["id"], batch["text"], batch["item"], batch["sentences"]):
+                rows.append((i, item, len(sentences), *judge(list(sentences), plain_words(text), share)))
             yield pd.DataFrame(rows, columns=["id", "item", "of", "sentences", "share", "changed", "inconsistent"])
 
     pairs = candidates(docs, id_column, text_column, items, item_id, item_text)

@@ -264,9 +264,19 @@ def test_leaks(spark):
     assert leakage.leaks(df, "doc", "body", items.where("false"), "iid", "body").count() == 0
 
 
+def test_a_closing_instruction_is_no_passage(spark):
+    ask = "Name the place described above."
+    bodies = [f"{ITEM.split('. ')[0]}. The muddy bakery of Lamuwick abandoned 316 tilted masks near the lacquered vault number {w}." for w in ("alpha", "beta", "gamma")]
+    items = spark.createDataFrame([(k, f"{b} {ask}") for k, b in enumerate(bodies)] + [(5, bodies[0]), (6, bodies[0])], "iid long, body string")
+    df = spark.createDataFrame([(1, bodies[0]), (2, "Other words. " + bodies[0].split(". ")[1] + " " + ask)], "doc long, body string")
+    got = {(r["id"], r["item"]): r for r in leakage.leaks(df, "doc", "body", items, "iid", "body").collect()}
+    assert all(r["of"] == 2 for r in got.values()) and got[1, 0]["sentences"] == got[1, 5]["sentences"] == 2
+    assert all(r["sentences"] < 2 for (doc, _), r in got.items() if doc == 2)
+
+
 def test_sentences_are_sought_at_every_place():
     s = [x.rstrip(".") + "." for x in ITEM.split(". ")[:3]]
-    judged = lambda text: leakage.judge(ITEM, leakage.plain_words(text), 0.75)[:2]
+    judged = lambda text: leakage.judge(leakage.passages(ITEM), leakage.plain_words(text), 0.75)[:2]
     far = " unrelated words only." * 30
     assert judged(s[0] + far + s[0] + " " + s[1]) == (2, 1.0)
     cut = [x.replace("woollen ", "").replace("tilted ", "") for x in s]
