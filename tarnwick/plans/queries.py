@@ -630,6 +630,13 @@ def html_report(spark, d):
     return sinks.html_cards(rows.groupBy("source", "title").agg(F.count(F.lit(1)).cast("string").alias("n")), "title", "n", "source")
 
 
+@query
+def html_report_cards(spark, d):
+    """Rows only: a card for each source and title over all revisions; the SQL of ``html_report`` counts first revisions."""
+    rows = table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
+    return sinks.html_card_rows(rows.groupBy("source", "title").agg(F.count(F.lit(1)).cast("string").alias("n")), "title", "n", "source")
+
+
 @query
 def raster_features(spark, d):
     """Rows only: texture features of rasters, one for each supplier, made from its lines' values."""

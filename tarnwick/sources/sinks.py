@@ -6,7 +6,7 @@ import os
 import struct
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,25 @@ def with_summary(rows: DataFrame, summaries: list[DataFrame]) -> DataFrame:
     return rows
 
 
+def _safe(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _card(title: str, text: str) -> Column:
+    return F.concat(F.lit("<div><h3>"), _safe(F.col(title)), F.lit("</h3><p>"), _safe(F.col(text)), F.lit("</p></div>"))
+
+
+def html_card_rows(rows: DataFrame, title: str, text: str, by: str) -> DataFrame:
+    """(by, title, html): a card for each row, special characters escaped; no group is gathered.
+
+    A writer partitioned by ``by`` and sorted by title puts the cards of a section together.
+    """
+    return rows.select(by, F.coalesce(title, F.lit("")).alias("title"), _card(title, text).alias("html"))
+
+
 def html_cards(rows: DataFrame, title: str, text: str, by: str) -> DataFrame:
     """(by, html): one section a group with a card for each row, in order of title; special characters escaped."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    card = F.concat(F.lit("<div><h3>"), safe(F.col(title)), F.lit("</h3><p>"), safe(F.col(text)), F.lit("</p></div>"))
-    cards = rows.select(by, F.struct(F.coalesce(title, F.lit("")).alias("t"), card.alias("c")).alias("s"))
+    cards = rows.select(by, F.struct(F.coalesce(title, F.lit("")).alias("t"), _card(title, text).alias("c")).alias("s"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]), "")
     return cards.groupBy(by).agg(F.concat(F.lit("<section>"), body, F.lit("</section>")).alias("html"))
 

@@ -55,3 +55,13 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.stop()
     assert {tuple(r) for r in spark.table("gates").collect()} == {tuple(r) for r in gates.gate_counts(rows, "ts", "v", 50.0, 200.0).collect()}
     assert gates.sessions(rows, "ts", "user").count() == 3
+
+
+def test_report_cards_count_every_revision(spark, tmp_path):
+    from tarnwick.plans.queries import Q
+
+    rows = [("a", "x<y", 1), ("a", "x<y", 2), (None, "z", 3), ("", "z", 4), ("b", None, 2)]
+    spark.createDataFrame(rows, "source string, title string, rev_no int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in Q["html_report_cards"](spark, str(tmp_path)).collect())
+    card = "<div><h3>{}</h3><p>{}</p></div>".format
+    assert got == [("", "z", card("z", 2)), ("a", "x<y", card("x&lt;y", 2)), ("b", "", card("", 1))]
