@@ -4,28 +4,36 @@ Pre-tokenisation uses no regex. A chunk of texts becomes one array of code point
 already holds its look-ahead (a blank before a word, an apostrophe before ``re`` and so on). Each class is a
 transition function on the states of a small automaton; the functions are composed by an associative scan
 (doubling steps over a table of the finite monoid) until every prefix is a constant function, and state and
-class of each character tell whether a piece starts there. Distinct pieces of a chunk are merged once, through
-a cache kept by each Python worker, and the ids are gathered back for all pieces at once.
+class of each character tell whether a piece starts there. Pieces of a chunk are told apart by a hash and every
+piece is then compared, code point by code point, with the one that stands for its hash; what differs is told
+apart by its text. Distinct pieces are merged once, through a bounded cache kept by each Python worker, and the
+ids are gathered back for all pieces at once. The start of each id's piece is kept for decoding.
 
 Defined cases: null and empty texts give an empty list; strings that look like control tokens are plain text;
 texts of any length are encoded whole; lone surrogates cannot occur in Spark strings. The vocabulary file (one
-base64 token and its rank a line) is a path that every executor can read.
+base64 token and its rank a line) is read where the driver runs or from a shared store, and shipped to the
+executors.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1_000_000
+#: Merged pieces that a worker remembers, and the longest of them; beyond that it starts anew, with the same ids.
+CACHE_PIECES, CACHE_LETTERS = 200_000, 64
 
 # Classes of characters: letter, number, other, apostrophe before one / two contraction letters, white space
 # inside a run, blank that joins the next piece, last white space of a run that joins nothing, end of a text.
@@ -120,6 +128,11 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@cache
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in _ranks(path).items()}
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the neighbouring pair of lowest rank merges first, the leftmost on a tie."""
     if piece in ranks:
@@ -158,6 +171,30 @@ class Encoder:
                 self.powers = np.cumprod(np.full(n, self._BASE, np.uint64))
                 self.inverse = np.cumprod(np.full(n, inverse, np.uint64))
 
+    def _ids(self, piece: str) -> list[int]:
+        ids = self.cache.get(piece)
+        if ids is None:
+            ids = merge_piece(piece.encode(), self.ranks)
+            if len(piece) <= CACHE_LETTERS:
+                if len(self.cache) >= CACHE_PIECES:
+                    self.cache.clear()
+                self.cache[piece] = ids
+        return ids
+
+    @staticmethod
+    def _unlike(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.ndarray) -> np.ndarray:
+        """Pieces whose code points are not those of the piece ``like`` names for them."""
+        sizes = stops - starts
+        same = sizes == sizes[like]
+        checked = np.flatnonzero(same & (like != np.arange(len(like))))
+        if len(checked):
+            size = sizes[checked]
+            begin = np.cumsum(size) - size
+            inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+            equal = codes[np.repeat(starts[checked], size) + inside] == codes[np.repeat(starts[like[checked]], size) + inside]
+            same[checked] = np.minimum.reduceat(equal, begin)
+        return np.flatnonzero(~same)
+
     def chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts on end, offsets of the texts in them, start of each id's piece as a character of its text)."""
         joined = "\n".join(texts) + "\n"
@@ -174,15 +211,11 @@ class Encoder:
         real = ~is_end[starts]
         starts, stops, marks = starts[real], stops[real], marks[real]
         _, first, which = np.unique(marks, return_index=True, return_inverse=True)
-        merged = []
-        for a, b in zip(starts[first].tolist(), stops[first].tolist()):
-            piece = joined[a:b]
-            ids = self.cache.get(piece)
-            if ids is None:
-                ids = merge_piece(piece.encode(), self.ranks)
-                if len(piece) <= 64:
-                    self.cache[piece] = ids
-            merged.append(ids)
+        odd = self._unlike(codes, starts, stops, first[which])
+        merged = [self._ids(joined[a:b]) for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+        for at in odd.tolist():
+            which[at] = len(merged)
+            merged.append(self._ids(joined[starts[at] : stops[at]]))
         size = np.fromiter(map(len, merged), np.int64, len(merged))
         flat = np.fromiter((x for ids in merged for x in ids), np.int32, int(size.sum()))
         begin = np.cumsum(size) - size
@@ -199,6 +232,12 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _shipped(df: DataFrame, path: str) -> str:
+    """Ships the file at ``path`` to all executors; the name under which a task finds it."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
@@ -213,9 +252,10 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
 
 def encode(df: DataFrame, id_column: str, text_column: str, path: str, offsets: bool = False) -> DataFrame:
     """(id, ids): the ids of each text; with ``offsets`` also ``starts``, the character where each id's piece starts."""
+    name = _shipped(df, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(SparkFiles.get(name))
         for batch in batches:
             done = 0
             for texts in _chunks(batch.column(1).to_pylist()):
@@ -225,19 +265,38 @@ def encode(df: DataFrame, id_column: str, text_column: str, path: str, offsets:
                 done += len(texts)
 
     key = df.schema[id_column].dataType.simpleString()
-    coded = df.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).mapInArrow(run, f"key {key}, ids array<int>" + ", starts array<int>" * offsets)
+    coded = df.select(F.col(f"`{id_column}`").alias("key"), F.col(f"`{text_column}`").alias("text")).mapInArrow(run, f"key {key}, ids array<int>" + ", starts array<int>" * offsets)
     return coded.withColumnRenamed("key", id_column)
 
 
-def decode(df: DataFrame, id_column: str, ids_column: str, path: str) -> DataFrame:
-    """(id, text): the text of each list of ids, the exact inverse of ``encode``; null gives the empty text."""
+def decode(df: DataFrame, id_column: str, ids_column: str, path: str, starts_column: str | None = None) -> DataFrame:
+    """(id, text): the text of each list of ids, the exact inverse of ``encode``; null gives the empty text.
+
+    With ``starts_column`` the ids of each piece are decoded by themselves, and ``placed`` tells whether every
+    piece begins at the character its offset names.
+    """
+    name = _shipped(df, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in _ranks(path).items()}
+        tokens = _tokens(SparkFiles.get(name))
         for batch in batches:
-            texts = [b"".join(map(tokens.__getitem__, ids or [])).decode() for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+            lists = batch.column(1).to_pylist()
+            if starts_column is None:
+                texts = [b"".join(map(tokens.__getitem__, ids or [])).decode() for ids in lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+                continue
+            texts, placed = [], []
+            for ids, starts in zip(lists, batch.column(2).to_pylist()):
+                pieces, right, size = [], True, 0
+                for start, own in itertools.groupby(zip(starts or [], ids or []), key=lambda p: p[0]):
+                    pieces.append(b"".join(tokens[i] for _, i in own).decode())
+                    right &= start == size
+                    size += len(pieces[-1])
+                texts.append("".join(pieces))
+                placed.append(right)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(placed)], ["key", "text", "placed"])
 
     key = df.schema[id_column].dataType.simpleString()
-    plain = df.select(F.col(id_column).alias("key"), F.col(ids_column).alias("ids")).mapInArrow(run, f"key {key}, text string")
+    columns = [F.col(f"`{id_column}`").alias("key"), F.col(f"`{ids_column}`").alias("ids")] + ([F.col(f"`{starts_column}`").alias("starts")] if starts_column else [])
+    plain = df.select(*columns).mapInArrow(run, f"key {key}, text string" + ", placed boolean" * bool(starts_column))
     return plain.withColumnRenamed("key", id_column)

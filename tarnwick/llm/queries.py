@@ -12,6 +12,7 @@ from tarnwick.session import durable, table
 
 LOGS = ("standardization_log", "annotation_log", "extraction_log")
 NOT_CONTENT = ("log_id", "image_id", "logged_at", "arrived_at")
+#: Folder of the vocabularies unless ``spark.tarnwick.tokenizers`` names another.
 TOKENIZERS = "/opt/tokenizers"
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
@@ -100,16 +101,21 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(rows, durable(grouped), typical=5)
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.tarnwick.tokenizers', TOKENIZERS)}/byte_bpe_50k.tiktoken"
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", _vocabulary(spark))
 
 
 def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, same): whether decoding the ids of each document gives its text again."""
-    docs, path = table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    ids = encoding.encode(docs, "doc_id", "text", path)
-    back = encoding.decode(ids, "doc_id", "ids", path)
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was")).join(back.select("doc_id", F.md5("text").alias("now")), "doc_id").select("doc_id", (F.col("was") == F.col("now")).alias("same"))
+    """(doc_id, same): whether ids and offsets of each document, decoded piece by piece, give its text again."""
+    docs, path = table(spark, sf_dir, "documents"), _vocabulary(spark)
+    ids = encoding.encode(docs, "doc_id", "text", path, offsets=True)
+    back = encoding.decode(ids, "doc_id", "ids", path, "starts").select("doc_id", F.md5("text").alias("now"), "placed")
+    was = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("was"))
+    return was.join(back, "doc_id").select("doc_id", ((F.col("was") == F.col("now")) & F.col("placed")).alias("same"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,24 @@ def test_ids_equal_the_reference(text):
     assert ids[offsets[0] : offsets[1]].tolist() == want and ids[offsets[2] : offsets[3]].tolist() == want
 
 
+@pytest.mark.parametrize("rounds", [10, 11, 12])
+def test_pieces_of_one_hash_keep_their_own_ids(rounds):
+    word = "a"
+    for _ in range(rounds):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    ids, upto, starts = ENCODER.chunk([word, other, f"{other} {word}", word])
+    for k, text in enumerate([word, other, f"{other} {word}", word]):
+        assert ids[upto[k] : upto[k + 1]].tolist() == REFERENCE.encode_ordinary(text)
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 3)
+    encoder, texts = encoding.Encoder(VOCABULARY), ["zqx wvu", "kjh zqx", "tre wqa zqx", "wvu"]
+    ids, upto, _ = encoder.chunk(texts)
+    assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:])] == [REFERENCE.encode_ordinary(t) for t in texts] and len(encoder.cache) <= 3
+
+
 def test_encode_and_decode(spark):
     texts = [(1, "Hello it's 2024\r\n\n  <|endoftext|>"), (2, ""), (3, None), (4, "ab " * 70_000), (5, "x" * 20_000), (1, "Hello it's 2024\r\n\n  <|endoftext|>")]
     df = spark.createDataFrame([(*t, 1, [2]) for t in texts], "doc long, body string, key int, ids array<int>")
@@ -239,6 +257,10 @@ def test_encode_and_decode(spark):
         assert got[doc]["ids"] == REFERENCE.encode_ordinary(text or "")
     back = {r["doc"]: r["text"] for r in encoding.decode(coded, "doc", "ids", VOCABULARY).collect()}
     assert back == {doc: text or "" for doc, text in texts}
+    placed = {r["doc"]: (r["text"], r["placed"]) for r in encoding.decode(coded, "doc", "ids", VOCABULARY, "starts").collect()}
+    assert placed == {doc: (text or "", True) for doc, text in texts}
+    moved = coded.withColumn("starts", F.transform("starts", lambda s: s + 1))
+    assert {r["doc"] for r in encoding.decode(moved, "doc", "ids", VOCABULARY, "starts").where("not placed").collect()} == {1, 4, 5}
     assert encoding.encode(df.where("false"), "doc", "body", VOCABULARY).count() == 0
 
 
