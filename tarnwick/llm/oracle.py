@@ -13,11 +13,11 @@ _CONTENT = {
 def _canon(column: str) -> str:
     if column.endswith(":n"):
         return column[:-2]
-    low = f"lower({column})"
-    return (
-        f"array_to_string(list_sort(regexp_extract_all({low}, '[0-9]+')), ' ') || '|' || "
-        rf"array_to_string(list_sort(string_split(regexp_replace({low}, '[^\p{{L}}\p{{M}}]+', '', 'g'), '')), '')"
-    )
+    # Twice, as a match takes the letters around a mark with it.
+    parted = column
+    for _ in range(2):
+        parted = rf"regexp_replace({parted}, '(\p{{Ll}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
+    return rf"array_to_string(list_sort(regexp_extract_all(lower({parted}), '[\p{{L}}\p{{M}}]+|\p{{N}}+')), ' ')"
 
 
 def _classes(name: str) -> str:

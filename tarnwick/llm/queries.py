@@ -46,7 +46,7 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name in LOGS:
         df = table(spark, sf_dir, name)
-        classes = dedupe.copy_classes(dedupe.survivors(df, "log_id", _content(df)))
+        classes = dedupe.counted(df, "log_id", _content(df))
         parts.append(classes.select(F.lit(name).alias("tbl"), F.col("id_a").alias("log_id"), "copies"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the eight operators on small fixtures."""
 
 import base64
+import itertools
 
 import numpy as np
 import pytest
@@ -68,11 +69,43 @@ def test_copies(spark):
     df = spark.createDataFrame(rows, "log_id long, lo string, hi string, n double, raw string")
     names = ["lo", "hi", "n", "raw"]
     assert _rows(dedupe.copies(df, "log_id", names)) == {(3, 5), (3, 9), (7, 8)}
-    counts = {(r["id_a"], r["copies"]) for r in dedupe.copy_classes(dedupe.survivors(df, "log_id", names)).collect()}
-    assert counts == {(3, 3), (1, 1), (2, 1), (4, 1), (7, 2)}
+    assert _rows(dedupe.counted(df, "log_id", names)) == {(3, 3), (1, 1), (2, 1), (4, 1), (7, 2)}
     assert dedupe.copies(df.where("false"), "log_id", names).count() == 0
 
 
+def test_words_written_together_are_copies_and_anagrams_are_not(spark):
+    values = [
+        "Naso tonganus", "Naso nagnotus", "silent", "listen", "IMG 12 34", "IMG1234", "img-1243", "tonganusnaso", "TONGANUS_NASO", "Abc def ghi 7", "GHI7 ABCDEF", "abc ghidef 7", "ghi abc def7",
+        "a ab", "aab", "aba", "x" * 5_000 + " y", "Y" + "X" * 5_000, None, "", " - ", "é e", "ée", "12 3", "1 23", "123",
+    ]
+    df = spark.createDataFrame([(i, v, i % 3 if i < 0 else 1) for i, v in enumerate(values)], "id long, v string, n int")
+    got = _rows(dedupe.copies(df, "id", ["v", "n"]))
+    same = [[0, 7, 8], [4, 5], [9, 10, 11, 12], [13, 14, 15], [16, 17], [19, 20], [21, 22], [23, 24, 25]]
+    assert got == {(g[0], other) for g in same for other in g[1:]}
+    assert {r["copies"] for r in dedupe.counted(df, "id", ["v", "n"]).where("id_a = 9").collect()} == {4}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=3), min_size=1, max_size=5), st.data())
+def test_joined_words_against_all_orders(fine, data):
+    coarse = data.draw(st.lists(st.text("ab", min_size=1, max_size=5), min_size=1, max_size=4))
+
+    def splits(words):
+        if not words:
+            return {()}
+        return {tuple(sorted((*rest, head))) for n in range(1, len(words) + 1) for chosen in itertools.permutations(range(len(words)), n) if 0 in chosen
+                for head in ["".join(words[i] for i in chosen)] for rest in splits([w for i, w in enumerate(words) if i not in chosen])}
+
+    assert dedupe.joined(fine, coarse) == (tuple(sorted(coarse)) in splits(fine))
+
+
+def test_a_hot_line_is_counted_once_for_each_id(spark):
+    hot = spark.range(4_000).selectExpr("id", "'Naso - tonganus' as v").union(spark.range(4_000).selectExpr("id", "'Naso - tonganus' as v"))
+    df = hot.union(spark.range(4_000, 6_000).selectExpr("id", "concat(repeat(' ', cast(id % 50 as int)), 'tonganus naso')"))
+    assert _rows(dedupe.counted(df, "id", ["v"])) == {(0, 6_000)}
+    assert dedupe.copies(df, "id", ["v"]).count() == 5_999
+
+
 # 3
 
 
