@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.splits import components
 from tarnwick.session import durable
 
 #: Parts that a hot line is counted in.
@@ -142,10 +141,11 @@ def _links(rows: DataFrame, lines: DataFrame, several: DataFrame) -> DataFrame:
     word of the coarser one; of the coarser one's words the one with the fewest such partners is asked.
     """
     one = durable(lines.join(several.select("bucket"), "bucket", "left_semi").groupBy("bucket", "canon", "words").agg(F.min("raw").alias("raw")))
-    if one.isEmpty():
+    compared = one.count()
+    if not compared:
         return one.select(F.col("canon").alias("u"), F.col("canon").alias("v"))
     keys = [c for c in rows.columns if c != "id"]
-    wanted = one.select("raw") if one.count() > BROADCAST_ROWS else F.broadcast(one.select("raw"))
+    wanted = one.select("raw") if compared > BROADCAST_ROWS else F.broadcast(one.select("raw"))
     raw = _digest([F.col(c) for c in keys]).alias("raw")
     texts = rows.select(raw, *keys).join(wanted, "raw", "left_semi").groupBy("raw", *keys).agg(F.lit(1).alias("one"))
     told, _ = _canonical(rows)
@@ -170,6 +170,23 @@ def _links(rows: DataFrame, lines: DataFrame, several: DataFrame) -> DataFrame:
     return pairs.join(fine_texts, "u").join(coarse_texts, "v").select("u", "v", "texts", "others").mapInArrow(check, "u binary, v binary")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(v, root): each linked text with the smallest text that links lead to.
+
+    Texts hand on the smallest text they know until nothing changes; a chain of written-together texts is as long
+    as a text has words at most, and mostly one link long.
+    """
+    both = durable(links.union(links.select("v", "u")).distinct())
+    labels = both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("root"))
+    while True:
+        labels = durable(labels)
+        told = both.join(labels, "v").groupBy(F.col("u").alias("v")).agg(F.min("root").alias("told"))
+        moved = durable(labels.join(told, "v").select("v", F.least("root", "told").alias("root"), (F.col("told") < F.col("root")).alias("moved")))
+        labels = moved.select("v", "root")
+        if moved.where("moved").isEmpty():
+            return labels
+
+
 def copy_classes(df: DataFrame, id_column: str, content: list[str], lines: DataFrame) -> DataFrame:
     """(canon, id_a, copies): for each canonical text its class's smallest id and number of lines, from ``survivors``."""
     kinds = lines.groupBy("bucket").agg(
@@ -179,7 +196,7 @@ def copy_classes(df: DataFrame, id_column: str, content: list[str], lines: DataF
     single = kinds.where("canon = other").select("canon", "id_a", "copies")
     mixed = kinds.where("canon <> other")
     texts = lines.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("canon").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"))
-    roots = components(_links(_content(df, id_column, content), lines, mixed.where("few < many")))
+    roots = _roots(_links(_content(df, id_column, content), lines, mixed.where("few < many")))
     rooted = durable(texts.join(roots.withColumnRenamed("v", "canon"), "canon", "left").select("canon", F.coalesce("root", "canon").alias("root"), "lo", "n"))
     whole = rooted.groupBy("root").agg(F.min("lo").alias("id_a"), F.sum("n").alias("copies"))
     return single.unionByName(rooted.select("canon", "root").join(whole, "root").select("canon", "id_a", "copies"))
