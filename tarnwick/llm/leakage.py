@@ -1,17 +1,23 @@
 """Held-out test items inside a training corpus, found by template canonicalisation.
 
 Every word of a text becomes a typed token: numbers and units become placeholders, words that no item uses
-outside its names become the placeholder of a name, other words stay. Windows of five tokens are joined by hash
-with the windows of the items. For each pair of document and item that shares windows at two or more places of
-the item, the slots are then checked: words, numbers and names are aligned sentence by sentence in the document,
-and the report tells a leak of the wording from a copy of the template with other, consistent slots.
+outside its names become the placeholder of a name, other words stay. Windows of five tokens are looked up by
+hash among the windows of the items, in the task that reads the text. For each pair of document and item that
+shares windows at two or more places of the item, the sentences are then aligned and the slots checked.
+
+A sentence is held where at least ``share`` of its words stand in order (its wording is kept), or where at least
+``share`` of its words outside the slots do and its slots are filled with words of their own type, each filling
+standing for one slot word and each slot word for one filling, over all sentences of a run (a re-parameterised
+item). Fillings that break this one-to-one replacement do not count.
 
 Folding of characters (lower case, accents, look-alike letters, invisible characters) and the windows run on
-arrays of code points, whole texts at once; only candidates are aligned word by word.
+arrays of code points, whole texts at once; only candidates are aligned word by word. Notes and templates are
+read twice, in their place and behind the text, whatever their length; the better reading counts.
 
 Defined cases: null and empty texts and items match nothing; a document sent twice gives one row; a question at
-the end of an item, or a last sentence that ends several items word for word, does not count; an item of a single sentence leaks if that sentence does; windows shared by
-items give candidates for each of them; texts of any length are read whole.
+the end of an item, or a last sentence that ends several items word for word, does not count; an item of a single
+sentence leaks if that sentence does; windows shared by items give candidates for each of them; texts of any
+length are read whole; which words are names does not depend on how the items are cut into blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +27,7 @@ import html
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -34,7 +39,12 @@ from pyspark.sql import functions as F
 from tarnwick.session import durable
 
 WINDOW = 5
+#: Items whose windows and sentences one pass over the corpus takes along; more items take more passes.
 ITEM_BLOCK = 20_000
+#: Distinct words of all items; beyond it the items are refused.
+MOST_WORDS = 2_000_000
+#: Share of slots in a sentence up to which it can be told from its other words alone.
+SLOT_SHARE = 0.5
 CHUNK_CHARS = 1_000_000
 #: Items that a sentence ends before it counts as a closing.
 REPEATS = 3
@@ -42,7 +52,7 @@ REPEATS = 3
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнАВЕКМНОРСТУХІЈЅοανρικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhkmtbhabekmhopctyxijsoavpiktuabezhikmnoptyx"))
 #: Characters that are not seen.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-#: Units of measure.
+#: Units of measure, unless others are given.
 UNITS = "mm cm km metres meters kilometres kilometers grams kilograms kg litres liters percent years weeks days hours minutes".split()
 _NUMBER, _UNIT, _NAME = 1, 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -115,22 +125,43 @@ def _windows(tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, found
 
 
-def _short(limit: int):
-    """Drops a short match (a note on the text), keeps the inside of a long one (a quotation)."""
-    return lambda m: " " if len(m[0]) <= limit else " " + m[0][2:-2] + " "
+def _folded(text: str) -> list[str]:
+    return "".join(map(_fold_cached, text)).split()
+
+
+def readings(text: str) -> list[list[str]]:
+    """Folded words of a text without markup, words cut at a line's end joined, in one reading or two.
+
+    Notes and templates keep their content where they stand in the first reading; in the second it follows the text.
+    """
+    text = re.sub(r"<ref[^<>]*/>", " ", html.unescape(text))
+    open_at: dict[str, list[int]] = {"{": [], "<": []}
+    spans: list[tuple[int, int]] = []
+    for mark in re.finditer(r"\{\{|\}\}|<ref[^<>]*>|</ref>", text):
+        begins = open_at["{" if mark[0][0] in "{}" else "<"]
+        if mark[0] not in ("}}", "</ref>"):
+            begins.append(mark.start())
+        elif begins:
+            begin = begins.pop()
+            # What lies inside goes along with it.
+            while spans and spans[-1][0] >= begin:
+                spans.pop()
+            spans.append((begin, mark.end()))
+    edges = [0, *[at for span in spans for at in span], len(text)]
+    apart = " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    parts = [text[a:b] for a, b in spans]
+
+    def words(part: str) -> list[str]:
+        part = re.sub(r"</?[A-Za-z][^<>]*>", " ", part)
+        part = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", part)
+        return _folded(re.sub(r"[-‐]\s*\r?\n\s*(?=\w)", "", part))
+
+    return [words(text), words("\n\n".join([apart, *parts]))] if parts else [words(text)]
 
 
 def plain_words(text: str) -> list[str]:
-    """Folded words of a text without markup; words cut at a line's end are joined, long templates keep their content."""
-    text = html.unescape(text)
-    text = re.sub(r"<ref[^>]*/>", " ", text)
-    text = re.sub(r"<ref[^>]*>.*?</ref>", _short(200), text, flags=re.S)
-    for _ in range(3):
-        text = re.sub(r"\{\{[^{}]*\}\}", _short(80), text)
-    text = re.sub(r"</?[A-Za-z][^>]{0,80}>", " ", text)
-    text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", text)
-    text = re.sub(r"[-‐]\s*\r?\n\s*(?=\w)", "", text)
-    return "".join(map(_fold_cached, text)).split()
+    """Folded words of a text without markup, notes and templates in their place."""
+    return readings(text)[0]
 
 
 _fold_cached = cache(_fold)
@@ -205,24 +236,6 @@ def _hits(sentence: list[str], part: list[str]) -> list[tuple[int, int]]:
     return hits[::-1]
 
 
-def _changes(sentence: list[str], part: list[str]) -> list[tuple[str, str]]:
-    """(word, other word in its place) between two aligned words."""
-    hits = _hits(sentence, part)
-    return [(sentence[a + 1], part[b + 1]) for (a, b), (c, d) in zip(hits, hits[1:]) if c == a + 2 and d == b + 2]
-
-
-def _best_part(sentence: list[str], words: list[str], places: dict[str, list[int]]) -> list[str]:
-    """The stretch of a document with the most words of a sentence at their offset."""
-    votes: Counter[int] = Counter()
-    for k, word in enumerate(sentence):
-        for p in places.get(word, ()):
-            votes[(p - k) // 4] += 1
-    if not votes:
-        return []
-    near = max(votes, key=lambda v: (votes[v - 1] + votes[v] + votes[v + 1], -v)) * 4
-    return words[max(0, near - 8) : near + len(sentence) + 12]
-
-
 def _like(places: dict[str, list[int]]) -> dict[str, list[str]]:
     """The words of a document by themselves and by their beginnings that ``_same`` may take for them."""
     found: dict[str, list[str]] = {}
@@ -268,119 +281,227 @@ def _placements(sentence: list[str], places: dict[str, list[int]], like: dict[st
     return sorted((first, last, got / len(sentence)) for (last, got), first in latest.items())
 
 
-def judge(item: list[str], words: list[str], share: float) -> tuple[int, float, int, int]:
-    """(sentences found on end, their lowest share, slots changed, slots changed inconsistently).
+class Sentence:
+    """Folded words of a sentence of an item, with the type of each slot (0 for other words)."""
+
+    def __init__(self, text: str, kind: Callable[[str], int]) -> None:
+        self.words = plain_words(text)
+        self.kinds = [kind(w) for w in self.words]
+        self.fixed = [k for k, slot in enumerate(self.kinds) if not slot]
+        self.templated = len(self.fixed) < len(self.words) and len(self.words) - len(self.fixed) <= SLOT_SHARE * len(self.words)
+
+
+def _fillings(sentence: Sentence, part: list[str], kind: Callable[[str], int]) -> tuple[int, list[tuple[str, str]]]:
+    """(other words found, (slot word, word in its place)) of a sentence in a stretch of a document."""
+    hits = _hits([sentence.words[k] for k in sentence.fixed], part)
+    at = [(sentence.fixed[a], b) for a, b in hits]
+    filled = []
+    for (a, b), (c, d) in zip([(-1, -1), *at], [*at, (len(sentence.words), len(part))]):
+        gap = iter(part[b + 1 : d])
+        for k in range(a + 1, c):
+            if sentence.kinds[k] and (word := next((w for w in gap if kind(w) == sentence.kinds[k]), None)) is not None:
+                filled.append((sentence.words[k], word))
+    return len(at), filled
+
+
+def _one_to_one(pairs: Iterable[tuple[str, str]]) -> dict[str, str] | None:
+    """The replacement that all ``pairs`` make together; null if a word is replaced by two or two by one."""
+    told: dict[str, str] = {}
+    for word, other in pairs:
+        if told.setdefault(word, other) != other:
+            return None
+    return told if len(set(told.values())) == len(told) else None
+
+
+class Document:
+    """Words of one reading of a document, with the places of each."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.places = words, {}
+        for p, word in enumerate(words):
+            self.places.setdefault(word, []).append(p)
+        self.like = _like(self.places)
+
+    def templates(self, sentence: Sentence, share: float, kind: Callable[[str], int]) -> list[tuple[int, int, float, dict[str, str]]]:
+        """(first, last, share, replacement) of the stretches that hold a sentence with its slots filled one to one."""
+        if not sentence.templated:
+            return []
+        edge = len(sentence.words) - len(sentence.fixed)
+        found = []
+        for first, last, _ in _placements([sentence.words[k] for k in sentence.fixed], self.places, self.like, share):
+            low = max(0, first - edge)
+            kept, filled = _fillings(sentence, self.words[low : last + 1 + edge], kind)
+            told = _one_to_one(filled)
+            got = (kept + len(filled)) / len(sentence.words)
+            if told is not None and got >= share and kept >= share * len(sentence.fixed):
+                found.append((first, last, got, told))
+        return found
+
+    def replacement(self, sentence: Sentence, first: int, last: int, kind: Callable[[str], int]) -> dict[str, str] | None:
+        """The one-to-one replacement of the slots of a sentence in a stretch, null if there is none."""
+        edge = len(sentence.words) - len(sentence.fixed)
+        return _one_to_one(_fillings(sentence, self.words[max(0, first - edge) : last + 1 + edge], kind)[1])
+
+    def longest(self, sentences: list[Sentence], found: list[list[tuple[int, int, float, dict[str, str]]]]) -> tuple[tuple[int, float], list[tuple[int, int]]]:
+        """((sentences, lowest share), (sentence, spot) of each) of the longest run whose replacements fit together."""
+        runs: list[list[tuple[int, float, int, dict[str, str]]]] = []
+        best, end = (0, 0.0), (0, -1)
+        for k, spots in enumerate(found):
+            before, ranked = found[k - 1] if k else [], []
+            for n, (first, last, got, own) in enumerate(spots):
+                run = (1, got, -1, own)
+                # A sentence reaches over its words and 20 more, the next one starts at most 12 behind its end.
+                for m in range(bisect.bisect_left(before, (first - len(sentences[k - 1].words) - 32,)), bisect.bisect_left(before, (first,))):
+                    length, low, _, told = runs[-1][m]
+                    if first <= before[m][1] + 12 and before[m][1] < last and (length + 1, min(got, low)) > run[:2]:
+                        both = _one_to_one([*told.items(), *own.items()]) if told and own else told or own
+                        if both is not None:
+                            run = (length + 1, min(got, low), m, both)
+                ranked.append(run)
+                if run[:2] > best:
+                    best, end = run[:2], (k, n)
+            runs.append(ranked)
+        chosen, (k, n) = [], end
+        while n >= 0:
+            chosen.append((k, n))
+            k, n = k - 1, runs[k][n][2]
+        return best, chosen[::-1]
+
+    def judge(self, sentences: list[Sentence], share: float, kind: Callable[[str], int]) -> tuple[int, float, int, int]:
+        """(sentences found on end, their lowest share, slots filled anew, replacements that are not one to one).
+
+        The longest run over all places of the sentences counts, of equally long ones the one with the highest share.
+        """
+        kept = [[(*spot, {}) for spot in _placements(s.words, self.places, self.like, share)] if s.words else [] for s in sentences]
+        best, chosen = self.longest(sentences, kept)
+        found = kept
+        if best[0] < len(sentences) and any(filled := [self.templates(s, share, kind) for s in sentences]):
+            # Beside a filled template the slots of kept wording must fit too.
+            both = []
+            for s, own, more in zip(sentences, kept, filled):
+                fits = [(first, last, got, one) for first, last, got, _ in own if (one := self.replacement(s, first, last, kind)) is not None]
+                both.append(sorted([*fits, *more], key=lambda spot: spot[:3]))
+            if (wider := self.longest(sentences, both))[0][0] > best[0]:
+                (best, chosen), found = wider, both
+        told: dict[str, set[str]] = {}
+        back: dict[str, set[str]] = {}
+        for k, n in chosen:
+            first, last = found[k][n][:2]
+            edge = len(sentences[k].words) - len(sentences[k].fixed)
+            for word, other in _fillings(sentences[k], self.words[max(0, first - edge) : last + 1 + edge], kind)[1]:
+                told.setdefault(word, set()).add(other)
+                back.setdefault(other, set()).add(word)
+        changed = sum(word not in others for word, others in told.items())
+        return *best, changed, sum(len(o) > 1 for o in told.values()) + sum(len(w) > 1 for w in back.values())
+
+
+def judge(item: list[str], words: list[str], share: float, names: Container[str] = ()) -> tuple[int, float, int, int]:
+    """``Document.judge`` of the sentences of one item in the words of a document; ``names`` are the words of names."""
+    kind = _kinds(set(names).__contains__, UNITS)
+    return Document(words).judge([Sentence(s, kind) for s in item], share, kind)
+
+
+def _kinds(is_name: Callable[[str], bool], units: Iterable[str]) -> Callable[[str], int]:
+    """The type of a folded word: number, unit, name, or 0 for a word of its own."""
+    of_unit = set(units)
+    return lambda w: _NUMBER if "0" <= w[0] <= "9" else _UNIT if w in of_unit else _NAME if is_name(w) else 0
+
+
+def vocabulary(told: DataFrame) -> list[str]:
+    """Folded words that any item uses outside of names: one bounded list for all items."""
 
-    The longest run over all places of the sentences counts, of equally long ones the one with the highest share.
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: dict[tuple[str, bool], None] = {}
+            for sentences in batch["sentences"]:
+                rows |= dict.fromkeys((w, False) for s in sentences for w in _folded(s)) | dict.fromkeys((w, True) for w in item_names(sentences))
+            yield pd.DataFrame(list(rows), columns=["word", "named"])
+
+    words = told.select("sentences").mapInPandas(run, "word string, named boolean").groupBy("word").agg(F.max("named").alias("named")).where("not named")
+    known = words.select("word").limit(MOST_WORDS + 1).toPandas()["word"].tolist()
+    if len(known) > MOST_WORDS:
+        raise ValueError(f"the items use more than {MOST_WORDS} words")
+    return known
+
+
+class Side:
+    """Windows and sentences of one bounded block of items, as a task needs them."""
+
+    def __init__(self, rows: pd.DataFrame, known: list[str], units: tuple[str, ...]) -> None:
+        self.items = rows["item"].to_numpy(np.int64)
+        self.texts = [list(s) for s in rows["sentences"]]
+        self.known, self.units = known, units
+        self.known_marks = np.unique(_word_marks(known)[0]) if known else np.zeros(0, np.uint64)
+        self.unit_marks = _word_marks(list(units))[0] if units else np.zeros(0, np.uint64)
+        marks, digit, text_of = _word_marks(["\n".join(s) for s in self.texts]) if self.texts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, int))
+        start, codes = _windows(_tokens(marks, digit, self.known_marks, self.unit_marks), text_of)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.place, self.owner = codes[order], start[order], text_of[start][order]
+
+    def pairs(self, texts: list[str]) -> dict[int, list[int]]:
+        """Positions of the items of which each text (by its position) shares windows at two or more places."""
+        marks, digit, text_of = _word_marks(texts)
+        start, codes = _windows(_tokens(marks, digit, self.known_marks, self.unit_marks), text_of)
+        low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, side="right")
+        count = high - low
+        hit = np.flatnonzero(count)
+        if not len(hit):
+            return {}
+        count = count[hit]
+        upto = np.cumsum(count)
+        at = np.arange(upto[-1]) - np.repeat(upto - count, count) + np.repeat(low[hit], count)
+        met = np.unique(np.stack([np.repeat(text_of[start[hit]], count), self.owner[at], self.place[at]], axis=1), axis=0)
+        first = np.flatnonzero(np.append(True, (met[1:, :2] != met[:-1, :2]).any(axis=1)))
+        found: dict[int, list[int]] = {}
+        for text, owner in met[first[np.diff(np.append(first, len(met))) >= 2], :2].tolist():
+            found.setdefault(text, []).append(owner)
+        return found
+
+
+def leaks(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, share: float = 0.75, units: Iterable[str] = UNITS) -> DataFrame:
+    """(id, item, of, sentences, share, changed, inconsistent) of each pair that shares template windows.
+
+    ``sentences`` counts the item's sentences held on end, by their wording or as a template with its slots
+    filled one to one; ``changed`` counts slot words of that run that were replaced, ``inconsistent`` those
+    replaced in more than one way or by a word that also stands for another.
     """
-    places: dict[str, list[int]] = {}
-    for p, word in enumerate(words):
-        places.setdefault(word, []).append(p)
-    like = _like(places)
-    sentences = [plain_words(s) for s in item]
-    found = [_placements(s, places, like, share) if s else [] for s in sentences]
-    runs: list[list[tuple[int, float, int]]] = []
-    best, end = (0, 0.0), (0, -1)
-    for k, spots in enumerate(found):
-        before = found[k - 1] if k else []
-        ranked = []
-        for n, (first, last, got) in enumerate(spots):
-            run = (1, got, -1)
-            # A sentence reaches over its words and 20 more, the next one starts at most 12 behind its end.
-            for m in range(bisect.bisect_left(before, (first - len(sentences[k - 1]) - 32,)), bisect.bisect_left(before, (first,))):
-                if first <= before[m][1] + 12 and before[m][1] < last:
-                    run = max(run, (runs[-1][m][0] + 1, min(got, runs[-1][m][1]), m))
-            ranked.append(run)
-            if run[:2] > best:
-                best, end = run[:2], (k, n)
-        runs.append(ranked)
-    chosen, (k, n) = {}, end
-    while n >= 0:
-        chosen[k] = found[k][n]
-        k, n = k - 1, runs[k][n][2]
-    told: dict[str, set[str]] = {}
-    changed = 0
-    for k, sentence in enumerate(sentences):
-        spot = chosen.get(k) or max(found[k], key=lambda f: (f[2], -f[0]), default=None)
-        part = words[spot[0] : spot[1] + 1] if spot else _best_part(sentence, words, places)
-        for a, b in _changes(sentence, part):
-            if not _same(a, b):
-                changed += 1
-                told.setdefault(a, set()).add(b)
-    return best[0], best[1], changed, sum(len(b) > 1 for b in told.values())
-
-
-def _sides(items: DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """Windows of one bounded block of items and the words outside their names."""
-    rows = items.toPandas()
-    kept, names = [], set()
-    for sentences in rows["sentences"]:
-        kept.append("\n".join(sentences))
-        names |= item_names(sentences)
-    marks, digit, text_of = _word_marks(kept) if kept else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, int))
-    out = np.unique(_word_marks(sorted(names))[0]) if names else np.zeros(0, np.uint64)
-    units = _word_marks(UNITS)[0]
-    known = np.setdiff1d(np.unique(marks), out)
-    start, codes = _windows(_tokens(marks, digit, known, units), text_of)
-    ids = rows["item"].to_numpy()[text_of[start]] if len(start) else []
-    return pd.DataFrame({"item": np.asarray(ids, np.int64), "place": start.astype(np.int64), "code": codes.view(np.int64)}), known, units
-
-
-def candidates(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(id, text, item, sentences, windows): pairs that share template windows at two or more places of the item."""
     spark = docs.sparkSession
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     told = durable(item_passages(items, item_id, item_text))
+    known = vocabulary(told)
+    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")).where("id is not null and text is not null")
     found = []
     for block in range(blocks):
         own = told.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        sides, words, units = _sides(own)
-        shared = spark.sparkContext.broadcast((words, units))
+        shared = spark.sparkContext.broadcast(Side(own.toPandas(), known, tuple(units)))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, unit_marks = shared.value
+            side = shared.value
+            kind = _kinds(lambda w, known=set(side.known): w not in known, side.units)
+            parsed: dict[int, list[Sentence]] = {}
             for batch in batches:
-                ids, texts, lists = [], [], []
-                rows = batch.column(1).to_pylist()
-                begin = 0
-                while begin < len(rows):
+                rows, texts, begin = [], batch.column(1).to_pylist(), 0
+                while begin < len(texts):
                     stop, size = begin, 0
-                    while stop < len(rows) and (stop == begin or size < CHUNK_CHARS):
-                        size += len(rows[stop] or "")
+                    while stop < len(texts) and (stop == begin or size < CHUNK_CHARS):
+                        size += len(texts[stop])
                         stop += 1
-                    part = [r or "" for r in rows[begin:stop]]
-                    marks, digit, text_of = _word_marks(part)
-                    start, codes = _windows(_tokens(marks, digit, known, unit_marks), text_of)
-                    count = np.bincount(text_of[start], minlength=len(part))
-                    cut = np.split(codes.view(np.int64), np.cumsum(count)[:-1])
-                    for k in np.flatnonzero(count >= 2):
-                        ids.append(batch.column(0)[begin + int(k)].as_py())
-                        texts.append(part[k])
-                        lists.append(np.unique(cut[k]))
+                    for k, owners in side.pairs(texts[begin:stop]).items():
+                        read = [Document(words) for words in readings(texts[begin + k])]
+                        for owner in owners:
+                            if owner not in parsed:
+                                parsed[owner] = [Sentence(s, kind) for s in side.texts[owner]]
+                            # The longest run of all readings; of equal ones the one with the fewest changes.
+                            best = max((d.judge(parsed[owner], share, kind) for d in read), key=lambda j: (j[0], j[1], -j[2], -j[3]))
+                            rows.append((batch.column(0)[begin + k].as_py(), int(side.items[owner]), len(parsed[owner]), *best))
                     begin = stop
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["id", "text", "codes"])
+                lists = [list(column) for column in zip(*rows)] if rows else [[] for _ in _LEAK]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(lists, _LEAK.values())], list(_LEAK))
 
-        plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
-        partly = durable(plain.mapInArrow(run, "id long, text string, codes array<long>"))
-        windows = spark.createDataFrame(sides, "item long, place long, code long")
-        pairs = partly.select("id", F.explode("codes").alias("code")).distinct().join(windows, "code").groupBy("id", "item").agg(F.count_distinct("place").alias("windows")).where("windows >= 2")
-        found.append(pairs.join(partly.select("id", "text").dropDuplicates(["id"]), "id").join(own, "item").select("id", "text", "item", "sentences", "windows"))
-    return reduce(DataFrame.unionByName, found)
+        found.append(plain.mapInArrow(run, "id long, item long, of int, sentences int, share double, changed int, inconsistent int"))
+    every = reduce(DataFrame.unionByName, found)
+    best = every.groupBy("id", "item").agg(F.max(F.struct("sentences", "share", "of", "changed", "inconsistent")).alias("best"))
+    return best.select("id", "item", "best.of", "best.sentences", "best.share", "best.changed", "best.inconsistent")
 
 
-def leaks(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, share: float = 0.75) -> DataFrame:
-    """(id, item, sentences, share, changed, inconsistent) of each candidate pair.
-
-    ``sentences`` counts the item's sentences found on end, each with at least ``share`` of its words in order;
-    ``changed`` counts replaced words and ``inconsistent`` the words replaced in more than one way.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text, item, sentences in zip(batch["id"], batch["text"], batch["item"], batch["sentences"]):
-                rows.append((i, item, len(sentences), *judge(list(sentences), plain_words(text), share)))
-            yield pd.DataFrame(rows, columns=["id", "item", "of", "sentences", "share", "changed", "inconsistent"])
-
-    pairs = candidates(docs, id_column, text_column, items, item_id, item_text)
-    return pairs.mapInPandas(run, "id long, item long, of int, sentences int, share double, changed int, inconsistent int")
+_LEAK = {"id": pa.int64(), "item": pa.int64(), "of": pa.int32(), "sentences": pa.int32(), "share": pa.float64(), "changed": pa.int32(), "inconsistent": pa.int32()}
