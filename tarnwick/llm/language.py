@@ -4,11 +4,13 @@ For each language a context tree over bytes is fitted on a bounded sample of lab
 up to ``ORDER`` the counts of the bytes after each context, with escape probabilities (method C) to the next
 lower order. The statistics are then frozen, and the exact code length of a text is a sum of table look-ups: the
 lengths of all known context-byte pairs are laid out in sorted tables, for all languages at once. Each sentence
-takes its code lengths, and each block of running text is cut into segments by the shortest total code with a
-price for each change of language.
+takes its code lengths, and the running text of a document, over all its paragraphs, is cut into segments by the
+shortest total code with a price for each change of language; letters count in lower case, so that words in capitals
+have the statistics of their language. What a template holds follows as a text of its own.
 
 Defined cases: null, empty and blank texts have no segments, nor have texts without running text; sentences that
-no language codes below ``NOISE`` bits a byte are noise; a segment needs two sentences on end; equal code
+no language codes below ``NOISE`` bits a byte are noise; a segment needs two sentences on end, whatever their
+length; a single word with a full stop (an initial, an abbreviation) belongs to the sentence behind it; equal code
 lengths go to the first language in the alphabet; documents sent twice give one row.
 """
 
@@ -16,16 +18,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 3
 NOISE = 4.2
 CHANGE = 25.0
+#: Paragraphs whose code lengths a worker remembers; beyond it starts anew, with the same result.
 CACHE_BLOCKS = 100_000
 #: Two-letter codes and the three-letter codes of the same languages.
 CODES = {"en": ["eng"], "de": ["deu", "ger"], "fr": ["fra", "fre"], "es": ["spa"], "it": ["ita"], "pt": ["por"], "nl": ["nld", "dut"], "sv": ["swe"], "pl": ["pol"], "ru": ["rus"]}
@@ -39,35 +42,69 @@ def label_code(label: Column) -> Column:
 
 
 def _sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?…])[\"'»”)\]]*\s+", text.strip()) if s[-1:] in ".!?…" and len(s.split()) >= 4]
-
-
-def running_text(block: str) -> list[str]:
-    """Sentences of a block without markup, tables, headings and references."""
-    block = html.unescape(block)
-    if "<" in block:
-        block = re.sub(r"<ref[^>]*/>|<ref[^>]*>.*?</ref>|<!--.*?-->", " ", block, flags=re.S)
-        block = re.sub(r"</?[A-Za-z][^>]{0,80}>", " ", block)
-    for _ in range(3):
-        if "{{" not in block:
-            break
-        block = re.sub(r"\{\{([^{}]*)\}\}", lambda m: " " if len(m[1]) <= 80 else " " + m[1].rpartition("|")[2] + " ", block)
-    if "[[" in block:
-        block = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", lambda m: " " if ":" in m[1] else m[1], block)
-    block = block.replace("''", "").replace("'''", "")
+    """Sentences of a paragraph; what stands behind the last one is none, a single word belongs to the next one."""
+    found, begun = [], ""
+    for piece in re.split(r"(?<=[.!?…])[\"'»”)\]]*\s+", text.strip()):
+        piece = f"{begun} {piece}" if begun else piece
+        begun = "" if " " in piece else piece
+        if not begun and piece[-1:] in ".!?…":
+            found.append(piece)
+    return found
+
+
+def _outside(text: str, begin: str, end: str) -> tuple[str, list[str]]:
+    """(text without what stands between the marks, contents of the outermost of these stretches)."""
+    open_at: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for mark in re.finditer(f"{begin}|{end}", text):
+        if re.fullmatch(begin, mark[0]):
+            open_at.append(mark.start())
+        elif open_at:
+            start = open_at.pop()
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            spans.append((start, mark.end()))
+    edges = [0, *[at for span in spans for at in span], len(text)]
+    return " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), [text[a:b] for a, b in spans]
+
+
+def paragraphs(text: str) -> list[list[str]]:
+    """Paragraphs of the text of a document and of each of its templates, without markup, tables, headings, references."""
+    text = html.unescape(text).replace("\r", "")
+    asides: list[str] = []
+    if "<" in text:
+        text, _ = _outside(re.sub(r"<ref[^<>]*/>", " ", text), r"<ref[^<>]*>", r"</ref>")
+        text, _ = _outside(text, r"<!--", r"-->")
+        text = re.sub(r"</?[A-Za-z][^<>]*>", " ", text)
+    if "{{" in text:
+        text, inside = _outside(text, r"\{\{", r"\}\}")
+        # The values of a template stand on lines of their own.
+        asides = ["\n\n".join(v.partition("=")[2] or v for v in re.split(r"[{}|]+", part)) for part in inside]
+    return [p for p in map(_paragraphs, [text, *asides]) if p]
+
+
+def _paragraphs(text: str) -> list[str]:
+    if "[[" in text:
+        text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", lambda m: " " if ":" in m[1] else m[1], text)
     found, open_lines = [], []
-    for line in [*block.split("\n"), "="]:
+    for line in [*re.sub(r"'{2,}", "", text).split("\n"), ""]:
         line = line.strip()
-        if line[:1] in ("|", "!", "=", "{", "}", "#", "*"):
-            found += _sentences(" ".join(open_lines))
-            open_lines = []
-            if line[:1] == "*":
-                found += _sentences(line.lstrip("* "))
-        else:
+        if line and line[0] not in "|!={}#*":
             open_lines.append(line)
+            continue
+        if open_lines:
+            found.append(" ".join(open_lines))
+            open_lines = []
+        if line[:1] == "*":
+            found.append(line.lstrip("* "))
     return found
 
 
+def running_text(text: str) -> list[str]:
+    """All sentences of a text, paragraph by paragraph."""
+    return [s for part in paragraphs(text) for p in part for s in _sentences(p)]
+
+
 class Ppm:
     """Frozen context trees of several languages as sorted tables of code lengths."""
 
@@ -124,7 +161,7 @@ class Ppm:
 
     def lengths(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(code length of each sentence in each language, its bytes)."""
-        coded = [(" " + s).encode() for s in sentences]
+        coded = [(" " + s.lower()).encode() for s in sentences]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         if not len(coded):
             return np.zeros((0, len(self.languages)), np.float32), sizes
@@ -174,13 +211,10 @@ def fit(docs: DataFrame, id_column: str, text_column: str, label_column: str, sa
 
     Wrong labels in the sample are outvoted before the fit: its sentences go to the language whose trigrams fit.
     """
-    labelled = docs.select(id_column, F.col(text_column).alias("text"), label_code(F.col(label_column)).alias("lang")).where("lang is not null and length(text) > 80")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n * len(counts) // sample_rows))]) if counts else F.lit(None)
-    picked = labelled.where(F.pmod(F.xxhash64(id_column), parts[F.col("lang")]) == 0).limit(3 * sample_rows).toPandas() if counts else pd.DataFrame({"text": [], "lang": []})
-    told: list[tuple[str, str]] = []
-    for text, lang in zip(picked["text"], picked["lang"]):
-        told += [(s, lang) for block in text.replace("\r", "").split("\n\n") for s in running_text(block)]
+    labelled = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), label_code(F.col(f"`{label_column}`")).alias("lang")).where("lang is not null and length(text) > 80")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    picked = labelled.withColumn("place", F.row_number().over(first)).where(F.col("place") <= -(-sample_rows // len(CODES))).select("text", "lang").toPandas()
+    told = [(s, lang) for text, lang in zip(picked["text"], picked["lang"]) for s in running_text(text)]
     for _ in range(2):
         told = _relabelled(told)
     by: dict[str, dict[str, None]] = {lang: {} for lang in CODES}
@@ -188,7 +222,7 @@ def fit(docs: DataFrame, id_column: str, text_column: str, label_column: str, sa
         by[lang][s] = None
     rng = np.random.default_rng(0)
     shuffled = {lang: [list(group)[i] for i in rng.permutation(len(group))] for lang, group in by.items()}
-    return Ppm({lang: ("  " + "  ".join(group)).encode()[:language_bytes] for lang, group in shuffled.items()})
+    return Ppm({lang: ("  " + "  ".join(group)).lower().encode()[:language_bytes] for lang, group in shuffled.items()})
 
 
 def _relabelled(told: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -200,7 +234,7 @@ def _relabelled(told: list[tuple[str, str]]) -> list[tuple[str, str]]:
     if not told:
         return told
     sentences, labels = [s for s, _ in told], sorted(CODES)
-    coded = [(" " + s).encode() for s in sentences]
+    coded = [(" " + s.lower()).encode() for s in sentences]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     distinct, which = np.unique(Ppm.grams(np.frombuffer(b"".join(coded), np.uint8), 2), return_inverse=True)
     owner = np.repeat([labels.index(lang) for _, lang in told], sizes)
@@ -210,40 +244,54 @@ def _relabelled(told: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(s, labels[k]) for s, k in zip(sentences, sums.argmin(axis=1))]
 
 
-def document_segments(docs: DataFrame, id_column: str, text_column: str, model: Ppm) -> DataFrame:
-    """(id, segment, lang, sentences, confidence): the segments of each document with two or more sentences, in order."""
+def _read(docs: DataFrame, id_column: str, text_column: str, model: Ppm, rows_of: Callable[[list[tuple[str, int, float]]], list[tuple]], schema: str, label: Column) -> DataFrame:
+    """Rows of ``schema``, behind id and label, that ``rows_of`` makes of the (language, sentences, confidence) of each document's segments."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
-        cached: dict[str, list[tuple[int, int, float]]] = {}
+        cached: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            split = [[b for b in text.replace("\r", "").split("\n\n") if len(b) > 40] for text in batch["text"]]
-            fresh = list(dict.fromkeys(b for blocks in split for b in blocks if b not in cached))
+            texts = [paragraphs(text) for text in batch["text"]]
+            fresh = list(dict.fromkeys(p for parts in texts for part in parts for p in part if p not in cached))
             for begin in range(0, len(fresh), 2_000):
-                part = fresh[begin : begin + 2_000]
-                sentences = [running_text(b) for b in part]
+                own = fresh[begin : begin + 2_000]
+                sentences = [_sentences(p) for p in own]
                 lengths, sizes = trees.lengths([s for group in sentences for s in group])
                 at = 0
-                for block, group in zip(part, sentences):
-                    own = segments(lengths[at : at + len(group)], sizes[at : at + len(group)]) if group else []
-                    cached[block] = [(lang, count, share) for lang, _, count, share in own if count >= 2]
+                for paragraph, group in zip(own, sentences):
+                    cached[paragraph] = lengths[at : at + len(group)], sizes[at : at + len(group)]
                     at += len(group)
             rows = []
-            for i, blocks in zip(batch["id"], split):
-                rows += [(i, k, trees.languages[lang], count, share) for k, (lang, count, share) in enumerate(x for b in blocks for x in cached[b])]
-            yield pd.DataFrame(rows, columns=["id", "segment", "lang", "sentences", "confidence"])
+            for i, label, parts in zip(batch["id"], batch["label"], texts):
+                told = []
+                for part in parts:
+                    lengths, sizes = (np.concatenate(x) for x in zip(*[cached[p] for p in part]))
+                    told += [(trees.languages[lang], count, share) for lang, _, count, share in segments(lengths, sizes) if count >= 2]
+                rows += [(i, label, *row) for row in rows_of(told)]
+            yield pd.DataFrame(rows, columns=names)
             if len(cached) > CACHE_BLOCKS:
                 cached.clear()
 
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and length(text) > 0")
-    return plain.mapInPandas(run, "id long, segment int, lang string, sentences int, confidence double")
+    names = ["id", "label", *[c.split()[0] for c in schema.split(", ")]]
+    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), label.alias("label"), F.col(f"`{text_column}`").alias("text")).where("id is not null and length(text) > 0")
+    return plain.mapInPandas(run, f"id long, label string, {schema}")
+
+
+def document_segments(docs: DataFrame, id_column: str, text_column: str, model: Ppm) -> DataFrame:
+    """(id, segment, lang, sentences, confidence): the segments of each document with two or more sentences, in order."""
+    rows_of = lambda told: [(k, *segment) for k, segment in enumerate(told)]
+    return _read(docs, id_column, text_column, model, rows_of, "segment int, lang string, sentences int, confidence double", F.lit(None).cast("string")).drop("label")
 
 
 def document_languages(docs: DataFrame, id_column: str, text_column: str, label_column: str, model: Ppm) -> DataFrame:
     """(id, lang, sentences, confidence, languages, label): each language of a document beside its label's code."""
-    found = document_segments(docs, id_column, text_column, model)
-    own = found.groupBy("id", "lang").agg(F.sum("sentences").alias("sentences"), F.max("confidence").alias("confidence"))
-    counts = own.groupBy("id").agg(F.count(F.lit(1)).alias("languages"))
-    labels = docs.select(F.col(id_column).cast("long").alias("id"), label_code(F.col(label_column)).alias("label")).distinct()
-    return own.join(counts, "id").join(labels, "id")
+
+    def rows_of(told: list[tuple[str, int, float]]) -> list[tuple]:
+        by = {lang: [s for s in told if s[0] == lang] for lang in dict.fromkeys(s[0] for s in told)}
+        return [(lang, sum(s[1] for s in own), max(s[2] for s in own), len(by)) for lang, own in by.items()]
+
+    label = label_code(F.col(f"`{label_column}`"))
+    found = _read(docs, id_column, text_column, model, rows_of, "lang string, sentences int, confidence double, languages int", label)
+    whole = found.groupBy("id", "lang").agg(F.max(F.struct("languages", "sentences", "confidence", "label")).alias("best"))
+    return whole.select("id", "lang", "best.sentences", "best.confidence", "best.languages", "best.label")

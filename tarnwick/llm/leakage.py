@@ -217,16 +217,22 @@ def _same(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) > 3 and abs(len(a) - len(b)) <= 2 and (a.startswith(b) or b.startswith(a)))
 
 
-def _hits(sentence: list[str], part: list[str]) -> list[tuple[int, int]]:
-    """Aligned places of the longest common subsequence: the earliest end and from there the latest start."""
-    size = [[0] * (len(part) + 1) for _ in range(len(sentence) + 1)]
-    for i, word in enumerate(sentence):
+def _hits(wanted: list[Container[str]], part: list[str]) -> list[tuple[int, int]]:
+    """Aligned places of the longest common subsequence: the earliest end and from there the latest start.
+
+    ``wanted`` holds, for each word of a sentence, the words that count as it.
+    """
+    size = [[0] * (len(part) + 1)]
+    for accepted in wanted:
+        above, row, left = size[-1], [0], 0
         for j, other in enumerate(part):
-            size[i + 1][j + 1] = size[i][j] + 1 if _same(word, other) else max(size[i][j + 1], size[i + 1][j])
-    i, j = len(sentence), size[-1].index(size[-1][-1])
+            left = above[j] + 1 if other in accepted else left if left > above[j + 1] else above[j + 1]
+            row.append(left)
+        size.append(row)
+    i, j = len(wanted), size[-1].index(size[-1][-1])
     hits = []
     while i and j:
-        if _same(sentence[i - 1], part[j - 1]) and size[i][j] == size[i - 1][j - 1] + 1:
+        if part[j - 1] in wanted[i - 1] and size[i][j] == size[i - 1][j - 1] + 1:
             i, j = i - 1, j - 1
             hits.append((i, j))
         elif size[i - 1][j] >= size[i][j - 1]:
@@ -246,7 +252,7 @@ def _like(places: dict[str, list[int]]) -> dict[str, list[str]]:
     return found
 
 
-def _placements(sentence: list[str], places: dict[str, list[int]], like: dict[str, list[str]], share: float) -> list[tuple[int, int, float]]:
+def _placements(sentence: list[str], places: dict[str, list[int]], counted: Callable[[str], Iterable[str]], share: float) -> list[tuple[int, int, float]]:
     """(first, last, share), ordered, of every stretch of the document that holds at least ``share`` of the sentence in order.
 
     Each word that may begin a stretch is tried; for each number of words found, the earliest end is kept and the
@@ -256,14 +262,15 @@ def _placements(sentence: list[str], places: dict[str, list[int]], like: dict[st
     at: dict[int, int] = {}
     own: list[np.ndarray] = []
     for k, word in enumerate(sentence):
-        others = set(like.get(word, ())) | {short for short in (word[:-1], word[:-2]) if len(short) > 3 and short in places}
-        spots = [p for other in others for p in places[other]]
+        spots = [p for other in counted(word) for p in places[other]]
         own.append(np.sort(np.array(spots, np.int64)))
         for p in spots:
             at[p] = at.get(p, 0) | 1 << k
     early = [spots for spots in own[: len(sentence) - need + 1] if len(spots)]
     if not early:
         return []
+    if sum(map(bool, map(len, own))) < need:
+        return []
     start, reach = np.unique(np.concatenate(early)), len(sentence) + 20
     held = sum((np.searchsorted(spots, start + reach) > np.searchsorted(spots, start)).astype(np.int64) for spots in own)
     full, every = (1 << len(sentence)) - 1, np.array(sorted(at), np.int64)
@@ -291,19 +298,6 @@ class Sentence:
         self.templated = len(self.fixed) < len(self.words) and len(self.words) - len(self.fixed) <= SLOT_SHARE * len(self.words)
 
 
-def _fillings(sentence: Sentence, part: list[str], kind: Callable[[str], int]) -> tuple[int, list[tuple[str, str]]]:
-    """(other words found, (slot word, word in its place)) of a sentence in a stretch of a document."""
-    hits = _hits([sentence.words[k] for k in sentence.fixed], part)
-    at = [(sentence.fixed[a], b) for a, b in hits]
-    filled = []
-    for (a, b), (c, d) in zip([(-1, -1), *at], [*at, (len(sentence.words), len(part))]):
-        gap = iter(part[b + 1 : d])
-        for k in range(a + 1, c):
-            if sentence.kinds[k] and (word := next((w for w in gap if kind(w) == sentence.kinds[k]), None)) is not None:
-                filled.append((sentence.words[k], word))
-    return len(at), filled
-
-
 def _one_to_one(pairs: Iterable[tuple[str, str]]) -> dict[str, str] | None:
     """The replacement that all ``pairs`` make together; null if a word is replaced by two or two by one."""
     told: dict[str, str] = {}
@@ -321,16 +315,38 @@ class Document:
         for p, word in enumerate(words):
             self.places.setdefault(word, []).append(p)
         self.like = _like(self.places)
+        self.accepted: dict[str, frozenset[str]] = {}
+
+    def counted(self, word: str) -> frozenset[str]:
+        """The words of the document that count as ``word``."""
+        if word not in self.accepted:
+            shorts = [short for short in (word[:-1], word[:-2]) if len(short) > 3 and short in self.places]
+            self.accepted[word] = frozenset([*self.like.get(word, ()), *shorts])
+        return self.accepted[word]
+
+    def fillings(self, sentence: Sentence, first: int, last: int, kind: Callable[[str], int]) -> tuple[int, list[tuple[str, str]]]:
+        """(other words found, (slot word, word in its place)) of a sentence in a stretch of the document."""
+        edge = len(sentence.words) - len(sentence.fixed)
+        part = self.words[max(0, first - edge) : last + 1 + edge]
+        at = [(sentence.fixed[a], b) for a, b in _hits([self.counted(sentence.words[k]) for k in sentence.fixed], part)]
+        filled = []
+        for (a, b), (c, d) in zip([(-1, -1), *at], [*at, (len(sentence.words), len(part))]):
+            gap = iter(part[b + 1 : d])
+            for k in range(a + 1, c):
+                if sentence.kinds[k] and (word := next((w for w in gap if kind(w) == sentence.kinds[k]), None)) is not None:
+                    filled.append((sentence.words[k], word))
+        return len(at), filled
 
     def templates(self, sentence: Sentence, share: float, kind: Callable[[str], int]) -> list[tuple[int, int, float, dict[str, str]]]:
         """(first, last, share, replacement) of the stretches that hold a sentence with its slots filled one to one."""
         if not sentence.templated:
             return []
-        edge = len(sentence.words) - len(sentence.fixed)
+        widest: dict[int, tuple[float, int]] = {}
+        for first, last, got in _placements([sentence.words[k] for k in sentence.fixed], self.places, self.counted, share):
+            widest[first] = max(widest.get(first, (0.0, 0)), (got, last))
         found = []
-        for first, last, _ in _placements([sentence.words[k] for k in sentence.fixed], self.places, self.like, share):
-            low = max(0, first - edge)
-            kept, filled = _fillings(sentence, self.words[low : last + 1 + edge], kind)
+        for first, (_, last) in sorted(widest.items()):
+            kept, filled = self.fillings(sentence, first, last, kind)
             told = _one_to_one(filled)
             got = (kept + len(filled)) / len(sentence.words)
             if told is not None and got >= share and kept >= share * len(sentence.fixed):
@@ -339,8 +355,7 @@ class Document:
 
     def replacement(self, sentence: Sentence, first: int, last: int, kind: Callable[[str], int]) -> dict[str, str] | None:
         """The one-to-one replacement of the slots of a sentence in a stretch, null if there is none."""
-        edge = len(sentence.words) - len(sentence.fixed)
-        return _one_to_one(_fillings(sentence, self.words[max(0, first - edge) : last + 1 + edge], kind)[1])
+        return _one_to_one(self.fillings(sentence, first, last, kind)[1])
 
     def longest(self, sentences: list[Sentence], found: list[list[tuple[int, int, float, dict[str, str]]]]) -> tuple[tuple[int, float], list[tuple[int, int]]]:
         """((sentences, lowest share), (sentence, spot) of each) of the longest run whose replacements fit together."""
@@ -372,7 +387,7 @@ class Document:
 
         The longest run over all places of the sentences counts, of equally long ones the one with the highest share.
         """
-        kept = [[(*spot, {}) for spot in _placements(s.words, self.places, self.like, share)] if s.words else [] for s in sentences]
+        kept = [[(*spot, {}) for spot in _placements(s.words, self.places, self.counted, share)] if s.words else [] for s in sentences]
         best, chosen = self.longest(sentences, kept)
         found = kept
         if best[0] < len(sentences) and any(filled := [self.templates(s, share, kind) for s in sentences]):
@@ -387,8 +402,7 @@ class Document:
         back: dict[str, set[str]] = {}
         for k, n in chosen:
             first, last = found[k][n][:2]
-            edge = len(sentences[k].words) - len(sentences[k].fixed)
-            for word, other in _fillings(sentences[k], self.words[max(0, first - edge) : last + 1 + edge], kind)[1]:
+            for word, other in self.fillings(sentences[k], first, last, kind)[1]:
                 told.setdefault(word, set()).add(other)
                 back.setdefault(other, set()).add(word)
         changed = sum(word not in others for word, others in told.items())
@@ -487,7 +501,7 @@ def leaks(docs: DataFrame, id_column: str, text_column: str, items: DataFrame, i
                         size += len(texts[stop])
                         stop += 1
                     for k, owners in side.pairs(texts[begin:stop]).items():
-                        read = [Document(words) for words in readings(texts[begin + k])]
+                        read = list(map(Document, readings(texts[begin + k])))
                         for owner in owners:
                             if owner not in parsed:
                                 parsed[owner] = [Sentence(s, kind) for s in side.texts[owner]]

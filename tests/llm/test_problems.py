@@ -385,8 +385,9 @@ def test_placements_against_brute_force(sentence, words):
     places: dict = {}
     for p, word in enumerate(words):
         places.setdefault(word, []).append(p)
-    got = leakage._placements(sentence, places, leakage._like(places), 0.75)
-    whole = lambda a, b: len(leakage._hits(sentence, words[a : b + 1])) / len(sentence)
+    doc = leakage.Document(words)
+    got = leakage._placements(sentence, places, doc.counted, 0.75)
+    whole = lambda a, b: len(leakage._hits([doc.counted(w) for w in sentence], words[a : b + 1])) / len(sentence)
     assert all(whole(a, b) == share >= 0.75 for a, b, share in got)
     for a in range(len(words)):
         for b in range(a, min(len(words), a + len(sentence) + 20)):
@@ -435,5 +436,15 @@ def test_languages(spark):
     assert not {503, 504, 505, 506} & {i for i, _ in found}
     assert all(r["lang"] == "en" for (i, _), r in found.items() if i < 60) and all(r["lang"] == "de" for (i, _), r in found.items() if 100 <= i < 160)
     assert all(0 < r["confidence"] <= 1 for r in found.values())
+    cases = {
+        600: ("\n\n".join(GERMAN), None, {"de"}), 601: ("\r\n\r\n".join(ENGLISH + GERMAN), "en", {"en", "de"}), 602: (f"{ENGLISH[0]}\n\n== x ==\n\n{ENGLISH[1]}", None, {"en"}),
+        603: ("{{quote|text=" + " ".join(GERMAN) + "}}", None, {"de"}), 604: (" ".join(ENGLISH[:2]) + "<ref>" + " ".join(GERMAN) + "</ref>", None, {"en"}),
+        605: (f"{GERMAN[0]}\n\n{ENGLISH[0]}\n\n{ENGLISH[1]}", None, {"en"}), 606: ("The fish sleeps. It returns.", None, {"en"}), 607: ("{{" * 2_000 + " ".join(ENGLISH) + "}}" * 1_000, None, {"en"}),
+        610: (" ".join(ENGLISH[:2] + [x.upper() for x in ENGLISH]), None, {"en"}), 611: (" ".join(GERMAN).upper(), None, {"de"}),
+        608: (" ".join(ENGLISH) * 3_000, None, {"en"}), 609: ("{{x|a=1|" + ENGLISH[0] + "}}", None, set()),
+    }
+    also = spark.createDataFrame([(i, text, label, 1) for i, (text, label, _) in cases.items()] * 2, "doc long, body string, label string, id int")
+    got = _rows(language.document_languages(also, "doc", "body", "label", model).select("id", "lang"))
+    assert got == {(i, lang) for i, (_, _, want) in cases.items() for lang in want}
     empty = df.where("false")
     assert language.document_languages(empty, "doc", "body", "label", language.fit(empty, "doc", "body", "label")).count() == 0
