@@ -6,6 +6,12 @@ that no similar leader precedes is a pivot and takes the free rows similar to it
 round. When no row is free, pivots that are alike are merged the same way under more hash tables, and every
 member moves to the closest pivot it meets. The comparisons grow with the rows, not with the pairs in a cluster.
 
+The hash sees the colour blocks without their order (each value sorted over the blocks, which brings no two rows
+further apart than any order of the blocks does), so a row has one bucket a table whatever its shares. The bits of a
+bucket grow with the logarithm of the rows, and the tables with the bits, so that two rows at the radius meet with
+the same chance at every size. Partners of a bucket or a pivot that has more than ``HOT_ROWS`` of them are spread
+over parts by that number.
+
 Defined cases: rows whose array in either field is null, of the wrong length or holds null or non-finite values
 take no part; an id sent several times counts once; equal distances go to the smaller pivot id; rows alike to no
 other row form clusters of one; an empty table gives an empty result.
@@ -26,7 +32,10 @@ from pyspark.sql import functions as F
 from tarnwick.llm.vectors import matrix
 from tarnwick.session import durable
 
-SALTS = 8
+#: Rows of one bucket or pivot that one part joins.
+HOT_ROWS = 50_000
+#: Width of a cell of the hash in radii.
+CELL = 1.2
 BLOCKS = 5
 #: Places of hues among the 26 values: five colour blocks of hue, saturation, value, five shares, back and belly.
 HUES = [0, 3, 6, 9, 12, 20, 23]
@@ -54,17 +63,6 @@ def _patterns(rows: np.ndarray, share_gap: float) -> np.ndarray:
     return close @ (1 << np.arange(BLOCKS - 1))
 
 
-def variants(rows: np.ndarray, share_gap: float) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, rows) in every order that near-equal shares of neighbouring blocks allow."""
-    patterns, at, out = _patterns(rows, share_gap), [], []
-    for pattern in np.unique(patterns):
-        own = np.flatnonzero(patterns == pattern)
-        for order in _orders(int(pattern)):
-            at.append(own)
-            out.append(rows[own][:, _columns(order)])
-    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, int), rows)
-
-
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     gap = a - b
     turn = np.abs(gap[:, HUES]) % 1.0
@@ -107,6 +105,21 @@ def _embed(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows[:, plain], np.cos(turn) / (2 * np.pi), np.sin(turn) / (2 * np.pi)])
 
 
+def _orderless(rows: np.ndarray) -> np.ndarray:
+    """As ``_embed``, with each value sorted over the colour blocks: no further apart than any order of the blocks."""
+    placed = _embed(rows)
+    plain, turns = WIDTH - len(HUES), len(HUES)
+    for columns in (range(0, 10, 2), range(1, 10, 2), range(10, 15), range(plain, plain + BLOCKS), range(plain + turns, plain + turns + BLOCKS)):
+        placed[:, columns] = np.sort(placed[:, columns], axis=1)
+    return placed
+
+
+def tables_for(bits: int, chance: float) -> int:
+    """Hash tables of ``bits`` directions in which two rows at the radius meet at least once with ``chance``."""
+    one = (1 - math.sqrt(2 / math.pi) / (CELL * math.sqrt(WIDTH + len(HUES)))) ** bits
+    return math.ceil(math.log(1 - chance) / math.log(1 - one))
+
+
 def _centre(means: np.ndarray) -> np.ndarray:
     """Rows of the 26 values whose place on the circles is that of ``means``."""
     out = np.zeros((len(means), WIDTH))
@@ -119,7 +132,7 @@ def _centre(means: np.ndarray) -> np.ndarray:
 def buckets(rows: np.ndarray, seed: int, tables: int, bits: int, width: float) -> np.ndarray:
     """Bucket of each row in each table: cells of ``bits`` random directions, ``width`` wide."""
     rng = np.random.default_rng(seed)
-    placed = _embed(rows)
+    placed = _orderless(rows)
     found = np.zeros((len(rows), tables), np.uint64)
     with np.errstate(over="ignore"):
         for t in range(tables):
@@ -134,7 +147,7 @@ def buckets(rows: np.ndarray, seed: int, tables: int, bits: int, width: float) -
 
 
 def points(rows: DataFrame, id_column: str, colours: str, sides: str) -> DataFrame:
-    """(id, x): the 26 compared values of each sound row, packed in single precision, once for each id."""
+    """(id, x): the 26 compared values of each sound row, packed as they are, once for each id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +162,13 @@ def points(rows: DataFrame, id_column: str, colours: str, sides: str) -> DataFra
 
 
 def _packed(x: np.ndarray) -> pa.Array:
-    size = 4 * WIDTH
-    data = np.ascontiguousarray(x, np.float32)
+    size = 8 * WIDTH
+    data = np.ascontiguousarray(x, np.float64)
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * size, size, dtype=np.int32)), pa.py_buffer(data)])
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    """Rows of a packed column; values stored with six decimals come back as they were."""
-    values = np.frombuffer(b"".join(column.to_pylist()), np.float32)
-    return np.round(values.astype(np.float64), 6).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, WIDTH)
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -169,20 +180,31 @@ def _order(column: str) -> Column:
     return F.struct(F.xxhash64(F.col(column)).alias("h"), F.col(column).alias("id"))
 
 
-def _in_buckets(rows: DataFrame, hashes: Callable[[np.ndarray], np.ndarray], share_gap: float) -> DataFrame:
+def _in_buckets(rows: DataFrame, hashes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unpacked(batch.column(1))
-            at, every = variants(x, share_gap)
-            found = hashes(every)
-            ids = np.repeat(batch.column(0).to_numpy()[at], found.shape[1])
+            found = hashes(_unpacked(batch.column(1)))
+            ids = np.repeat(batch.column(0).to_numpy(), found.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found.ravel())], ["id", "bucket"])
 
     return rows.select("id", "x").mapInArrow(run, "id long, bucket long")
 
 
-def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, radius: float, share_gap: float) -> DataFrame:
-    """(id, other, distance) of the pairs closer than ``radius``."""
+def _spread(rows: DataFrame, few: DataFrame, key: str, load: DataFrame) -> DataFrame:
+    """``rows`` (with ``id``) joined with ``few`` on ``key``; the rows of a hot key go to parts, each with its own copy of ``few``.
+
+    ``load`` (key, n) tells the rows of each key. Keys with more than ``HOT_ROWS`` are at most the rows over that
+    number, so their list is small beside the rows.
+    """
+    hot = F.broadcast(load.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    right = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, load: DataFrame, radius: float, share_gap: float) -> DataFrame:
+    """(id, other, distance) of the pairs closer than ``radius``; ``load`` (other, n) tells the pairs of each ``other``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,59 +212,54 @@ def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, radius: float
             close = pa.array(np.flatnonzero(apart < radius))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(apart).take(close)], ["id", "other", "distance"])
 
-    # A pivot of a third of the rows is one key: its partners spread over salts.
-    theirs = others.select(F.col("id").alias("other"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    mine = pairs.join(rows.select("id", "x"), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    full = mine.join(theirs, ["other", "salt"]).select("id", "other", "x", "y")
+    theirs = others.select(F.col("id").alias("other"), F.col("x").alias("y"))
+    full = _spread(pairs.join(rows.select("id", "x"), "id"), theirs, "other", load).select("id", "other", "x", "y")
     return full.mapInArrow(run, "id long, other long, distance double")
 
 
-def _meet(placed: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (id, other) of rows and the leaders of their buckets; a bucket's rows are spread over salts."""
-    left = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    right = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, ["bucket", "salt"]).where("id <> other").select("id", "other").distinct()
-
-
 def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
     """(id, pivot) of the rows that one round settles."""
-    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, 1.2 * radius), share_gap))
-    leaders = placed.groupBy("bucket").agg(F.min(_order("id"))["id"].alias("other"))
+    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, CELL * radius)))
+    leaders = durable(placed.groupBy("bucket").agg(F.min(_order("id"))["id"].alias("other"), F.count(F.lit(1)).alias("n")))
     heads = durable(leaders.select(F.col("other").alias("id")).distinct().join(free, "id"))
-    close = durable(_compare(_meet(placed, leaders), free, heads, radius, share_gap))
-    preceded = close.where(_order("other") < _order("id")).select("id").distinct()
-    pivots = heads.join(preceded, "id", "left_anti").select(F.col("id").alias("other"))
+    shared = leaders.where("n > 1")
+    met = _spread(placed, shared.select("bucket", "other"), "bucket", shared).where("id <> other").select("id", "other").distinct()
+    close = durable(_compare(met, free, heads, shared.groupBy("other").agg(F.sum("n").alias("n")), radius, share_gap))
+    # The leader of a bucket comes before all its rows, so a row close to a leader is preceded by it.
+    pivots = heads.join(close.select("id").distinct(), "id", "left_anti").select(F.col("id").alias("other"))
     taken = close.join(pivots, "other").groupBy("id").agg(F.min(_order("other"))["id"].alias("pivot"))
     return durable(taken.join(pivots.select(F.col("other").alias("id")), "id", "left_anti").union(pivots.select("other", "other")))
 
 
-def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int, max_rounds: int) -> DataFrame:
+def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
+    """(id, pivot) of all rows. The first free row in hashed order becomes a pivot in each round, so the rounds end."""
     free, settled = rows, []
     while not free.isEmpty():
-        if len(settled) >= max_rounds:
-            raise RuntimeError(f"rows are free after {max_rounds} rounds")
         settled.append(_round(free, radius, share_gap, seed + len(settled), tables, bits))
         free = durable(free.join(settled[-1].select("id"), "id", "left_anti"))
     return reduce(DataFrame.union, settled) if settled else rows.select("id", F.col("id").alias("pivot"))
 
 
-def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, merge_tables: int = 16, max_rounds: int = 60) -> DataFrame:
+def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, chance: float = 0.99, choice_chance: float = 0.9) -> DataFrame:
     """(id, pivot) of each row of ``points``; rows of one cluster share the pivot.
 
-    The bits of a bucket grow with the logarithm of the rows, so a bucket holds few clusters at any size.
+    Pivots that are alike meet with ``chance`` in each round that merges them, a member and another pivot as close
+    as its own with ``choice_chance``.
     """
-    bits = min(14, max(4, round(math.log(max(2, rows.count())) / 1.2)))
-    first = durable(_settle(rows, radius, share_gap, 1, tables, bits, max_rounds))
+    bits = max(4, round(math.log(max(2, rows.count())) / 1.2))
+    first = durable(_settle(rows, radius, share_gap, 1, tables, bits))
     heads = durable(rows.join(first.select(F.col("pivot").alias("id")).distinct(), "id"))
-    merged = durable(_settle(heads, radius, share_gap, 1001, merge_tables, bits + 3, max_rounds))
+    merged = durable(_settle(heads, radius, share_gap, 1001, tables_for(bits + 3, chance), bits + 3))
     told = durable(first.join(merged.select(F.col("id").alias("pivot"), F.col("pivot").alias("top")), "pivot").select("id", F.col("top").alias("other")))
     centres = durable(rows.join(told.select(F.col("other").alias("id")).distinct(), "id"))
-    hashes = lambda x: buckets(x, 2001, tables, bits + 6, 1.2 * radius)
-    seen = _meet(_in_buckets(rows, hashes, share_gap), _in_buckets(centres, hashes, share_gap).select("bucket", F.col("id").alias("other")).distinct())
+    hashes = lambda x: buckets(x, 2001, tables_for(bits + 3, choice_chance), bits + 3, CELL * radius)
+    near = durable(_in_buckets(centres, hashes).select("bucket", F.col("id").alias("other")))
+    placed = _in_buckets(rows, hashes).join(near.select("bucket").distinct(), "bucket", "left_semi")
+    seen = placed.join(near, "bucket").where("id <> other").select("id", "other").distinct()
     # Only members that meet another pivot than their own have a choice.
     rival = durable(seen.join(told, ["id", "other"], "left_anti").join(centres.select("id"), "id", "left_anti"))
-    choice = rival.union(told.join(rival.select("id").distinct(), "id", "left_semi"))
-    close = _compare(choice, rows, centres, radius, share_gap)
+    choice = durable(rival.union(told.join(rival.select("id").distinct(), "id", "left_semi")))
+    close = _compare(choice, rows, centres, choice.groupBy("other").agg(F.count(F.lit(1)).alias("n")), radius, share_gap)
     best = close.groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("best"))
     return told.join(best, "id", "left").select("id", F.coalesce("best", "other").alias("pivot"))
 
@@ -253,16 +270,11 @@ def members(clustered: DataFrame, least: int) -> DataFrame:
     return clustered.join(named.select("pivot", "cluster_id"), "pivot").select("id", "cluster_id", "pivot")
 
 
-def _beside(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
-    """``rows`` joined with the one row of ``few`` a key; the rows of a hot key spread over salts."""
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return left.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
-
-
 def describe(rows: DataFrame, grouped: DataFrame, typical: int, share_gap: float = 0.002) -> DataFrame:
-    """(cluster_id, size, medoid, typical): the member closest to the cluster's centre and the ``typical`` closest ones.
+    """(cluster_id, size, medoid, typical): each cluster's medoid and its ``typical`` most typical members.
 
-    Every member comes into the order of blocks that fits its pivot best; the centre is the mean of the members in
+    The medoid is the member with the least sum of squared distances to all members; that is the one closest to
+    the centre, so no pairs are compared. Every member comes into the order of blocks that fits its pivot best; the centre is the mean of the members in
     that order, with hues on a circle, and members are ranked by ``distances`` to it, as the clusters are made.
     Spark keeps the first members of each map task before the shuffle, so a large cluster sends few rows.
     """
@@ -280,10 +292,11 @@ def describe(rows: DataFrame, grouped: DataFrame, typical: int, share_gap: float
 
     size = WIDTH + len(HUES)
     pivots = rows.join(grouped.select(F.col("pivot").alias("id")).distinct(), "id").select(F.col("id").alias("pivot"), F.col("x").alias("y"))
-    beside = _beside(rows.join(grouped, "id"), "pivot", pivots).select("id", "cluster_id", "x", "y")
+    beside = _spread(rows.join(grouped, "id"), pivots, "pivot", grouped.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))).select("id", "cluster_id", "x", "y")
     placed = durable(beside.mapInArrow(align, "id long, cluster_id long, x binary, e array<double>"))
     means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.col("e")[i]) for i in range(size)]).alias("mean"))
-    ranks = _beside(placed.drop("e"), "cluster_id", means).select("id", "cluster_id", "size", "x", "mean")
+    means = durable(means)
+    ranks = _spread(placed.drop("e"), means, "cluster_id", means.select("cluster_id", F.col("size").alias("n"))).select("id", "cluster_id", "size", "x", "mean")
     gaps = ranks.mapInArrow(rank, "id long, cluster_id long, size long, gap double")
     ranked = gaps.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("gap", "id"))).where(F.col("rank") <= typical)
     lists = F.array_sort(F.collect_list(F.struct("rank", "id")))

@@ -42,12 +42,14 @@ def label_code(label: Column) -> Column:
 
 
 def _sentences(text: str) -> list[str]:
-    """Sentences of a paragraph; what stands behind the last one is none, a single word belongs to the next one."""
+    """Sentences of a paragraph: two words or more; a single word belongs to the next sentence, signs without a word are none."""
     found, begun = [], ""
     for piece in re.split(r"(?<=[.!?…])[\"'»”)\]]*\s+", text.strip()):
+        words = len(re.findall(r"[^\W\d_]+", piece))
         piece = f"{begun} {piece}" if begun else piece
-        begun = "" if " " in piece else piece
-        if not begun and piece[-1:] in ".!?…":
+        alone = words == 1 and not begun
+        begun = piece if alone else ""
+        if words and not alone and piece[-1] in ".!?…":
             found.append(piece)
     return found
 

@@ -4,6 +4,7 @@ import base64
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,6 +247,58 @@ def test_clusters_against_brute_force(spark):
     assert clusters.members(clusters.cluster(none, 0.25, 0.002), 3).count() == 0
 
 
+def test_values_keep_all_their_decimals_and_equal_shares_cost_one_row_a_table(spark):
+    x = np.zeros((40, 29))
+    x[:, 0] = 0.12345678 + np.arange(40) * 1e-8
+    df = spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(x)], "fid long, dom array<double>, side array<double>")
+    pts = clusters.points(df, "fid", "dom", "side")
+    got = {r["id"]: clusters._unpacked(pa.array([bytes(r["x"])]))[0] for r in pts.collect()}
+    assert all((got[i][:20] == x[i, :20]).all() for i in range(40))
+    assert clusters._in_buckets(pts, lambda v: clusters.buckets(v, 1, 4, 10, 0.3)).count() == 160
+    # Just inside and outside of the radius: the difference lies in the eighth decimal.
+    ends = np.zeros((6, 29))
+    ends[:3, 1], ends[3:, 1] = 0.1, 0.1 + np.array([0.24999999, 0.24999999, 0.24999999])
+    many = spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(ends)], "fid long, dom array<double>, side array<double>")
+    assert {r["cluster_id"] for r in clusters.members(clusters.cluster(clusters.points(many, "fid", "dom", "side"), 0.25, 0.002), 3).collect()} == {0}
+    ends[3:, 1] += 2e-8
+    many = spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(ends)], "fid long, dom array<double>, side array<double>")
+    assert {r["cluster_id"] for r in clusters.members(clusters.cluster(clusters.points(many, "fid", "dom", "side"), 0.25, 0.002), 3).collect()} == {0, 3}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_rows_without_block_order_are_no_further_apart(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.random((20, 26)), rng.random((20, 26))
+    gap = np.sqrt(((clusters._orderless(a) - clusters._orderless(b)) ** 2).sum(axis=1))
+    for order in itertools.permutations(range(5)):
+        assert (gap <= np.sqrt(clusters._apart(a[:, clusters._columns(list(order))].copy(), b)) + 1e-12).all()
+
+
+@pytest.mark.parametrize("bits", [6, 14, 22])
+def test_rows_at_the_radius_meet_with_the_same_chance(bits):
+    rng = np.random.default_rng(bits)
+    a = np.tile([0.5] * 26, (400, 1))
+    step = rng.normal(size=a.shape)
+    step[:, clusters.HUES] = 0
+    # Steps that keep the order of the blocks keep their whole length.
+    a[:, 1:15:3], a[:, 2:15:3], a[:, 15:20] = [0.1, 0.3, 0.5, 0.7, 0.9], [0.1, 0.3, 0.5, 0.7, 0.9], [0.1, 0.3, 0.5, 0.7, 0.9]
+    b = a + step / np.linalg.norm(step, axis=1, keepdims=True) * 0.2499
+    tables = clusters.tables_for(bits, 0.9)
+    met = (clusters.buckets(a, 3, tables, bits, clusters.CELL * 0.25) == clusters.buckets(b, 3, tables, bits, clusters.CELL * 0.25)).any(axis=1)
+    assert 0.8 < met.mean() <= 1
+
+
+def test_a_pivot_with_many_members_is_spread_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "HOT_ROWS", 50)
+    rng = np.random.default_rng(8)
+    x = np.repeat(_colours(rng, 2), [700, 40], axis=0) + rng.normal(size=(740, 29)) * 0.003
+    df = spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(x)], "fid long, dom array<double>, side array<double>")
+    pts = clusters.points(df, "fid", "dom", "side")
+    told = clusters.describe(pts, clusters.members(clusters.cluster(pts, 0.25, 0.002), 3), 5).collect()
+    assert {(r["cluster_id"], r["size"]) for r in told} == {(0, 700), (700, 40)}
+
+
 def test_typical_rows_of_a_cluster_in_both_block_orders(spark):
     rng = np.random.default_rng(6)
     base = np.hstack([[0.99, 0.9, 0.9, 0.3, 0.1, 0.2], rng.random(9), [0.3, 0.3, 0.2, 0.15, 0.05], rng.random(9)])
@@ -441,6 +494,7 @@ def test_languages(spark):
         603: ("{{quote|text=" + " ".join(GERMAN) + "}}", None, {"de"}), 604: (" ".join(ENGLISH[:2]) + "<ref>" + " ".join(GERMAN) + "</ref>", None, {"en"}),
         605: (f"{GERMAN[0]}\n\n{ENGLISH[0]}\n\n{ENGLISH[1]}", None, {"en"}), 606: ("The fish sleeps. It returns.", None, {"en"}), 607: ("{{" * 2_000 + " ".join(ENGLISH) + "}}" * 1_000, None, {"en"}),
         610: (" ".join(ENGLISH[:2] + [x.upper() for x in ENGLISH]), None, {"en"}), 611: (" ".join(GERMAN).upper(), None, {"de"}),
+        612: ("~~~~ $%*!*!?$*?\n\n~~~~ $%*!*!*!?$*?", None, set()), 613: ("Dr. " + GERMAN[0], "en", set()),
         608: (" ".join(ENGLISH) * 3_000, None, {"en"}), 609: ("{{x|a=1|" + ENGLISH[0] + "}}", None, set()),
     }
     also = spark.createDataFrame([(i, text, label, 1) for i, (text, label, _) in cases.items()] * 2, "doc long, body string, label string, id int")
