@@ -1,9 +1,10 @@
 """Mapping of free-entered values to the entries of a reference list.
 
-Distinct values are parsed into keys of letters; the keys meet the reference entries in shards. Each shard holds
-a BK-tree under the Levenshtein metric and walks it for a block of keys at once: at every node the distances
-to all keys still alive come from one array program, and the triangle inequality prunes each key's children.
-A shard returns every entry within the threshold; the shards' winners then merge into the closest entry.
+Distinct values are parsed into keys of letters; the keys meet the reference entries in shards. A task holds one
+shard as a BK-tree under the Levenshtein metric, built once, and all its keys stream through it in batches: at every
+node the distances to all keys still alive come from one array program, and the triangle inequality prunes each
+key's children. A shard returns every entry within the threshold, also the equal one; the shards' winners then merge
+into the closest entry.
 """
 
 from __future__ import annotations
@@ -20,23 +21,60 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import durable
 
-# Words beside a name that do not change what is meant.
+#: Entries of one tree, and keys that one task walks through it at least.
+SHARD_ROWS, TASK_KEYS = 20_000, 2_000
+#: Fixed values, by what is usual in typed names of species: words beside a name that do not change what is meant.
 QUALIFIERS = {"cf", "aff", "nr", "juv", "male", "female", "adult", "ssp", "subsp", "var", "mask", "match", "copy"}
+#: Digits typed for letters inside a word.
+DIGITS = str.maketrans("01", "ol")
 FILE_ENDING = re.compile(r"\.(png|jpe?g|webp|tiff?|bmp)\b")
 
 
-def levenshtein(word: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Distances from one word to many: rows of ``others`` are code points padded to the longest."""
-    steps = np.arange(others.shape[1] + 1, dtype=np.int16)
+def _by_rows(word: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Distances from one word of any length to many: rows of ``others`` are code points padded to the longest."""
+    steps = np.arange(others.shape[1] + 1, dtype=np.int32)
     row = np.broadcast_to(steps, (len(others), len(steps)))
     for i, code in enumerate(word, 1):
-        best = np.empty(row.shape, np.int16)
+        best = np.empty(row.shape, np.int32)
         best[:, 0] = i
-        np.minimum(row[:, 1:] + np.int16(1), row[:, :-1] + (others != code), out=best[:, 1:])
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (others != code), out=best[:, 1:])
         row = np.minimum.accumulate(best - steps, axis=1) + steps
     return row[np.arange(len(others)), lengths]
 
 
+def levenshtein(word: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Distances from one word to many: rows of ``others`` are code points padded to the longest.
+
+    A column of the distance table of a word of up to 64 letters is two numbers, the bits where it rises and where
+    it falls (the bit-vector algorithm); all rows take their next letter at once.
+    """
+    m = len(word)
+    if not m or m > 64:
+        return _by_rows(word, others, lengths)
+    letters, at = np.unique(word, return_inverse=True)
+    masks = np.zeros(len(letters) + 1, np.uint64)
+    for i, k in enumerate(at):
+        masks[k] |= np.uint64(1 << i)
+    place = np.minimum(np.searchsorted(letters, others), len(letters) - 1)
+    place[letters[place] != others] = len(letters)
+    equal = masks[place.T]
+    one, high = np.uint64(1), np.uint64(m - 1)
+    rises, falls = np.full(len(others), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(others), np.uint64)
+    score = np.full(len(others), m, np.int32)
+    found = score.copy()
+    for j in range(int(lengths.max(initial=0))):
+        same = equal[j]
+        across = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | ~(across | rises), rises & across
+        score += ((up >> high) & one).astype(np.int32)
+        score -= ((down >> high) & one).astype(np.int32)
+        last = lengths == j + 1
+        found[last] = score[last]
+        up, down = (up << one) | one, down << one
+        rises, falls = down | ~((same | falls) | up), up & (same | falls)
+    return found
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -50,7 +88,7 @@ class BKTree:
         self.children: list[dict[int, int]] = [{} for _ in self.words]
         if len(self.words) > 1:
             width = max(map(len, self.codes))
-            table = np.zeros((len(self.codes), width), np.uint32)
+            table = np.full((len(self.codes), width), 0xFFFFFFFF, np.uint32)
             for i, c in enumerate(self.codes):
                 table[i, : len(c)] = c
             lengths = np.array([len(c) for c in self.codes])
@@ -86,24 +124,39 @@ class BKTree:
                     todo.append((child, kept))
 
 
-def within(keys: DataFrame, entries: DataFrame, shard_rows: int = 20_000, block_rows: int = 2_000) -> DataFrame:
+def within(keys: DataFrame, entries: DataFrame, shard_rows: int = SHARD_ROWS, task_keys: int = TASK_KEYS) -> DataFrame:
     """(key, word, distance): every entry ``word`` within ``most`` edits of a key.
 
-    ``keys`` has ``key`` and ``most`` (distinct), ``entries`` has ``word`` (distinct). Both are cut into bounded
-    groups, shards of entries and blocks of keys, that meet pairwise; a task holds one shard and one block.
+    ``keys`` has ``key`` and ``most`` (distinct), ``entries`` has ``word`` (distinct). Entries are cut into shards
+    of bounded size and keys into parts; a task has one shard and one part. Its rows come sorted, the entries first:
+    it builds the tree from them and lets the keys stream through it. There are as many parts as the cluster has
+    cores for each shard (fewer for few keys), so a tree is built as often as it has a core, whatever the keys.
     """
-    shards = max(1, -(-entries.count() // shard_rows))
-    blocks = max(1, -(-keys.count() // block_rows))
-
-    def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree, words = BKTree(right["word"].tolist()), left["key"].tolist()
-        parts = [pd.DataFrame({"key": [words[i] for i in at], "word": word, "distance": d}) for at, word, d in tree.within(words, left["most"].to_numpy())]
-        return pd.concat(parts) if parts else pd.DataFrame({"key": "", "word": "", "distance": 0}, index=[0]).iloc[:0]
-
-    left = keys.select("key", "most", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = entries.select("word", F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cast = lambda df: df.withColumn("shard", F.col("shard").cast("long")).withColumn("block", F.col("block").cast("long")).repartition(blocks * shards, "shard", "block")
-    return cast(left).groupBy("shard", "block").cogroup(cast(right).groupBy("shard", "block")).applyInPandas(meet, "key string, word string, distance int")
+    entry_count, key_count = entries.count(), keys.count()
+    shards = max(1, -(-entry_count // shard_rows))
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-cores // shards), -(-key_count // task_keys)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: list[str] = []
+        tree = None
+        for batch in batches:
+            words += batch["text"][batch["most"] < 0].tolist()
+            own = batch[batch["most"] >= 0]
+            if not len(own):
+                continue
+            tree = tree or BKTree(words)
+            texts = own["text"].tolist()
+            hits = [pd.DataFrame({"key": [texts[i] for i in at], "word": word, "distance": d}) for at, word, d in tree.within(texts, own["most"].to_numpy())]
+            if hits:
+                yield pd.concat(hits)
+
+    left = keys.select(F.col("key").alias("text"), "most", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).withColumn("shard", numbers(shards))
+    right = entries.select(F.col("word").alias("text"), F.lit(-1).alias("most"), F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard")).withColumn("part", numbers(parts))
+    rows = left.select("text", "most", "shard", "part").union(right.select("text", "most", "shard", "part"))
+    placed = rows.repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("most", "text")
+    return placed.select("text", "most").mapInPandas(walk, "key string, word string, distance int")
 
 
 def _words(value: str) -> list[str]:
@@ -111,7 +164,7 @@ def _words(value: str) -> list[str]:
     plain = unicodedata.normalize("NFKD", re.sub(r"([a-z])([A-Z][a-z])", r"\1 \2", value))
     plain = "".join(c for c in plain if not unicodedata.combining(c)).lower()
     words = re.findall(r"[^\W_]+", FILE_ENDING.sub(" ", plain))
-    words = [w.replace("0", "o").replace("1", "l") if any(c.isalpha() for c in w) else "" for w in words]
+    words = [w.translate(DIGITS) if any(c.isalpha() for c in w) else "" for w in words]
     return [w for w in words if w and w not in QUALIFIERS]
 
 
@@ -128,7 +181,7 @@ def name_forms(value: str) -> list[tuple[str, str | None]]:
     if "," in value:
         pairs += [(b, a) for a, b in pairs]
     forms: list[tuple[str, str | None]] = [(a + b, None) for a, b in pairs if a != b]
-    return forms + [(b, a) for a, b in pairs if len(a) <= 5 and re.search(rf"(?i)\b{re.escape(a)}\.", value)]
+    return forms + [(b, a) for a, b in pairs if re.search(rf"(?i)\b{re.escape(a)}\.", value)]
 
 
 def term_forms(value: str) -> list[tuple[str, str | None]]:
@@ -163,10 +216,8 @@ def match(values: DataFrame, entries: DataFrame, names: bool) -> DataFrame:
     longest = known.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"))
     # A key longer than every entry by more than the limit lies within no entry's reach.
     keys = forms.select("key").distinct().join(F.broadcast(longest)).where("length(key) <= longest + 3").select("key", limit.alias("most"))
-    exact = known.select(F.col("word").alias("key"), "word", F.lit(0).alias("distance")).distinct().join(keys.select("key"), "key", "left_semi")
-    open_keys = durable(keys.join(known.select(F.col("word").alias("key")), "key", "left_anti"))
-    near = within(open_keys, known.select("word").distinct())
-    hits = exact.union(near).join(known, "word").select("key", "distance", "entry", "genus")
+    near = within(durable(keys), known.select("word").distinct())
+    hits = near.join(known, "word").select("key", "distance", "entry", "genus")
     fits = durable(forms.join(hits, "key").where("(prefix is null and genus is null) or startswith(genus, prefix)"))
     best = fits.groupBy("value").agg(F.min(F.struct("distance", "entry", "prefix")).alias("best"))
     unclear = (

@@ -32,43 +32,6 @@ def _lev(a, b):
     return row[-1]
 
 
-def test_a_template_with_other_slots_is_a_leak_only_if_they_are_replaced_one_to_one(spark):
-    body = "In 1871 the miller of Cuzewick sold 316 sacks to Lamuwick for 20 coins. After 1872 the roads between Lamuwick and Cuzewick carried 40 carts of grain each day. Nobody in Cuzewick ever counted them."
-    told = body.replace("1871", "1911").replace("1872", "1912").replace("316", "90").replace("20", "7").replace("40", "66").replace("Cuzewick", "Solustad").replace("Lamuwick", "Betihollow")
-    docs = {
-        1: told, 2: told.replace("Betihollow", "Solustad"), 3: told.replace("After 1912 the roads between Betihollow and Solustad", "After 1912 the roads between Fisolith and Vedolith"),
-        4: told.replace("miller", "baker").replace("sacks", "spoons").replace("roads", "ferries").replace("carts", "boats").replace("grain", "salt").replace("coins", "kettles").replace("sold", "lent").replace("carried", "moved"),
-        5: "x {{note|" + told + "}} y", 6: body, 7: told.split(". ")[0] + ".",
-    }
-    df = spark.createDataFrame(list(docs.items()), "doc long, body string")
-    items = spark.createDataFrame([(1, body)], "iid long, body string")
-    got = {r["id"]: r for r in leakage.leaks(df, "doc", "body", items, "iid", "body").collect()}
-    assert {d for d, r in got.items() if r["sentences"] >= 2} == {1, 5, 6}
-    assert got[1]["changed"] >= 6 and got[1]["inconsistent"] == 0 and got[6]["changed"] == 0
-    names = {"cuzewick", "lamuwick", "solustad", "betihollow"}
-    judged = {d: leakage.judge(leakage.passages(body), leakage.plain_words(docs[d]), 0.75, names) for d in (1, 2)}
-    assert judged[1][0] == 3 and judged[2][0] < 2
-
-
-def test_notes_and_templates_of_any_length(spark):
-    s = [x.rstrip(".") + "." for x in ITEM.split(". ")[:3]]
-    note = "<ref>" + "see the long list of sources " * 40 + "</ref>"
-    docs = {
-        1: s[0].replace("buttons", "buttons" + note) + " " + s[1], 2: "{{quote|" + s[0] + "}} " + s[1], 3: "<ref>" + s[0] + " " + s[1] + "</ref>", 4: "{{a|{{b|" + s[1] + " " + s[2] + "}} c",
-        5: s[0] + " {{box|" + "other words " * 60 + "}} " + s[1], 6: "{{" * 3_000 + s[0] + " " + s[1] + "}}" * 2_000, 7: s[0] + note,
-    }
-    df = spark.createDataFrame(list(docs.items()), "doc long, body string")
-    items = spark.createDataFrame([(1, ITEM)], "iid long, body string")
-    assert _rows(leakage.leaks(df, "doc", "body", items, "iid", "body").where("sentences >= 2").select("id")) == {(d,) for d in (1, 2, 3, 4, 5, 6)}
-
-
-def test_blocks_of_items_change_nothing(spark, monkeypatch):
-    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = _rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "text"))
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 70)
-    assert _rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "text")) == whole
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=12, unique=True), st.lists(st.text("abc", max_size=6), min_size=1, max_size=6, unique=True), st.integers(0, 3))
 def test_tree_search_equals_brute_force(words, keys, limit):
@@ -78,6 +41,33 @@ def test_tree_search_equals_brute_force(words, keys, limit):
     assert got == {(k, w, _lev(k, w)) for k in keys for w in words if _lev(k, w) <= limit}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abé", max_size=70), st.lists(st.text("abéc", max_size=75), min_size=1, max_size=8))
+def test_distances_by_bits_equal_the_table(word, others):
+    codes = [canonical._codes(o) for o in others]
+    table = np.full((len(others), max(1, max(map(len, codes)))), 0xFFFFFFFF, np.uint32)
+    for row, c in zip(table, codes):
+        row[: len(c)] = c
+    assert canonical.levenshtein(canonical._codes(word), table, np.array([len(c) for c in codes])).tolist() == [_lev(word, o) for o in others]
+
+
+@pytest.mark.parametrize("shard_rows, task_keys", [(1, 1), (3, 2), (100, 1), (7, 100)])
+def test_shards_and_parts_change_nothing(spark, shard_rows, task_keys):
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(12)})
+    keys = sorted({"".join(rng.choice(list("abc"), rng.integers(0, 7))) for _ in range(15)})
+    asked = spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "key string, most int")
+    got = [tuple(r) for r in canonical.within(asked, spark.createDataFrame([(w,) for w in words], "word string"), shard_rows, task_keys).collect()]
+    want = [(k, w, _lev(k, w)) for i, k in enumerate(keys) for w in words if _lev(k, w) <= i % 3]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_near_epithet_of_a_cut_genus_is_found_beside_an_equal_one_elsewhere(spark):
+    tips = spark.createDataFrame([("Naso_albuss",), ("Zebrasoma_albus",)], "entry string")
+    values = spark.createDataFrame([("N. albus",), ("Zebr. albus",), ("Zebrasom. albus",)], "value string")
+    assert _rows(canonical.match(values, tips, True)) == {("N. albus", "Naso_albuss"), ("Zebr. albus", "Zebrasoma_albus"), ("Zebrasom. albus", "Zebrasoma_albus")}
+
+
 def test_typed_names_and_terms(spark):
     tips = spark.createDataFrame([("Langnatha_golinloensis",), ("Zulirsoma_vesoboum",), ("Barthurus_vesoboum",), ("Volnaso_pecocualis",)], "entry string")
     terms = spark.createDataFrame([("exact",), ("last_two_words",), ("none",)], "entry string")
@@ -432,6 +422,43 @@ def test_sentences_are_sought_at_every_place():
     assert judged((s[0] + " ") * 300 + s[1] + " " + s[2]) == (3, 1.0)
 
 
+def test_a_template_with_other_slots_is_a_leak_only_if_they_are_replaced_one_to_one(spark):
+    body = "In 1871 the miller of Cuzewick sold 316 sacks to Lamuwick for 20 coins. After 1872 the roads between Lamuwick and Cuzewick carried 40 carts of grain each day. Nobody in Cuzewick ever counted them."
+    told = body.replace("1871", "1911").replace("1872", "1912").replace("316", "90").replace("20", "7").replace("40", "66").replace("Cuzewick", "Solustad").replace("Lamuwick", "Betihollow")
+    docs = {
+        1: told, 2: told.replace("Betihollow", "Solustad"), 3: told.replace("After 1912 the roads between Betihollow and Solustad", "After 1912 the roads between Fisolith and Vedolith"),
+        4: told.replace("miller", "baker").replace("sacks", "spoons").replace("roads", "ferries").replace("carts", "boats").replace("grain", "salt").replace("coins", "kettles").replace("sold", "lent").replace("carried", "moved"),
+        5: "x {{note|" + told + "}} y", 6: body, 7: told.split(". ")[0] + ".",
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc long, body string")
+    items = spark.createDataFrame([(1, body)], "iid long, body string")
+    got = {r["id"]: r for r in leakage.leaks(df, "doc", "body", items, "iid", "body").collect()}
+    assert {d for d, r in got.items() if r["sentences"] >= 2} == {1, 5, 6}
+    assert got[1]["changed"] >= 6 and got[1]["inconsistent"] == 0 and got[6]["changed"] == 0
+    names = {"cuzewick", "lamuwick", "solustad", "betihollow"}
+    judged = {d: leakage.judge(leakage.passages(body), leakage.plain_words(docs[d]), 0.75, names) for d in (1, 2)}
+    assert judged[1][0] == 3 and judged[2][0] < 2
+
+
+def test_notes_and_templates_of_any_length(spark):
+    s = [x.rstrip(".") + "." for x in ITEM.split(". ")[:3]]
+    note = "<ref>" + "see the long list of sources " * 40 + "</ref>"
+    docs = {
+        1: s[0].replace("buttons", "buttons" + note) + " " + s[1], 2: "{{quote|" + s[0] + "}} " + s[1], 3: "<ref>" + s[0] + " " + s[1] + "</ref>", 4: "{{a|{{b|" + s[1] + " " + s[2] + "}} c",
+        5: s[0] + " {{box|" + "other words " * 60 + "}} " + s[1], 6: "{{" * 3_000 + s[0] + " " + s[1] + "}}" * 2_000, 7: s[0] + note,
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc long, body string")
+    items = spark.createDataFrame([(1, ITEM)], "iid long, body string")
+    assert _rows(leakage.leaks(df, "doc", "body", items, "iid", "body").where("sentences >= 2").select("id")) == {(d,) for d in (1, 2, 3, 4, 5, 6)}
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = _rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "text"))
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 70)
+    assert _rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "text")) == whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=6), st.lists(st.sampled_from("abcdx"), max_size=40))
 def test_placements_against_brute_force(sentence, words):
