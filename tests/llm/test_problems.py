@@ -159,11 +159,22 @@ def test_neighbours_recall_and_edges(spark):
         d[q] = np.inf
         hits += len(found & set(np.argsort(d)[:5].tolist()))
     assert hits / (5 * len(got)) >= 0.9
+    # More bits, probed within two, in few cells: as a table of many rows would have.
+    crowded = vectors.nearest(df, asked, "fid", "v", 8, 5, plan=vectors.Layout(20_000, 2, 2, 12, 2))
+    exact = {(q, int(i)) for q in range(0, 1500, 50) for i in np.argsort([*((x[:q] - x[q]) ** 2).sum(axis=1), np.inf, *((x[q + 1 :] - x[q]) ** 2).sum(axis=1)])[:5]}
+    assert len(_rows(crowded.select("query", "id")) & exact) >= 0.9 * len(exact)
     few = df.where("fid < 3")
     assert {(r["query"], r["id"]) for r in vectors.nearest(few, asked, "fid", "v", 8, 5).collect()} == {(0, 1), (0, 2)}
     assert vectors.nearest(df.where("false"), asked, "fid", "v", 8, 5).count() == 0
 
 
+def test_the_layout_grows_with_the_rows():
+    plans = [vectors.layout(10**n) for n in range(0, 11)]
+    assert [p.bits for p in plans] == sorted(p.bits for p in plans) and plans[-1].bits == 16 and plans[4].bits == 8
+    assert [p.cells for p in plans] == sorted(p.cells for p in plans) and all(p.sample <= 200_000 for p in plans)
+    assert all(p.radius == 8 * (p.flips + 1) - 1 for p in plans)
+
+
 # 4
 
 
