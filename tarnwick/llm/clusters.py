@@ -125,6 +125,15 @@ def tables_for(bits: int, chance: float) -> int:
     return math.ceil(math.log(1 - chance) / math.log(1 - one))
 
 
+def _orderless(rows: np.ndarray) -> np.ndarray:
+    """As ``_embed``, with each value sorted over the colour blocks: no further apart than in any order of the blocks."""
+    placed = _embed(rows)
+    plain, turns = WIDTH - len(HUES), len(HUES)
+    for columns in (range(0, 10, 2), range(1, 10, 2), range(10, 15), range(plain, plain + BLOCKS), range(plain + turns, plain + turns + BLOCKS)):
+        placed[:, columns] = np.sort(placed[:, columns], axis=1)
+    return placed
+
+
 def _centre(means: np.ndarray) -> np.ndarray:
     """Rows of the 26 values whose place on the circles is that of ``means``."""
     out = np.zeros((len(means), WIDTH))
@@ -166,14 +175,30 @@ def points(rows: DataFrame, id_column: str, colours: str, sides: str) -> DataFra
     return plain.mapInArrow(run, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
 
 
+#: Decimals up to which values are packed as whole numbers, where that loses nothing.
+SCALE = 1e6
+
+
 def _packed(x: np.ndarray) -> pa.Array:
-    size = 8 * WIDTH
-    data = np.ascontiguousarray(x, np.float64)
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * size, size, dtype=np.int32)), pa.py_buffer(data)])
+    """Each row as whole millionths in four bytes if all its values are exactly such, else as doubles."""
+    x = np.ascontiguousarray(x, np.float64)
+    small = np.clip(np.round(x * SCALE), -(2**31), 2**31 - 1)
+    exact = ((small / SCALE == x) & ~(np.signbit(x) & (x == 0))).all(axis=1)
+    cells = np.zeros((len(x), 8 * WIDTH), np.uint8)
+    cells[exact, : 4 * WIDTH] = small[exact].astype(np.int32).view(np.uint8)
+    cells[~exact] = x[~exact].view(np.uint8)
+    size = np.where(exact, 4 * WIDTH, 8 * WIDTH)
+    kept = np.arange(8 * WIDTH) < size[:, None]
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(cells[kept])])
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, WIDTH)
+    parts = column.to_pylist()
+    short = np.fromiter((len(p) == 4 * WIDTH for p in parts), bool, len(parts))
+    x = np.empty((len(parts), WIDTH))
+    x[short] = np.frombuffer(b"".join(p for p, s in zip(parts, short) if s), np.int32).reshape(-1, WIDTH) / SCALE
+    x[~short] = np.frombuffer(b"".join(p for p, s in zip(parts, short) if not s), np.float64).reshape(-1, WIDTH)
+    return x
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -231,6 +256,19 @@ def _compare(pairs: DataFrame, rows: DataFrame, others: DataFrame, load: DataFra
     return full.mapInArrow(run, "id long, other long, distance double")
 
 
+def _within_two(pairs: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """The pairs (own, other) of pivots that may both be closer than ``radius`` to one row, whatever orders its blocks allow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gap = _orderless(_unpacked(batch.column(2))) - _orderless(_unpacked(batch.column(3)))
+            near = pa.array(np.flatnonzero((gap**2).sum(axis=1) < (2 * radius) ** 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near)], ["own", "other"])
+
+    of = lambda name, x: centres.select(F.col("id").alias(name), F.col("x").alias(x))
+    return pairs.join(of("own", "x"), "own").join(of("other", "y"), "other").select("own", "other", "x", "y").mapInArrow(run, "own long, other long")
+
+
 def _round(free: DataFrame, count: int, radius: float, share_gap: float, seed: int, tables: int, bits: int) -> DataFrame:
     """(id, pivot) of the rows that one round settles."""
     placed = durable(_in_buckets(free, lambda x: buckets(x, seed, tables, bits, CELL * radius), share_gap))
@@ -274,8 +312,9 @@ def cluster(rows: DataFrame, radius: float, share_gap: float, tables: int = 4, c
     near = durable(_in_buckets(centres, hashes, share_gap).select("bucket", F.col("id").alias("other")))
     placed = _in_buckets(rows, hashes, share_gap).join(near.select("bucket").distinct(), "bucket", "left_semi")
     seen = placed.join(near, "bucket").where("id <> other").select("id", "other").distinct()
-    # Only members that meet another pivot than their own have a choice.
-    rival = durable(seen.join(told, ["id", "other"], "left_anti").join(centres.select("id"), "id", "left_anti"))
+    # Only members that meet another pivot than their own have a choice, and only if the two are within two radii.
+    met = durable(seen.join(told.select("id", F.col("other").alias("own")), "id").where("own <> other and own <> id"))
+    rival = durable(met.join(_within_two(met.select("own", "other").distinct(), centres, radius), ["own", "other"], "left_semi").select("id", "other"))
     choice = durable(rival.union(told.join(rival.select("id").distinct(), "id", "left_semi")))
     close = _compare(choice, rows, centres, choice.groupBy("other").agg(F.count(F.lit(1)).alias("n")), radius, share_gap)
     best = close.groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("best"))

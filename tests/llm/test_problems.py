@@ -267,6 +267,19 @@ def test_values_keep_all_their_decimals_and_equal_shares_cost_one_row_a_table(sp
     assert {r["cluster_id"] for r in clusters.members(clusters.cluster(clusters.points(many, "fid", "dom", "side"), 0.25, 0.002), 3).collect()} == {0, 3}
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_rows_without_block_order_are_no_further_apart_and_packing_loses_nothing(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.random((20, 26)), rng.random((20, 26))
+    gap = np.sqrt(((clusters._orderless(a) - clusters._orderless(b)) ** 2).sum(axis=1))
+    for order in itertools.permutations(range(5)):
+        assert (gap <= np.sqrt(clusters._apart(a[:, clusters._columns(list(order))].copy(), b)) + 1e-12).all()
+    a[::2], b[0], b[1, 3] = np.round(a[::2], 6), -0.0, 1e300
+    for x in (a, b, a[:0]):
+        assert clusters._unpacked(clusters._packed(x)).tobytes() == x.tobytes()
+
+
 @pytest.mark.parametrize("bits", [6, 14, 22])
 def test_rows_at_the_radius_meet_with_the_same_chance(bits):
     rng = np.random.default_rng(bits)
