@@ -63,6 +63,22 @@ def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * 0.299 + g * 0.587 + b * 0.114) / 255 * 255)
 
 
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """8-bit luminance in fixed point, as imaging libraries convert to one channel; equal channels stay as they are."""
+    return F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
+
+
+def on_white(channel: Column, alpha: Column) -> Column:
+    """8-bit channel of a half-transparent pixel laid on white, rounded by the usual division by 255 in bits."""
+    mixed = channel * alpha + (255 - alpha) * 255 + 128
+    return F.shiftright(F.shiftright(mixed, 8) + mixed, 8)
+
+
+def normalised_hsv(h: Column, s: Column, v: Column) -> dict[str, Column]:
+    """Hue, saturation and value from 0 to 1 of their 8-bit numbers."""
+    return {"h": h / 180, "s": s / 255, "v": v / 255}
+
+
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
     """Red, green and blue (0-1) of hue, saturation and value (0-1)."""
     sector = F.floor(h * 6)

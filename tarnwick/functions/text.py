@@ -54,9 +54,34 @@ def newick_label(label: Column) -> Column:
     return F.translate(F.translate(label, " ", "_"), ".", "")
 
 
-def feature_name(group: Column, position: Column) -> Column:
-    """Name of a feature by its group and zero-based place, zero padded."""
-    return F.concat(group, F.lit("_"), F.lpad(position.cast("string"), 2, "0"))
+def feature_name(group: str, position: Column) -> Column:
+    """Name of a feature of one of the eight groups by its zero-based place: bins by their bounds, filters by angle and frequency."""
+    two = lambda c: F.format_string("%02d", c)
+    of = lambda *names: F.get(F.array(*map(F.lit, names)), position)
+    if group in ("hue_hist", "sat_hist", "val_hist"):
+        width = 10 if group == "hue_hist" else 32
+        return F.format_string(f"{group[:3]}_bin_%03d_%03d", position * width, (position + 1) * width)
+    if group == "dom_colours":
+        channel = F.get(F.array(F.lit("hue"), F.lit("sat"), F.lit("val")), position % 3)
+        return F.when(position < 15, F.format_string("domcol_%d_%s", F.floor(position / 3), channel)).otherwise(F.format_string("domcol_%d_freq", position - 15))
+    if group == "dorsal_ventral":
+        return of(*[f"{region}_{channel}_mean" for region in ("dorsal", "ventral", "dv_diff") for channel in ("hue", "sat", "val")])
+    if group == "gabor":
+        return of(*[f"gabor_t{angle:03d}_f{frequency}_{stat}" for angle in (0, 45, 90, 135) for frequency in ("0p1", "0p2", "0p4") for stat in ("mean", "std")])
+    return F.concat(F.lit("lbp_bin_"), two(position)) if group == "lbp" else of("hue_entropy", "lbp_entropy")
+
+
+def replaced(label: Column, short: dict[str, str]) -> Column:
+    """A label with each key of ``short`` and the underscore or blank behind it replaced, one key after another."""
+    for name, initial in short.items():
+        for mark in ("_", " "):
+            label = F.replace(label, F.lit(name + mark), F.lit(initial))
+    return label
+
+
+def looked_up(key: Column, known: dict[str, str], default: str) -> Column:
+    """The value of ``known`` for a key, the default for others and for null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key), F.lit(default))
 
 
 def percent(value: Column) -> Column:

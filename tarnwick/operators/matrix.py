@@ -6,14 +6,15 @@ single records: ``entity_pairs`` refuses more than ``most`` entities. Records ar
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,10 @@ from tarnwick.operators.ranking import average_rank
 from tarnwick.session import durable
 
 MOST_ENTITIES = 5_000
-#: Rows that one chunk of permutations joins.
-CHUNK_ROWS = 2_000_000
+#: Entities of a permutation test: its two tables of pairs go to every task.
+MOST_PERMUTED = 2_000
+#: Permutations that one task of a permutation test counts at least.
+TASK_PERMUTATIONS = 250
 
 
 def checked(entities: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
@@ -46,8 +49,11 @@ def standardised(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame
 
 
 def entity_pairs(entities: DataFrame, key: str, vector: str, blocks: int = 8) -> DataFrame:
-    """(a, b, va, vb) with a < b: entities meet in pairs of blocks, so the work spreads over blocks squared keys."""
-    own = checked(entities).select(F.col(key).alias("k"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    """(a, b, va, vb) with a < b: entities meet in pairs of blocks, so the work spreads over blocks squared keys.
+
+    The entities are counted and met twice, so they are made once.
+    """
+    own = checked(durable(entities.select(F.col(key).alias("k"), F.col(vector).alias("v")))).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = own.select(F.col("k").alias("a"), F.col("v").alias("va"), F.col("block").alias("row"), every.alias("col"))
     right = own.select(F.col("k").alias("b"), F.col("v").alias("vb"), every.alias("row"), F.col("block").alias("col"))
@@ -59,6 +65,11 @@ def distances(entities: DataFrame, key: str, vector: str) -> DataFrame:
     return entity_pairs(entities, key, vector).select("a", "b", euclidean(F.col("va"), F.col("vb")).alias("d"))
 
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, d) for both directions of each pair."""
+    return pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+
+
 def wide(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """Square matrix with zero diagonal for a sink; ``labels`` are its columns."""
     both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d"))
@@ -66,15 +77,28 @@ def wide(pairs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def principal_distances(rows: DataFrame, key: str, vector: str, size: int, share: float = 0.95) -> DataFrame:
-    """(a, b, d, components) in the space of the first components that explain ``share`` of the variance."""
+    """(a, b, d, components) in the space of the first components that explain ``share`` of the variance.
+
+    All components are fitted once; a row's place is its first ones.
+    """
     n = checked(rows).count()
-    z = standardised(rows, key, vector, size).select(key, array_to_vector("z").alias("z")).cache()
-    explained = PCA(k=min(size, max(1, n - 1)), inputCol="z", outputCol="p").fit(z).explainedVariance.toArray()
-    k = min(int(np.searchsorted(np.cumsum(explained), share)) + 1, max(1, n - 1), len(explained))
-    placed = PCA(k=k, inputCol="z", outputCol="p").fit(z).transform(z).select(key, vector_to_array("p").alias("p"))
+    z = durable(standardised(rows, key, vector, size)).select(key, array_to_vector("z").alias("z"))
+    model = PCA(k=min(size, max(1, n - 1)), inputCol="z", outputCol="p").fit(z)
+    explained = model.explainedVariance.toArray()
+    k = min(int(np.searchsorted(np.cumsum(explained), share)) + 1, len(explained))
+    placed = model.transform(z).select(key, F.slice(vector_to_array("p"), 1, k).alias("p"))
     return distances(placed, key, "p").withColumn("components", F.lit(k))
 
 
+def explained_variance(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(component, share, total): each component's share of the variance and the sum up to it; one row a component."""
+    n = checked(rows).count()
+    z = standardised(rows, key, vector, size).select(array_to_vector("z").alias("z"))
+    explained = PCA(k=min(size, max(1, n - 1)), inputCol="z", outputCol="p").fit(z).explainedVariance.toArray()
+    listed = [(i, float(v), float(t)) for i, (v, t) in enumerate(zip(explained, np.cumsum(explained)))]
+    return rows.sparkSession.createDataFrame(listed, "component int, share double, total double")
+
+
 def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
 
@@ -91,7 +115,7 @@ def feature_correlations(entities: DataFrame, key: str, vector: str, pairs: Data
     gaps = F.zip_with("va", "vb", lambda p, q: F.abs(p - q))
     joined = entity_pairs(entities, key, vector).select("a", "b", gaps.alias("g")).join(pairs.select("a", "b", "d"), ["a", "b"])
     long = joined.select("d", F.posexplode("g").alias("pos", "g"))
-    stats = long.groupBy("pos").agg(F.corr("g", "d").alias("r"), F.stddev_pop("g").alias("s"), F.count(F.lit(1)).alias("n"))
+    stats = long.groupBy("pos").agg(F.corr("g", "d").alias("r"), F.stddev_pop("g").alias("s"), F.count("g").alias("n"))
     return stats.where(F.col("pos") < size).select("pos", F.when(F.col("s") < 1e-10, 0.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("r"), "n")
 
 
@@ -127,42 +151,69 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n)])
 
 
-def permutations(keys: DataFrame, key: str, count: int, first: int = 1) -> DataFrame:
-    """(perm, key, other): permutations ``first`` to ``count`` of the keys in the order of md5(perm_key), the same in any engine."""
-    listed = checked(keys.select(key).distinct()).agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    each = listed.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(count)))).select("perm", "keys", F.posexplode("keys").alias("pos", key))
-    mark = F.md5(F.concat_ws("_", F.col("perm").cast("string"), F.col(key).cast("string")).cast("binary"))
-    order = F.row_number().over(Window.partitionBy("perm").orderBy(mark))
-    return each.withColumn("pos", order).select("perm", key, F.element_at("keys", F.col("pos")).alias("other"))
-
-
-def mantel(visual: DataFrame, path: DataFrame, count: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+class Permuted:
+    """Two square tables, as they are and as ranks, whose rows and columns are permuted together."""
+
+    def __init__(self, keys: list[str], a: np.ndarray, b: np.ndarray, visual: np.ndarray, path: np.ndarray) -> None:
+        self.keys, self.a, self.b = keys, a, b
+        self.columns = [(visual, path), (self.ranks(visual), self.ranks(path))]
+        self.squares = []
+        for values, _ in self.columns:
+            square = np.zeros((len(keys), len(keys)))
+            square[a, b] = square[b, a] = values
+            self.squares.append(square)
+
+    @staticmethod
+    def ranks(values: np.ndarray) -> np.ndarray:
+        """Average ranks; values that agree to nine digits are equal."""
+        _, which, same = np.unique(np.round(values, 9), return_inverse=True, return_counts=True)
+        return (np.cumsum(same) - (same - 1) / 2)[which]
+
+    def correlations(self, order: np.ndarray | None = None) -> list[float]:
+        """Correlation and rank correlation, with the entity at each place of the first table replaced by ``order``."""
+        found = []
+        for square, (values, other) in zip(self.squares, self.columns):
+            moved = values if order is None else square[order[self.a], order[self.b]]
+            scale = len(values) * values.std() * other.std()
+            found.append(float((moved @ other - len(values) * values.mean() * other.mean()) / scale) if scale else float("nan"))
+        return found
+
+    def order(self, number: int) -> np.ndarray:
+        """Permutation ``number``: the keys in the order of md5(number_key) take the places of the sorted keys, the same in any engine."""
+        marks = [hashlib.md5(f"{number}_{k}".encode()).hexdigest() for k in self.keys]
+        order = np.empty(len(marks), np.int64)
+        order[sorted(range(len(marks)), key=marks.__getitem__)] = np.arange(len(marks))
+        return order
+
+
+def mantel(visual: DataFrame, path: DataFrame, count: int) -> DataFrame:
     """(r, p, rho, rho_p, pairs): correlation and rank correlation of two distance tables (a, b, d), each with its one-sided permutation p.
 
-    Only the sum of products changes under a permutation; means and deviations of both tables do not, so they are
-    taken once, and both tables are ranked once. Rows and columns of the visual table are permuted together. A chunk
-    of permutations makes at most ``chunk_rows`` rows, or the pairs of one permutation.
+    The pairs that both tables hold, of at most ``MOST_PERMUTED`` entities, go to every task once; ranges of the
+    permutation numbers are spread over the tasks, and each number brings back one row. Rows and columns of the
+    visual table are permuted together. A table whose values do not vary has r NaN and p 1.
     """
-    plain = visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"]).withColumn("all", F.lit(1))
-    ranked = average_rank(average_rank(plain, "v", "all").withColumnRenamed("rank", "rv"), "p", "all").withColumnRenamed("rank", "rp")
-    both = durable(ranked.select("a", "b", "v", "p", "rv", "rp"))
-    sides = [[F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}")] for c in ("v", "p", "rv", "rp")]
-    base = durable(both.agg(F.corr("v", "p").alias("r"), F.corr("rv", "rp").alias("rho"), F.count(F.lit(1)).alias("m"), *[c for side in sides for c in side]))
-    keys = durable(both.select(F.col("a").alias("k")).union(both.select("b")).distinct())
-    mirrored = both.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "v", "rv")
-
-    def sums(first: int, last: int) -> DataFrame:
-        perms = permutations(keys, "k", last, first)
-        moved = both.select("a", "b", "p", "rp").join(perms.select("perm", F.col("k").alias("a"), F.col("other").alias("x")), "a").join(perms.select("perm", F.col("k").alias("b"), F.col("other").alias("y")), ["perm", "b"])
-        placed = moved.select("perm", "p", "rp", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).join(mirrored, ["lo", "hi"])
-        return durable(placed.groupBy("perm").agg(F.sum(F.col("v") * F.col("p")).alias("vp"), F.sum(F.col("rv") * F.col("rp")).alias("rvp")))
-
-    step = max(1, chunk_rows // max(1, base.first()["m"]))
-    every = reduce(DataFrame.unionByName, [sums(k, min(count, k + step - 1)) for k in range(1, count + 1, step)])
-    moved_r = lambda total, x, y: (F.col(total) - F.col("m") * F.col(f"m{x}") * F.col(f"m{y}")) / (F.col("m") * F.col(f"s{x}") * F.col(f"s{y}"))
-    null = every.join(F.broadcast(base)).withColumn("nr", moved_r("vp", "v", "p")).withColumn("nrho", moved_r("rvp", "rv", "rp"))
-    share = lambda c, of: (F.count_if(F.round(c, 9) >= F.round(of, 9)) + 1) / F.lit(count + 1)
-    return null.groupBy("r", "rho", "m").agg(share("nr", "r").alias("p"), share("nrho", "rho").alias("rho_p")).select("r", "p", "rho", "rho_p", F.col("m").alias("pairs"))
+    spark = visual.sparkSession
+    both = durable(visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"]))
+    names = checked(both.select(F.col("a").alias("k")).union(both.select("b")).distinct(), MOST_PERMUTED)
+    keys = sorted(r["k"] for r in names.collect())
+    table = both.orderBy("a", "b").toPandas()
+    at = {k: i for i, k in enumerate(keys)}
+    sides = [table[c].map(at).to_numpy(np.int64) for c in ("a", "b")]
+    held = Permuted([str(k) for k in keys], *sides, *[table[c].to_numpy(np.float64) for c in ("v", "p")])
+    shared = spark.sparkContext.broadcast(held)
+    r, rho = held.correlations() if len(table) else (float("nan"), float("nan"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shared.value.correlations(shared.value.order(n)) for n in batch["id"]] if len(table_rows) else []
+            yield pd.DataFrame(found, columns=["nr", "nrho"], dtype=float)
+
+    table_rows = range(len(table))
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, count // TASK_PERMUTATIONS))
+    null = spark.range(1, count + 1, numPartitions=parts).mapInPandas(run, "nr double, nrho double")
+    share = lambda c, of: ((F.count_if(F.round(c, 9) >= F.round(F.lit(of), 9)) + 1) / F.lit(count + 1)) if of == of else F.lit(1.0)
+    return null.agg(F.lit(r).alias("r"), share("nr", r).alias("p"), F.lit(rho).alias("rho"), share("nrho", rho).alias("rho_p"), F.lit(len(table)).cast("long").alias("pairs"))
 
 
 def upgma(pairs: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:

@@ -1,10 +1,11 @@
 """Trees as tables of nodes (node, parent, label, length); the root has a null parent.
 
-Ancestors come from a loop of joins with a bound on the depth; pairs of tips are a small result (see ``checked``).
+Ways to the root come from joins that double them; pairs of tips are a small result (see ``checked``).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.operators.matrix import checked
+from tarnwick.operators.matrix import checked, entity_pairs
 from tarnwick.session import durable
 
 
@@ -68,31 +69,42 @@ def tips(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
 
 
-def ancestors(nodes: DataFrame, most_depth: int = 200) -> DataFrame:
+def lineages(nodes: DataFrame) -> DataFrame:
+    """(node, way): each node's way from the root down to itself, as structs of node and depth (lengths summed).
+
+    The way up doubles in each round, so a tree takes as many rounds as its depth has binary digits. Missing
+    lengths count as zero; a loop of parents is an error.
+    """
+    # The root's own length belongs to no way between two nodes.
+    step = F.struct(F.col("node").alias("node"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("depth"))
+    level = durable(nodes.select("node", F.col("parent").alias("up"), F.array(step).alias("way")))
+    rounds, most = 0, math.ceil(math.log2(max(2, level.count()))) + 1
+    while not level.where("up is not null").isEmpty():
+        if rounds == most:
+            raise ValueError("the parents of a node lead back to it")
+        above = level.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("way").alias("upper"))
+        deeper = F.transform("way", lambda x: F.struct(x["node"].alias("node"), (x["depth"] + F.element_at("upper", -1)["depth"]).alias("depth")))
+        level = durable(level.join(above, "up", "left").select("node", F.col("next").alias("up"), F.when(F.col("upper").isNull(), F.col("way")).otherwise(F.concat("upper", deeper)).alias("way")))
+        rounds += 1
+    return level.select("node", "way")
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, length): every node with itself and all nodes above it, and the length of the way up."""
-    up = nodes.where("parent is not null").select(F.col("node").alias("ancestor"), "parent", F.coalesce("length", F.lit(0.0)).alias("step"))
-    level = durable(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0.0).alias("length")))
-    found = [level]
-    for _ in range(most_depth):
-        level = durable(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("length") + F.col("step")).alias("length")))
-        if level.isEmpty():
-            break
-        found.append(level)
-    else:
-        raise RuntimeError(f"deeper than {most_depth}, or a loop")
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    return every
+    way = lineages(nodes).select("node", F.explode("way").alias("step"), F.element_at("way", -1)["depth"].alias("depth"))
+    return way.select("node", F.col("step.node").alias("ancestor"), (F.col("depth") - F.col("step.depth")).alias("length"))
 
 
 def path_distances(nodes: DataFrame) -> DataFrame:
-    """(a, b, d) for tips a < b by label: the shortest way over a common ancestor."""
-    ends = checked(tips(nodes).where("label is not null").select("node", "label"))
-    above = ancestors(nodes).join(ends, "node").select("label", "ancestor", "length")
-    left = above.select(F.col("label").alias("a"), "ancestor", F.col("length").alias("la"))
-    right = above.select(F.col("label").alias("b"), "ancestor", F.col("length").alias("lb"))
-    return left.join(right, "ancestor").where("a < b").groupBy("a", "b").agg(F.min(F.col("la") + F.col("lb")).alias("d"))
+    """(a, b, d) for tips a < b by label: down from the deepest node that both ways from the root share.
+
+    Pairs of tips meet in pairs of blocks (see ``entity_pairs``), each with its way, so no ancestor is a hot key.
+    """
+    ends = tips(nodes).where("label is not null").select("node", "label").join(lineages(nodes), "node")
+    pairs = entity_pairs(ends, "label", "way")
+    depth = lambda way: F.element_at(way, -1)["depth"]
+    shared = F.size(F.array_intersect(F.transform("va", lambda x: x["node"]), F.transform("vb", lambda x: x["node"])))
+    return pairs.select("a", "b", (depth(F.col("va")) + depth(F.col("vb")) - 2 * F.get("va", shared - 1)["depth"]).alias("d"))
 
 
 def pruned(nodes: DataFrame, keep: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def to_hsv(rgb: np.ndarray) -> np.ndarray:
 
 
 def dominant(pixels: np.ndarray, count: int = 5, rounds: int = 50) -> np.ndarray:
-    """Centres of ``count`` colour clusters, most frequent first, then their shares; starts are spread along the value axis."""
+    """Centres of ``count`` clusters of normalised colours, most frequent first, then their shares; starts are spread along the value axis."""
+    pixels = pixels / [180, 255, 255]
     spread = np.linspace(0, len(pixels) - 1, count).round().astype(int)
     centres = pixels[np.lexsort(pixels.T)][spread].astype(float)
     for _ in range(rounds):
@@ -44,7 +45,7 @@ def dominant(pixels: np.ndarray, count: int = 5, rounds: int = 50) -> np.ndarray
         centres = moved
     shares = np.bincount(home, minlength=count) / len(pixels)
     order = np.argsort(-shares, kind="stable")
-    return np.concatenate([(centres[order] / [180, 255, 255]).ravel(), shares[order]])
+    return np.concatenate([centres[order].ravel(), shares[order]])
 
 
 def _entropy(histogram: np.ndarray) -> float:
@@ -91,7 +92,10 @@ def extract_features(spark: SparkSession, image_path: str, mask_path: str) -> Da
     def raster(row, channels: bool) -> np.ndarray:
         shape = (row["height"], row["width"], row["nChannels"])
         data = np.frombuffer(row["data"], np.uint8).reshape(shape)
-        return data[..., [2, 1, 0]] if channels and shape[2] >= 3 else data[..., :1].repeat(3, axis=2) if channels else data[..., 0]
+        if channels:
+            return data[..., [2, 1, 0]] if shape[2] >= 3 else data[..., :1].repeat(3, axis=2)
+        # A mask of several channels counts by its luminance; equal channels have that of each.
+        return (data[..., :3].astype(np.int64) @ [7471, 38470, 19595] + 32768) >> 16 if shape[2] >= 3 else data[..., 0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import numeric as N
@@ -15,11 +15,19 @@ from tarnwick.operators import joins as J
 from tarnwick.operators import matrix as M
 from tarnwick.operators import ranking as R
 from tarnwick.operators import trees as T
-from tarnwick.sources import sinks
-from tarnwick.session import table
+from tarnwick.operators import validation as V
+from tarnwick.session import shared_folder, table
+from tarnwick.sources import readers, sinks
 from tarnwick.streaming import gates
 
 GROUPS = {"hue_hist": 18, "sat_hist": 8, "val_hist": 8, "dom_colours": 20, "dorsal_ventral": 9, "gabor": 24, "lbp": 10, "entropy": 2}
+#: Parameters of the queries on names: initials and colours of some genera.
+SHORT = {"Tufalsoma": "T.", "Cemildonis": "C.", "Langnatha": "L.", "Zulirsoma": "Z."}
+COLOURS = {"Tufalsoma": "#4fc3f7", "Cemildonis": "#81c784", "Langnatha": "#ffb74d", "Zulirsoma": "#ff8a65"}
+#: Parts of names that stand for a plain, a patterned, a striped and a smooth species in the checks.
+ANCHORS = {"plain": "fudantoina", "patterned": "bosilvoina", "striped": "nucungaum", "smooth": "remenmeum"}
+#: Genera of the checks: the first two are expected closer to each other than to the others.
+GENERA = ["tufalsoma", "cemildonis", "langnatha", "zulirsoma"]
 SIGNAL = ["dorsal_ventral", "hue_hist", "entropy", "sat_hist"]
 Q: dict = {}
 
@@ -99,14 +107,15 @@ def quality_gate(spark, d):
     score, area = F.col("sam_score"), F.col("mask_area_frac")
     gate = F.when(score < 0.70, "LOW_CONFIDENCE").when(area < 0.10, "LOW_CONFIDENCE").when(area > 0.90, "LOW_CONFIDENCE").when(score.isNull(), "FAILED").otherwise("OK")
     reason = F.when(score < 0.70, "score").when(area < 0.10, "small").when(area > 0.90, "large").otherwise("")
-    return table(spark, d, "annotation_log").groupBy(gate.alias("gate"), reason.alias("reason"), F.upper("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    lines = table(spark, d, "annotation_log").select("log_id", "sam_score", "mask_area_frac", "status").distinct()
+    return lines.groupBy(gate.alias("gate"), reason.alias("reason"), F.upper("status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def size_gate(spark, d):
     pixels = F.col("n_fish_pixels")
-    rows = table(spark, d, "extraction_log").groupBy("genus").agg(F.count_if(pixels < 100_000).alias("small"), F.count_if(pixels >= 100_000).alias("large"), F.count_if(pixels.isNull()).alias("missing"))
-    return rows
+    lines = table(spark, d, "extraction_log").select("log_id", "genus", "n_fish_pixels").distinct()
+    return lines.groupBy("genus").agg(F.count_if(pixels < 100_000).alias("small"), F.count_if(pixels >= 100_000).alias("large"), F.count_if(pixels.isNull()).alias("missing"))
 
 
 @query
@@ -140,8 +149,29 @@ def colour_space(spark, d):
 @query
 def swatch_colours(spark, d):
     rows = sound_features(spark, d, ["dom_colours"])
-    rgb = N.hsv_to_rgb(*[F.col("dom_colours")[i] for i in range(3)])
-    return rows.select("feature_id", *[_r(rgb[c]).alias(c) for c in "rgb"])
+    block = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("block")
+    parts = rows.select("feature_id", "dom_colours", block).select("feature_id", "block", *[F.get("dom_colours", F.col("block") * 3 + i).alias(c) for i, c in enumerate("hsv")])
+    rgb = N.hsv_to_rgb(F.col("h"), F.col("s"), F.col("v"))
+    return parts.select("feature_id", "block", *[_r(rgb[c]).alias(c) for c in "rgb"])
+
+
+@query
+def flattened_pixels(spark, d):
+    """Half-transparent pixels on white and their luminance, summed by flag."""
+    c = lambda name, k: F.pmod(F.col(name).cast("int") * k, F.lit(256)).cast("int")
+    pixels = table(spark, d, "lineitem").select("l_returnflag", c("l_quantity", 37).alias("r"), c("l_partkey", 13).alias("g"), c("l_suppkey", 7).alias("b"), c("l_linenumber", 41).alias("a"))
+    flat = pixels.select("l_returnflag", *[N.on_white(F.col(x), F.col("a")).alias(x) for x in "rgb"])
+    return flat.groupBy("l_returnflag").agg(*[F.sum(x).alias(x) for x in "rgb"], F.sum(N.luminance(*map(F.col, "rgb"))).alias("l"), F.count_if(N.luminance(*map(F.col, "rgb")) > 127).alias("inside"))
+
+
+@query
+def normalised_colours(spark, d):
+    """Mean of the normalised hue, saturation and value of each flag's pixels."""
+    rgb = [F.pmod(F.col("l_quantity").cast("int") * 37, F.lit(256)), F.pmod(F.col("l_partkey").cast("int") * 13, F.lit(256)), F.pmod(F.col("l_suppkey").cast("int") * 7, F.lit(256))]
+    pixels = table(spark, d, "lineitem").select("l_returnflag", *[c.alias(n) for c, n in zip(rgb, "rgb")])
+    r, g, b = map(F.col, "rgb")
+    scaled = N.normalised_hsv(N.hue8(r, g, b), N.saturation8(r, g, b), F.greatest(r, g, b))
+    return pixels.groupBy("l_returnflag").agg(*[_r(F.avg(c), 5).alias(n) for n, c in scaled.items()])
 
 
 @query
@@ -159,11 +189,37 @@ def histogram_entropy(spark, d):
 
 @query
 def feature_summary(spark, d):
-    parts = []
-    for group in GROUPS:
-        long = A.long_form(sound_features(spark, d, [group]), ["feature_id"], group)
-        parts.append(long.groupBy(X.feature_name(F.lit(group), F.col("pos")).alias("feature")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg("v"), 5).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")))
-    return reduce(DataFrame.unionByName, parts)
+    """Each feature by its name: its sound rows, mean and bounds, from one read."""
+    rows = features(spark, d)
+    parts = F.array(*[F.struct(F.lit(g).alias("grp"), F.when(N.sound(F.col(g), n), F.col(g)).alias("f")) for g, n in GROUPS.items()])
+    long = rows.select(F.explode(parts).alias("p")).select("p.grp", F.posexplode("p.f").alias("pos", "v"))
+    stats = long.groupBy("grp", "pos").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("v"), 5).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return stats.select(_feature(F.col("grp"), F.col("pos")).alias("feature"), "n", "mean", "low", "high")
+
+
+def _feature(group, pos):
+    return F.coalesce(*[F.when(group == g, X.feature_name(g, pos)) for g in GROUPS])
+
+
+@query
+def short_names(spark, d):
+    """Tip labels with the names of some genera cut to their initial."""
+    return table(spark, d, "tree_tips").select("tip_id", X.replaced(F.col("tip_label"), SHORT).alias("name"))
+
+
+@query
+def genus_colours(spark, d):
+    """The colour of each tip's genus, grey for genera without one."""
+    genus = F.element_at(F.split("tip_label", "_"), 1)
+    return table(spark, d, "tree_tips").select("tip_id", genus.alias("genus"), X.looked_up(genus, COLOURS, "#666677").alias("colour"))
+
+
+@query
+def percent_shares(spark, d):
+    """Share of each status among the lines of annotation_log, as a percentage with one decimal."""
+    lines = table(spark, d, "annotation_log").select("log_id", F.upper("status").alias("status")).distinct().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    total = lines.agg(F.sum("n").alias("total"))
+    return lines.join(F.broadcast(total)).select("status", "n", X.percent(F.col("n") / F.col("total")).alias("share"))
 
 
 # Joins
@@ -201,6 +257,13 @@ def label_cascade(spark, d):
     return J.label_cascade(audit, tips, "visual_label", "tip_label", "tip_id")
 
 
+@query
+def matching_audit(spark, d):
+    """How many labels each step of the cascade matched, and how many are dropped."""
+    audit = J.matching_audit(table(spark, d, "tree_tip_matching_audit"), table(spark, d, "tree_tips"), "visual_label", "tip_label", "tip_id")
+    return audit.groupBy("method", "in_tree").agg(F.count(F.lit(1)).alias("n"), F.min("visual_label").alias("first_label"))
+
+
 @query
 def epithet_join(spark, d):
     epithet = F.lower(X.last_words(F.col("species"), 1))
@@ -215,6 +278,39 @@ def aligned_labels(spark, d):
     return J.aligned_keys([name("standardization_log"), name("annotation_log"), name("extraction_log"), name("image_features")], "genus")
 
 
+@query
+def aligned_distances(spark, d):
+    """Feature and path distances of the genera that both tables hold, in the order of the tree's tips."""
+    order = table(spark, d, "tree_tips").groupBy(F.lower(F.element_at(F.split("tip_label", "_"), 1)).alias("k")).agg(F.min("tip_id").alias("place"))
+    seen, path = J.aligned_pairs([M.distances(_genera(spark, d, "gabor"), "genus", "mean"), _tree_distances(spark, d)])
+    both = seen.join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"])
+    placed = J.in_order_of(both.withColumnRenamed("a", "k"), order, "k", "place").select(F.col("place").alias("pa"), F.col("k").alias("a"), F.col("b").alias("k"), "d", "p")
+    return J.in_order_of(placed, order, "k", "place").select("pa", F.col("place").alias("pb"), "a", F.col("k").alias("b"), _r(F.col("d"), 5).alias("d"), _r(F.col("p"), 9).alias("p"))
+
+
+@query
+def remaining_images(spark, d):
+    """Images with features that no successful annotation names: what a run that goes on has still to annotate."""
+    log = table(spark, d, "annotation_log").select("image_id", F.upper("status").alias("status"))
+    return J.remaining(features(spark, d).where("image_id is not null").select("feature_id", "image_id"), log, "image_id", F.col("status") == "OK")
+
+
+@query
+def continued_log(spark, d):
+    """The best line of each annotated image followed by lines for the images that have none."""
+    log = best_annotation(spark, d).select("image_id", "log_id", "strategy")
+    added = features(spark, d).where("image_id is not null").select("image_id", F.lit("NEW").alias("status")).distinct()
+    return J.continued(log, added, "image_id")
+
+
+@query
+def upserted_annotations(spark, d):
+    """Best lines whose strategy is put right where an image has features, new images with ids after the largest."""
+    base = best_annotation(spark, d).select("log_id", "image_id", "sam_score", "strategy")
+    change = features(spark, d).where("image_id is not null").select("image_id", F.lit("again").alias("strategy")).distinct()
+    return J.upsert_with_ids(base, change, "image_id", "log_id")
+
+
 @query
 def source_priority(spark, d):
     name = lambda t, c: table(spark, d, t).select(F.lower(F.trim("genus")).alias("genus"), F.col(c).alias("file"))
@@ -255,7 +351,7 @@ def genus_counts(spark, d):
 def genus_mean_vector(spark, d):
     rows = sound_features(spark, d, ["gabor"]).where("genus is not null")
     means = A.mean_vector(rows, "genus", "gabor", 24)
-    return means.select("genus", "n", *[_r(F.col("mean")[i], 5).alias(f"m{i}") for i in (0, 11, 23)])
+    return means.select("genus", "n", *[_r(F.col("mean")[i], 5).alias(f"m{i}") for i in range(24)])
 
 
 @query
@@ -365,10 +461,11 @@ def own_other_centroid(spark, d):
     rows = table(spark, d, "embeddings").where("label is not null").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     means = A.mean_vector(rows, "label", "v", 64)
     every = M.checked(means).agg(F.collect_list(F.struct("label", "mean")).alias("all"))
-    each = rows.join(F.broadcast(every)).select("label", "v", F.explode("all").alias("c"))
-    gap = N.euclidean(F.col("v"), F.col("c.mean"))
-    own = F.col("c.label") == F.col("label")
-    return each.groupBy("label").agg(_r(F.avg(F.when(own, gap)), 5).alias("own"), _r(F.avg(F.when(~own, gap)), 5).alias("other"))
+    gap = lambda c: N.euclidean(F.col("v"), c["mean"])
+    own = F.aggregate("all", F.lit(0.0), lambda t, c: t + F.when(c["label"] == F.col("label"), gap(c)).otherwise(0.0))
+    other = F.aggregate("all", F.lit(0.0), lambda t, c: t + F.when(c["label"] == F.col("label"), 0.0).otherwise(gap(c)))
+    sums = rows.join(F.broadcast(every)).groupBy("label").agg(F.avg(own).alias("own"), F.sum(other).alias("other"), F.count(F.lit(1)).alias("n"), F.first(F.size("all")).alias("k"))
+    return sums.select("label", _r(F.col("own"), 5).alias("own"), _r(F.col("other") / F.nullif(F.col("n") * (F.col("k") - 1), F.lit(0)), 5).alias("other"))
 
 
 # Ranks, windows, order
@@ -394,8 +491,8 @@ def average_rank(spark, d):
 
 @query
 def row_index(spark, d):
-    order = Window.partitionBy("page_id").orderBy("rev_no", "doc_id")
-    return table(spark, d, "documents").select("doc_id", "page_id", (F.row_number().over(order) - 1).alias("place"))
+    rows = table(spark, d, "documents").select("doc_id", "page_id", "rev_no")
+    return R.row_index(rows, ["page_id"], [F.col("rev_no"), F.col("doc_id")]).select("doc_id", "page_id", F.col("place").cast("int").alias("place"))
 
 
 @query
@@ -406,8 +503,8 @@ def top_orders(spark, d):
 
 @query
 def percentiles(spark, d):
-    rows = table(spark, d, "events")
-    return rows.groupBy("event_type").agg(_r(F.percentile("value", 0.99)).alias("p99"), _r(F.percentile("value", 0.5)).alias("median"))
+    found = R.percentiles(table(spark, d, "events"), "event_type", "value", {"p99": 0.99, "median": 0.5})
+    return found.select("event_type", _r(F.col("p99")).alias("p99"), _r(F.col("median")).alias("median"))
 
 
 @query
@@ -446,7 +543,7 @@ def stratified_split(spark, d):
 @query
 def standardised(spark, d):
     rows = sound_features(spark, d, ["gabor"])
-    return M.standardised(rows, "feature_id", "gabor", 24).select("feature_id", *[_r(F.col("z")[i], 5).alias(f"z{i}") for i in (0, 12, 23)])
+    return M.standardised(rows, "feature_id", "gabor", 24).select("feature_id", *[_r(F.col("z")[i], 5).alias(f"z{i}") for i in range(24)])
 
 
 def _genera(spark, d, field):
@@ -486,24 +583,33 @@ def spearman(spark, d):
     return M.spearman(rows, "value", "u", "event_type").withColumn("rho", _r(F.col("rho")))
 
 
+def _genus_nodes(spark, d):
+    """A root and below it each genus of the tips, its branch as long as the mean of theirs."""
+    genus = table(spark, d, "tree_tips").groupBy(F.lower(F.element_at(F.split("tip_label", "_"), 1)).alias("label")).agg((F.min("tip_id") + 1).alias("node"), F.avg("branch_length").alias("length"))
+    root = genus.agg(F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("length"))
+    return genus.select("node", F.lit(0).alias("parent"), "label", "length").unionByName(root)
+
+
 def _tree_distances(spark, d):
-    """Path distances between genera: their mean branch lengths on a star below the root."""
-    depth = table(spark, d, "tree_tips").groupBy(F.lower(F.element_at(F.split("tip_label", "_"), 1)).alias("genus")).agg(F.array(F.avg("branch_length")).alias("depth"))
-    pairs = M.entity_pairs(depth, "genus", "depth")
-    return pairs.select("a", "b", (F.col("va")[0] + F.col("vb")[0]).alias("d"))
+    """Path distances between the genera of the tree."""
+    return T.path_distances(_genus_nodes(spark, d))
+
+
+def _mantel(spark, d, count):
+    found = M.mantel(M.distances(_genera(spark, d, "gabor"), "genus", "mean"), _tree_distances(spark, d), count)
+    rounded = [_r(F.col(c), n).alias(c) for c, n in (("r", 5), ("p", 6), ("rho", 5), ("rho_p", 6))]
+    return found.select(*rounded, "pairs", _r(N.least_detectable_r(F.col("pairs"))).alias("least_r"))
 
 
 @query
 def mantel(spark, d):
-    found = M.mantel(M.distances(_genera(spark, d, "gabor"), "genus", "mean"), _tree_distances(spark, d), 99)
-    return found.select(_r(F.col("r"), 5).alias("r"), _r(F.col("p")).alias("p"), "pairs", _r(N.least_detectable_r(F.col("pairs"))).alias("least_r"))
+    return _mantel(spark, d, 99)
 
 
 @query
 def mantel_test(spark, d):
-    """Rows only: ``mantel`` with 9,999 permutations and the rank correlation; its SQL counts 99."""
-    found = M.mantel(M.distances(_genera(spark, d, "gabor"), "genus", "mean"), _tree_distances(spark, d), 9_999)
-    return found.select(_r(F.col("r"), 5).alias("r"), _r(F.col("p")).alias("p"), _r(F.col("rho"), 5).alias("rho"), _r(F.col("rho_p")).alias("rho_p"), "pairs", _r(N.least_detectable_r(F.col("pairs"))).alias("least_r"))
+    """Rows only: ``mantel`` with 9,999 permutations; its SQL counts 99."""
+    return _mantel(spark, d, 9_999)
 
 
 @query
@@ -512,18 +618,45 @@ def feature_correlations(spark, d):
     return found.select("pos", _r(F.col("r"), 5).alias("r"), "n")
 
 
+def _all_correlations(spark, d):
+    """(grp, feature, r, n) of all features of all groups: one pass for the means, one for the pairs."""
+    rows = features(spark, d).where("genus is not null").withColumn("genus", F.lower(F.trim("genus")))
+    parts = [(g, i) for g, n in GROUPS.items() for i in range(n)]
+    usable = {g: N.sound(F.col(g), n) for g, n in GROUPS.items()}
+    means = rows.groupBy("genus").agg(F.array(*[F.avg(F.when(usable[g], F.get(g, F.lit(i)))) for g, i in parts]).alias("f"))
+    found = M.feature_correlations(means, "genus", "f", _tree_distances(spark, d), len(parts))
+    place = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(i).alias("i")) for g, i in parts])
+    return found.withColumn("at", F.get(place, F.col("pos"))).select("at.grp", _feature(F.col("at.grp"), F.col("at.i")).alias("feature"), "r", "n")
+
+
+def _group_means(spark, d):
+    return _all_correlations(spark, d).groupBy("grp").agg(F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("deviation"), F.count_if(F.col("r") < 0).alias("negative"))
+
+
 @query
 def group_mean_r(spark, d):
-    parts = [M.feature_correlations(_genera(spark, d, g), "genus", "mean", _tree_distances(spark, d), GROUPS[g]).withColumn("grp", F.lit(g)) for g in ("gabor", "hue_hist")]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("grp").agg(_r(F.avg("r"), 5).alias("mean_r"), _r(F.stddev_samp("r"), 5).alias("deviation"), F.count_if(F.col("r") < 0).alias("negative"))
+    return _group_means(spark, d).select("grp", _r(F.col("mean_r"), 5).alias("mean_r"), _r(F.col("deviation"), 5).alias("deviation"), "negative")
+
+
+@query
+def strongest_group(spark, d):
+    """The group whose features agree best with the tree on average."""
+    best = _group_means(spark, d).agg(F.max(F.struct(F.round("mean_r", 9).alias("mean_r"), "grp")).alias("best"))
+    return best.select("best.grp", _r(F.col("best.mean_r"), 5).alias("mean_r"))
 
 
 @query
 def correlation_p(spark, d):
-    """Two-sided p of each feature's correlation; rows only, DuckDB has no t distribution."""
-    found = M.feature_correlations(_genera(spark, d, "gabor"), "genus", "mean", _tree_distances(spark, d), 24)
-    return found.select("pos", "r", M.pearson_p("r", "n").alias("p")).orderBy(F.desc("r"), "pos")
+    """Two-sided p of each feature's correlation, the strongest first, features of one r by name; rows only, DuckDB has no t distribution."""
+    found = _all_correlations(spark, d).select("grp", "feature", "r", "n", M.pearson_p("r", "n").alias("p"))
+    return found.orderBy(F.desc("r"), "feature")
+
+
+@query
+def significant_features(spark, d):
+    """Rows only: how many features have p below 0.05 and how many a negative r."""
+    found = _all_correlations(spark, d).select("r", M.pearson_p("r", "n").alias("p"))
+    return found.agg(F.count_if(F.col("p") < 0.05).alias("significant"), F.count_if(F.col("r") < 0).alias("negative"), F.count(F.lit(1)).alias("features"))
 
 
 @query
@@ -551,16 +684,74 @@ def average_linkage(spark, d):
     return M.upgma(M.distances(_genera(spark, d, "gabor"), "genus", "mean"))
 
 
+@query
+def explained_variance(spark, d):
+    """Rows only: shares of variance of the components and their running sum."""
+    return M.explained_variance(_genera(spark, d, "gabor"), "genus", "mean", 24)
+
+
+@query
+def ordered_distances(spark, d):
+    """Both directions of each pair of genera and the zero diagonal: the cells of the square matrix."""
+    means = _genera(spark, d, "gabor")
+    cells = M.ordered_pairs(M.distances(means, "genus", "mean")).union(means.select("genus", "genus", F.lit(0.0)))
+    return cells.select("a", "b", _r(F.col("d"), 5).alias("d"))
+
+
+def _checks():
+    structure = V.structure_checks(GROUPS, ["hue_hist", "sat_hist", "val_hist", "lbp"], "entropy", "genus")
+    mean = V.anchored(GROUPS, "species")
+    plain, patterned, striped, smooth = (ANCHORS[k] for k in ("plain", "patterned", "striped", "smooth"))
+    first = F.get("entropy", F.lit(0))
+    energies = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.get("gabor", k * 2))
+    crowd = F.size(F.filter(F.slice("dom_colours", 16, 5), lambda v: v > 0.15))
+    total = N.array_sum(F.col("gabor")) / 24
+    return structure + [
+        V.Check("plain_hue_entropy", mean(plain, "entropy", first), lambda v: v < 2.0),
+        V.Check("plain_saturation", mean(plain, "sat_hist", N.array_sum(F.col("sat_hist")) / 8), lambda v: v > 0.1),
+        V.Check("plain_yellow", mean(plain, "hue_hist", N.array_sum(F.slice("hue_hist", 4, 3))), lambda v: v > 0.05),
+        V.Check("smooth_hue_entropy", mean(smooth, "entropy", first), lambda v: v < 2.2),
+        V.Check("smooth_low_saturation", mean(smooth, "sat_hist", F.get("sat_hist", F.lit(0))), lambda v: v > 0.0),
+        V.Check("patterned_over_plain", mean(patterned, "entropy", first) - mean(plain, "entropy", first), lambda v: v > 0),
+        V.Check("striped_peak", mean(striped, "gabor", F.array_max(energies)) - 1.2 * mean(striped, "gabor", N.array_sum(energies) / 12), lambda v: v > 0),
+        V.Check("striped_over_smooth", mean(striped, "gabor", total) - 0.8 * mean(smooth, "gabor", total), lambda v: v > 0),
+        V.Check("striped_clusters", mean(striped, "dom_colours", crowd), lambda v: v >= 2),
+        V.Check("smooth_fewer_clusters", mean(smooth, "dom_colours", crowd) - mean(striped, "dom_colours", crowd), lambda v: v <= 0),
+        V.Check("texture_entropy", mean(striped, "entropy", F.get("entropy", F.lit(1))) - 0.9 * mean(smooth, "entropy", F.get("entropy", F.lit(1))), lambda v: v >= 0),
+        *[V.Check(f"countershading_{k}", mean(v, "dorsal_ventral", F.abs(F.get("dorsal_ventral", F.lit(8)))), lambda v: v > 0.01) for k, v in ANCHORS.items()],
+    ]
+
+
 @query
 def validation_report(spark, d):
-    rows = features(spark, d)
-    checks = []
-    for group, size in GROUPS.items():
-        bad = F.count_if(~F.coalesce(N.sound(F.col(group), size), F.lit(False)))
-        checks.append(rows.agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).select(F.lit(f"sound_{group}").alias("test"), F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"), F.format_string("%d of %d", "bad", "n").alias("detail")))
-    ids = rows.agg(F.count_if(F.col("genus").isNull()).alias("bad"), F.count(F.lit(1)).alias("n"))
-    checks.append(ids.select(F.lit("genus_given").alias("test"), F.when(F.col("bad") == 0, "PASS").otherwise("FAIL").alias("status"), F.format_string("%d of %d", "bad", "n").alias("detail")))
-    return reduce(DataFrame.unionByName, checks)
+    """Structure of the table and patterns of the anchor species, all in one pass."""
+    return V.report(features(spark, d), _checks())
+
+
+@query
+def genus_validation(spark, d):
+    """Distances between the mean vectors of the genera of the checks, and of their rows to their own and another mean."""
+    rows = sound_features(spark, d, SIGNAL).where("genus is not null").select(F.lower(F.trim("genus")).alias("genus"), F.concat(*SIGNAL).alias("f")).where(F.col("genus").isin(GENERA))
+    means = A.mean_vector(rows, "genus", "f", 37)
+    wide = means.agg(*[F.max(F.when(F.col("genus") == g, F.col("mean"))).alias(f"m{i}") for i, g in enumerate(GENERA)])
+    apart = lambda a, b: F.max(N.euclidean(F.col(f"m{a}"), F.col(f"m{b}")))
+    gap = lambda own, m: F.avg(F.when(F.col("genus") == GENERA[own], N.euclidean(F.col("f"), F.col(f"m{m}"))))
+    return V.report(rows.join(F.broadcast(wide)), [
+        V.Check("genera_differ", apart(0, 1), lambda v: v > 0.1),
+        V.Check("closer_than_third", apart(0, 1) - apart(0, 2), lambda v: v < 0),
+        V.Check("closer_than_fourth", apart(0, 1) - apart(0, 3), lambda v: v < 0),
+        V.Check("own_centre", gap(2, 2) - gap(2, 3), lambda v: v < 0),
+    ])
+
+
+@query
+def closest_species(spark, d):
+    """The two closest species of each genus of the checks by their mean vectors, and whether they differ."""
+    rows = sound_features(spark, d, SIGNAL).where("genus is not null and species is not null").select(F.lower(F.trim("genus")).alias("genus"), F.lower(F.regexp_replace("species", r"[^\p{L}]+", "")).alias("name"), F.concat(*SIGNAL).alias("f"))
+    keyed = rows.where(F.col("genus").isin(GENERA)).select(F.concat_ws("|", "genus", "name").alias("k"), "f")
+    pairs = M.distances(A.mean_vector(keyed, "k", "f", 37), "k", "mean").select(F.split("a", r"\|").alias("a"), F.split("b", r"\|").alias("b"), F.round("d", 6).alias("d"))
+    near = pairs.where(F.col("a")[0] == F.col("b")[0]).groupBy(F.col("a")[0].alias("genus")).agg(F.min(F.struct("d", F.col("a")[1].alias("a"), F.col("b")[1].alias("b"))).alias("m"))
+    return near.select("genus", F.col("m.a").alias("first"), F.col("m.b").alias("second"), F.round("m.d", 4).alias("d"), (F.col("m.d") > 0.01).alias("differ"))
 
 
 # Trees
@@ -624,17 +815,106 @@ def newick_nodes(spark, d):
 # Reports, rasters, streams
 
 
+def _cards(spark, d):
+    rows = table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
+    return sinks.html_card_rows(rows.groupBy("source", "title").agg(F.count(F.lit(1)).cast("string").alias("n")), "title", "n", "source")
+
+
 @query
 def html_report(spark, d):
-    rows = table(spark, d, "documents").where("rev_no = 1").withColumn("source", F.coalesce("source", F.lit("")))
-    return sinks.html_cards(rows.groupBy("source", "title").agg(F.count(F.lit(1)).cast("string").alias("n")), "title", "n", "source")
+    """A card for each source and title over all revisions; a section is what a writer partitioned by source puts together."""
+    return _cards(spark, d)
 
 
 @query
 def html_report_cards(spark, d):
-    """Rows only: a card for each source and title over all revisions; the SQL of ``html_report`` counts first revisions."""
-    rows = table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
-    return sinks.html_card_rows(rows.groupBy("source", "title").agg(F.count(F.lit(1)).cast("string").alias("n")), "title", "n", "source")
+    """The cards of ``html_report`` written and read again."""
+    path = shared_folder(spark)
+    _cards(spark, d).write.partitionBy("source").option("compression", "zstd").parquet(path)
+    read = spark.read.schema("title string, html string, source string").parquet(path)
+    return read.select(F.coalesce("source", F.lit("")).alias("source"), "title", "html")
+
+
+@query
+def summary_document(spark, d):
+    """One nested document: the lines of annotation_log and those of each status, in order."""
+    lines = table(spark, d, "annotation_log").select("log_id", F.upper("status").alias("status")).distinct().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    one = lines.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("status", "n"))).alias("by_status"))
+    path = shared_folder(spark)
+    sinks.json_document(one, path)
+    return spark.read.text(path).select(F.col("value").alias("document"))
+
+
+@query
+def csv_round_trip(spark, d):
+    """Feature rows written as CSV with a fixed order of fields, read as a feature table."""
+    rows = sound_features(spark, d, ["entropy"]).select("genus", "species", F.get("entropy", F.lit(0)).alias("hue_entropy"), F.get("entropy", F.lit(1)).alias("lbp_entropy"), "feature_id")
+    path = shared_folder(spark)
+    sinks.csv(rows, path, ["feature_id", "genus", "species", "hue_entropy", "lbp_entropy"])
+    read = readers.feature_table(spark, path, meta=("feature_id", "genus", "species"))
+    return read.select(F.col("feature_id").cast("long").alias("feature_id"), _r(F.col("f")[0]).alias("hue_entropy"), _r(F.col("f")[1]).alias("lbp_entropy"))
+
+
+@query
+def json_round_trip(spark, d):
+    """Lines of extraction_log written as JSON lines and read again."""
+    path = shared_folder(spark)
+    sinks.json_lines(table(spark, d, "extraction_log").select("log_id", "n_fish_pixels", "status").distinct(), path)
+    return spark.read.schema("log_id long, n_fish_pixels long, status string").json(path)
+
+
+@query
+def list_round_trip(spark, d):
+    """The annotated image ids written as a text list and read as ids."""
+    path = shared_folder(spark)
+    sinks.text_list(table(spark, d, "annotation_log").where("image_id is not null").select("image_id").distinct(), "image_id", path)
+    return readers.id_list(spark, path)
+
+
+@query
+def matrix_round_trip(spark, d):
+    """The square matrix of the genera written as CSV and read as pairs."""
+    pairs = M.distances(_genera(spark, d, "gabor"), "genus", "mean").select("a", "b", F.round("d", 5).alias("d"))
+    labels = [r["k"] for r in M.checked(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()).orderBy("k").collect()]
+    path = shared_folder(spark)
+    M.wide(pairs, labels).coalesce(1).write.csv(path, header=True)
+    return readers.square_matrix(spark, path)
+
+
+@query
+def tree_round_trip(spark, d):
+    """The tree of the genera written as text, read and parsed: its tips and their lengths."""
+    tips = T.tips(_genus_nodes(spark, d)).where("label is not null").select(F.format_string("%s:%.9f", "label", "length").alias("t"))
+    path = shared_folder(spark)
+    sinks.text_list(M.checked(tips).agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("t")), ","), F.lit(");")).alias("text")), "text", path)
+    found = T.parse_newick(readers.tree_texts(spark, path), "tree", "text")
+    return found.where("tip_order is not null").select("label", _r(F.col("length"), 6).alias("length"))
+
+
+@query
+def annotation_document(spark, d):
+    """Images and their best annotations written as one document, read and joined again."""
+    images = table(spark, d, "annotation_log").where("image_id is not null").groupBy(F.col("image_id").cast("long").alias("id")).agg(F.min("file_name").alias("file_name"))
+    notes = best_annotation(spark, d).select(F.col("log_id").alias("id"), F.col("image_id").cast("long").alias("image_id"), F.col("sam_score").alias("area"))
+    path = shared_folder(spark)
+    # A row of one part of each list is a document of its own; readers take all of them together.
+    part = lambda df, name: df.groupBy(F.pmod("id", F.lit(64)).alias("part")).agg(F.collect_list(F.struct("*")).alias(name))
+    both = part(images, "images").join(part(notes, "annotations"), "part", "full").select(F.coalesce("images", F.array()).alias("images"), F.coalesce("annotations", F.array()).alias("annotations"))
+    sinks.json_lines(both, path)
+    pictures, read = readers.coco_lines(spark, path)
+    return pictures.join(read.withColumnRenamed("id", "note"), pictures.id == read.image_id).select("image_id", "file_name", "note", _r(F.col("area")).alias("area"))
+
+
+@query
+def image_round_trip(spark, d):
+    """Swatches of five pixels written as PNG files and read as pixels: the sums of each channel."""
+    rows = table(spark, d, "supplier").select("s_suppkey", *[F.pmod(F.col("s_suppkey") * k, F.lit(256)).cast("int").alias(c) for c, k in (("r", 37), ("g", 13), ("b", 7))])
+    hexed = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in "rgb"])
+    rasters = rows.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(5).alias("width"), F.lit(1).alias("height"), F.unhex(F.repeat(hexed, 5)).alias("rgb"))
+    path = shared_folder(spark)
+    sinks.write_pngs(rasters, path.removeprefix("file:"))
+    seen = readers.pixels(spark, path)
+    return seen.groupBy(X.stem(F.col("path")).alias("name")).agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in "rgb"])
 
 
 @query

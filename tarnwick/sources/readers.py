@@ -1,4 +1,4 @@
-"""Readers. Each fails early, through Spark, when the path does not exist."""
+"""Readers. Each fails early, through Spark, when the path does not exist; ``required`` guards columns and rows."""
 
 from __future__ import annotations
 
@@ -16,6 +16,16 @@ COCO = T.StructType([
 ])
 
 
+def required(df: DataFrame, columns: list[str], rows: bool = True) -> DataFrame:
+    """``df`` if it has the ``columns`` and, unless ``rows`` is false, at least one row; else an error that names what is missing."""
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise ValueError(f"columns are missing: {', '.join(absent)}")
+    if rows and df.isEmpty():
+        raise ValueError("the input has no rows")
+    return df
+
+
 def image_files(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGE_ENDINGS) -> DataFrame:
     """(path, genus, name, length) of the images below ``path``, the directory of each read as its genus; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -34,7 +44,15 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of an annotation document, one row each."""
-    document = spark.read.schema(COCO).json(path, multiLine=True)
+    return _lists(spark.read.schema(COCO).json(path, multiLine=True))
+
+
+def coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As ``coco``, of documents on a line each, so that a large one is read in parts."""
+    return _lists(spark.read.schema(COCO).json(path))
+
+
+def _lists(document: DataFrame) -> tuple[DataFrame, DataFrame]:
     return document.select(F.explode("images").alias("i")).select("i.*"), document.select(F.explode("annotations").alias("a")).select("a.*")
 
 

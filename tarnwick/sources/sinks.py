@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,13 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def json_document(df: DataFrame, path: str) -> None:
+    """The one row of ``df``, with its nested structs and arrays, as one JSON document."""
+    if df.limit(2).count() != 1:
+        raise ValueError("a document is made of one row")
+    df.coalesce(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def text_list(df: DataFrame, column: str, path: str) -> None:
     """One value a line."""
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
@@ -47,13 +57,6 @@ def html_card_rows(rows: DataFrame, title: str, text: str, by: str) -> DataFrame
     return rows.select(by, F.coalesce(title, F.lit("")).alias("title"), _card(title, text).alias("html"))
 
 
-def html_cards(rows: DataFrame, title: str, text: str, by: str) -> DataFrame:
-    """(by, html): one section a group with a card for each row, in order of title; special characters escaped."""
-    cards = rows.select(by, F.struct(F.coalesce(title, F.lit("")).alias("t"), _card(title, text).alias("c")).alias("s"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]), "")
-    return cards.groupBy(by).agg(F.concat(F.lit("<section>"), body, F.lit("</section>")).alias("html"))
-
-
 def png(width: int, height: int, rgb: bytes) -> bytes:
     """A PNG file of 8-bit red, green and blue rows."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -61,13 +64,33 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def write_pngs(rasters: DataFrame, folder: str) -> None:
-    """One file for each row (name, width, height, rgb), written by the tasks into a folder that all of them share."""
-    os.makedirs(folder, exist_ok=True)
+def png_files(rasters: DataFrame) -> DataFrame:
+    """(name, content): the PNG file of each raster (name, width, height, rgb)."""
 
-    def run(rows) -> None:
-        for r in rows:
-            with open(os.path.join(folder, f"{r['name']}.png"), "wb") as out:
-                out.write(png(r["width"], r["height"], bytes(r["rgb"])))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "content": [png(w, h, bytes(rgb)) for w, h, rgb in zip(batch["width"], batch["height"], batch["rgb"])]})
 
-    rasters.select("name", "width", "height", "rgb").foreachPartition(run)
+    return rasters.select("name", "width", "height", "rgb").mapInPandas(run, "name string, content binary")
+
+
+def write_pngs(rasters: DataFrame, folder: str) -> None:
+    """One file for each row, written by the tasks into a mounted folder that all of them share.
+
+    Each task writes under a name of its own and renames the file, so a task that runs twice leaves one whole file.
+    """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("the tasks must share a mounted folder; elsewhere write the table png_files(...)")
+    base = folder.removeprefix("file://")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(base, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                own = os.path.join(base, f".{uuid.uuid4().hex}")
+                with open(own, "wb") as out:
+                    out.write(content)
+                os.replace(own, os.path.join(base, f"{name}.png"))
+            yield pd.DataFrame({"name": batch["name"]})
+
+    png_files(rasters).mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

@@ -35,3 +35,14 @@ def test_numbers(spark):
 def test_square_fit_rounds_half_to_even(spark):
     row = spark.range(1).select(*[c.alias(n) for n, c in N.fit_square(F.lit(2048), F.lit(1025), 1024).items()]).first()
     assert (row["new_width"], row["new_height"], row["pad_left"], row["pad_top"]) == (1024, 512, 0, 256)
+
+
+def test_names_colours_and_masks(spark):
+    groups = {"hue_hist": 18, "sat_hist": 8, "val_hist": 8, "dom_colours": 20, "dorsal_ventral": 9, "gabor": 24, "lbp": 10, "entropy": 2}
+    names = [r["n"] for g, size in groups.items() for r in spark.range(size).orderBy("id").select(X.feature_name(g, F.col("id").cast("int")).alias("n")).collect()]
+    assert len(set(names)) == 99 and {"hue_bin_090_100", "sat_bin_224_256", "val_bin_000_032", "domcol_4_val", "domcol_0_freq", "dv_diff_val_mean", "gabor_t135_f0p4_std", "lbp_bin_09", "hue_entropy"} <= set(names)
+    row = spark.range(1).select(
+        X.replaced(F.lit("Naso_x Naso y Zebra_Naso"), {"Naso": "N.", "Zebra": "Z."}).alias("short"), X.looked_up(F.lit("a"), {"a": "1"}, "0").alias("known"), X.looked_up(F.lit(None).cast("string"), {"a": "1"}, "0").alias("unknown"),
+        X.percent(F.lit(0.1234)).alias("percent"), N.luminance(F.lit(7), F.lit(7), F.lit(7)).alias("same"), N.luminance(F.lit(255), F.lit(0), F.lit(0)).alias("red"), N.on_white(F.lit(10), F.lit(0)).alias("clear"), N.on_white(F.lit(10), F.lit(255)).alias("full"), N.on_white(F.lit(0), F.lit(128)).alias("half"),
+    ).first()
+    assert tuple(row) == ("N.x N.y Z.Naso", "1", "0", "12.3%", 7, 76, 255, 10, 127)

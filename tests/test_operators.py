@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,9 +21,9 @@ def tree(spark, rows=TREE):
 
 def test_cascade_takes_the_first_step_that_matches(spark):
     tips = spark.createDataFrame([(1, "Ab_cd"), (2, "Ef_gh"), (3, "Ij_gh")], "tip_id int, tip_label string")
-    labels = spark.createDataFrame([("Ab cd",), ("x Ab cd",), ("Zz gh",), ("q Ab_cd",), ("none at all",), (None,), (" ",)], "label string")
+    labels = spark.createDataFrame([("Ab cd",), ("x Ab cd",), ("Zz gh",), ("q Ab_cd",), ("none at all",), (None,), (" ",), ("Zz CD",), ("Q GH",)], "label string")
     got = {r["label"]: (r["tip"], r["method"]) for r in J.label_cascade(labels, tips, "label", "tip_label", "tip_id").collect()}
-    assert got == {"Ab cd": ("Ab_cd", "exact"), "x Ab cd": ("Ab_cd", "last_two_words"), "Zz gh": ("Ef_gh", "epithet_only"), "q Ab_cd": ("Ab_cd", "epithet_underscore_stripped"), "none at all": (None, "none")}
+    assert got == {"Ab cd": ("Ab_cd", "exact"), "x Ab cd": ("Ab_cd", "last_two_words"), "Zz gh": ("Ef_gh", "epithet_only"), "q Ab_cd": ("Ab_cd", "epithet_underscore_stripped"), "none at all": (None, "none"), "Zz CD": ("Ab_cd", "epithet_only"), "Q GH": ("Ef_gh", "epithet_only")}
 
 
 def test_priority_upsert_and_alignment(spark):
@@ -92,16 +94,68 @@ def test_mantel_ranks_and_chunks(spark):
     one, two = (spark.createDataFrame([(names[i], names[j], float(m[i, j])) for i, j in at], "a string, b string, d double") for m in (v, p))
     rank = lambda x: np.array([(x < y).sum() + ((x == y).sum() + 1) / 2 for y in x])
     x, y = (np.array([m[i, j] for i, j in at]) for m in (v, p))
-    row = M.mantel(one, two, 29, chunk_rows=100).first()
+    row = M.mantel(one, two, 29).first()
     assert abs(row["r"] - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(row["rho"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
     perms = {}
-    for r in M.permutations(spark.createDataFrame([(k,) for k in names], "k string"), "k", 29).collect():
-        perms.setdefault(r["perm"], {})[names.index(r["k"])] = names.index(r["other"])
+    for perm in range(1, 30):
+        marked = sorted(range(6), key=lambda i: hashlib.md5(f"{perm}_{names[i]}".encode()).hexdigest())
+        perms[perm] = {i: place for place, i in enumerate(marked)}
     place = {pair: n for n, pair in enumerate(at)}
     for name, a, b in (("p", x, y), ("rho_p", rank(x), rank(y))):
         null = [np.corrcoef(a[[place[tuple(sorted((o[i], o[j])))] for i, j in at]], b)[0, 1] for o in perms.values()]
         assert row[name] == pytest.approx((sum(round(n, 9) >= round(np.corrcoef(a, b)[0, 1], 9) for n in null) + 1) / 30)
-    assert tuple(M.mantel(one, two, 29).first()) == pytest.approx(tuple(row))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(M, "TASK_PERMUTATIONS", 3)
+        assert tuple(M.mantel(one, two, 29).first()) == pytest.approx(tuple(row))
+        patch.setattr(M, "MOST_PERMUTED", 5)
+        with pytest.raises(ValueError):
+            M.mantel(one, two, 29)
+    flat = M.mantel(one.withColumn("d", F.lit(1.0)), two, 9).first()
+    assert np.isnan(flat["r"]) and flat["p"] == 1.0 and M.mantel(one.where("false"), two, 9).first()["pairs"] == 0
+
+
+def test_one_group_of_all_rows_is_counted_in_ranges(spark):
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 500, 3_000) / 7
+    rows = spark.createDataFrame([("all", i, float(x), bool(x > 20 + 40 * rng.random())) for i, x in enumerate(v)] + [("few", 10_000 + i, float(i), i > 1) for i in range(4)], "g string, i long, v double, y boolean")
+    ranks = {r["i"]: r["rank"] for r in R.average_rank(rows, "v", "g", parts=7).collect()}
+    assert all(ranks[i] == (v < v[i]).sum() + ((v == v[i]).sum() + 1) / 2 for i in range(3_000)) and ranks[10_003] == 4
+    placed = R.running(rows, ["g"], [F.col("v"), F.col("i")], ["i"], 7)
+    assert placed.select(F.spark_partition_id()).count() == 3_004
+    spread = R.row_index(rows, ["g"], [F.col("v"), F.col("i")], 7)
+    want = np.lexsort((np.arange(3_000), v)).argsort()
+    assert all(want[r["i"]] == r["place"] for r in spread.where("g = 'all'").collect())
+    ranges = rows.repartitionByRange(7, "g", "v", "i").where("g = 'all'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ranges > 3
+    y = np.array([r["y"] for r in rows.where("g = 'all'").orderBy("i").collect()])
+    auc = ((v[y][:, None] > v[~y]).mean() + (v[y][:, None] == v[~y]).mean() / 2)
+    assert {r["g"]: r["auc"] for r in R.roc_auc(rows, "g", "v", "y", 7).collect()}["all"] == pytest.approx(auc)
+    assert {r["g"]: r["ap"] for r in R.pr_area(rows, "g", "v", "y", 7).collect()} == pytest.approx({r["g"]: r["ap"] for r in R.pr_area(rows, "g", "v", "y", 1).collect()})
+    got = {r["g"]: r for r in R.percentiles(rows, "g", "v", {"p99": 0.99, "mid": 0.5, "low": 0.0}, 7).collect()}
+    assert [got["all"][k] for k in ("p99", "mid", "low")] == pytest.approx(np.quantile(v, [0.99, 0.5, 0.0]).tolist()) and got["few"]["mid"] == 1.5
+    assert R.average_rank(rows.where("false"), "v", "g").count() == R.percentiles(rows.where("false"), "g", "v", {"m": 0.5}).count() == 0
+
+
+def test_a_deep_tree_and_a_loop(spark):
+    comb = [(0, None, None, 0.0)] + [(2 * i + 1, 2 * i, f"t{i:03d}", 1.0) for i in range(150)] + [(2 * i + 2, 2 * i, None, 0.5) for i in range(150)]
+    d = {(r["a"], r["b"]): r["d"] for r in T.path_distances(tree(spark, comb)).where("a = 't000' or b = 't149'").collect()}
+    assert d["t000", "t149"] == 1 + 149 * 0.5 + 1 and d["t148", "t149"] == 1 + 0.5 + 1
+    with pytest.raises(ValueError):
+        T.lineages(tree(spark, [(0, 1, None, 0.0), (1, 0, None, 0.0), (2, 1, "x", 1.0)])).count()
+
+
+def test_upsert_resume_and_order_of_another_table(spark):
+    base = spark.createDataFrame([(4, "a", 1, "k"), (9, "b", 2, "l")], "id int, name string, v int, kept string")
+    change = spark.createDataFrame([("b", 20), ("d", 40), ("c", 30)], "name string, v int")
+    assert {tuple(r) for r in J.upsert_with_ids(base, change, "name", "id").collect()} == {(4, "a", 1, "k"), (9, "b", 20, "l"), (10, "c", 30, None), (11, "d", 40, None)}
+    assert {r["id"] for r in J.upsert_with_ids(base.where("false"), change, "name", "id").collect()} == {1, 2, 3}
+    log = spark.createDataFrame([("a", "ok"), ("b", "failed")], "name string, status string")
+    assert {r["name"] for r in J.remaining(change.union(spark.createDataFrame([("a", 1)], "name string, v int")), log, "name", F.col("status") == "ok").collect()} == {"b", "c", "d"}
+    assert {tuple(r) for r in J.continued(log, change, "name").collect()} == {("a", "ok", None), ("b", "failed", None), ("c", None, 30), ("d", None, 40)}
+    order = spark.createDataFrame([("d", 0), ("b", 1)], "name string, place int")
+    assert [tuple(r) for r in J.in_order_of(change, order, "name", "place").orderBy("place").collect()] == [(0, "d", 40), (1, "b", 20)]
+    pairs = [spark.createDataFrame(rows, "a string, b string, d double") for rows in ([("x", "y", 1.0), ("x", "z", 2.0), ("y", "z", 3.0)], [("x", "y", 5.0)])]
+    assert [t.count() for t in J.aligned_pairs(pairs)] == [1, 1] and M.ordered_pairs(pairs[0]).count() == 6
 
 
 def test_mantel_of_a_table_with_itself(spark):

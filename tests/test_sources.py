@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.sources import readers, sinks
@@ -41,8 +42,17 @@ def test_sinks(spark, tmp_path):
     sinks.json_lines(rows, str(tmp_path / "j"))
     sinks.text_list(rows, "v", str(tmp_path / "l"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["x", "y"]
-    html = sinks.html_cards(rows, "t", "v", "g").first()["html"]
-    assert html == "<section><div><h3></h3><p>y</p></div><div><h3>&lt;a&gt;</h3><p>x</p></div></section>"
+    html = {(r["title"], r["html"]) for r in sinks.html_card_rows(rows, "t", "v", "g").collect()}
+    assert html == {("", "<div><h3></h3><p>y</p></div>"), ("<a>", "<div><h3>&lt;a&gt;</h3><p>x</p></div>")}
+    sinks.json_document(rows.groupBy().agg(F.sort_array(F.collect_list("v")).alias("list"), F.struct(F.max("g").alias("g")).alias("of")), str(tmp_path / "d"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "d")).collect()] == ['{"list":["x","y"],"of":{"g":"s"}}']
+    with pytest.raises(ValueError):
+        sinks.json_document(rows, str(tmp_path / "e"))
+    with pytest.raises(ValueError, match="absent, other"):
+        readers.required(rows, ["v", "absent", "other"])
+    with pytest.raises(ValueError, match="no rows"):
+        readers.required(rows.where("false"), ["v"])
+    assert readers.required(rows.where("false"), ["v"], rows=False).count() == 0
     assert sinks.with_summary(rows, [rows.agg(F.lit("SUM").alias("t"))]).count() == 3
 
 
