@@ -10,7 +10,8 @@ case, white space, punctuation and the order of the words do not count, and ever
 Words written together without such a mark (``ABCD12``, ``12 34`` and ``1234``) give another canonical text. Lines
 whose texts hold the same letters and digits in other words are therefore compared: they are copies if in each
 column the words of the one are those of the other or written together from them, in any order. Letters in
-another order are never enough: ``silent`` and ``listen`` stay two lines. Lines linked over others are copies too.
+another order are never enough: ``silent`` and ``listen`` stay two lines. Lines linked over others are copies too. Several tables go through the same
+jobs side by side; lines of different tables are never copies.
 
 Defined cases: null equals only null; a text without letters and digits equals the empty text; other types
 compare by value; a line sent twice (same id and content) is one line; columns that are neither content nor
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,19 @@ def _content(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
     return df.select(F.col(f"`{id_column}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(content)])
 
 
+@dataclass(frozen=True)
+class Source:
+    """A table whose lines are compared with each other: its name, the column of the ids and the columns that count."""
+
+    name: str
+    df: DataFrame
+    id_column: str
+    content: list[str]
+
+    def rows(self) -> DataFrame:
+        return _content(self.df, self.id_column, self.content)
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
@@ -93,25 +109,32 @@ def _canonical(rows: DataFrame) -> tuple[list[Column], list[Column]]:
     return texts, [F.col(c) for c in keys if not _is_text(rows, c)]
 
 
-def survivors(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
-    """Distinct byte-identical lines: (raw, canon, bucket, words, lo, n).
+def _raw(source: Source, rows: DataFrame) -> Column:
+    return _digest([F.lit(source.name).alias("of"), *[F.col(c) for c in rows.columns if c != "id"]]).alias("raw")
 
-    ``raw`` and ``canon`` are digests of the line and of its full canonical text, ``n`` counts the ids. Rows go to
-    parts by content and a salt of the id, so a line sent twice counts once, a hot line is counted in ``SALTS``
-    parts, and all further work is done for each of those counts once, not for each row.
+
+def survivors(sources: list[Source]) -> DataFrame:
+    """Distinct byte-identical lines of each source: (source, raw, canon, lo, n, bucket, words).
+
+    ``raw`` and ``canon`` are digests of the line and of its full canonical text, each with the source's name; ``n``
+    counts the ids. Rows go to parts by content and a salt of the id, so a line sent twice counts once, a hot line
+    is counted in ``SALTS`` parts, and all further work is done for each of those counts once, not for each row.
     """
-    rows = _content(df, id_column, content)
-    keys = [c for c in rows.columns if c != "id"]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition(*keys, "salt")
-    once = salted.groupBy("id", *keys, "salt").agg(F.lit(1).alias("one"))
-    lines = once.groupBy(*keys, "salt").agg(F.min("id").alias("lo"), F.sum("one").alias("n"))
-    texts, others = _canonical(rows)
-    named = [t.alias(f"t{i}") for i, t in enumerate(texts)]
-    with_texts = lines.select(_digest([F.col(c) for c in keys]).alias("raw"), *others, *named, "lo", "n")
-    plain = [F.col(f"t{i}") for i in range(len(texts))]
-    flags = F.xxhash64(*[c.isNull() for c in [*others, *plain]], *others)
-    short = with_texts.select("raw", _digest([*others, *plain]).alias("canon"), F.concat_ws(" ", F.lit(""), *plain).alias("line"), flags.alias("rest"), "lo", "n")
-    return _bucketed(short)
+    found = []
+    for number, source in enumerate(sources):
+        rows = source.rows()
+        keys = [c for c in rows.columns if c != "id"]
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition(*keys, "salt")
+        once = salted.groupBy("id", *keys, "salt").agg(F.lit(1).alias("one"))
+        lines = once.groupBy(*keys, "salt").agg(F.min("id").alias("lo"), F.sum("one").alias("n"))
+        texts, others = _canonical(rows)
+        named = [t.alias(f"t{i}") for i, t in enumerate(texts)]
+        with_texts = lines.select(_raw(source, rows), *others, *named, "lo", "n")
+        plain = [F.col(f"t{i}") for i in range(len(texts))]
+        flags = F.xxhash64(F.lit(source.name), *[c.isNull() for c in [*others, *plain]], *others)
+        canon = _digest([F.lit(source.name).alias("of"), *others, *plain])
+        found.append(with_texts.select(F.lit(number).alias("source"), "raw", canon.alias("canon"), F.concat_ws(" ", F.lit(""), *plain).alias("line"), flags.alias("rest"), "lo", "n"))
+    return _bucketed(reduce(DataFrame.unionByName, found))
 
 
 def joined(fine: list[str], coarse: list[str]) -> bool:
@@ -134,7 +157,7 @@ def joined(fine: list[str], coarse: list[str]) -> bool:
     return False
 
 
-def _links(rows: DataFrame, lines: DataFrame, several: DataFrame) -> DataFrame:
+def _links(sources: list[Source], lines: DataFrame, several: DataFrame) -> DataFrame:
     """(u, v): canonical texts of one bucket of which one is written together from the other.
 
     The texts of these buckets are fetched by one line each. Texts meet over a word of the finer one that begins a
@@ -144,12 +167,12 @@ def _links(rows: DataFrame, lines: DataFrame, several: DataFrame) -> DataFrame:
     compared = one.count()
     if not compared:
         return one.select(F.col("canon").alias("u"), F.col("canon").alias("v"))
-    keys = [c for c in rows.columns if c != "id"]
     wanted = one.select("raw") if compared > BROADCAST_ROWS else F.broadcast(one.select("raw"))
-    raw = _digest([F.col(c) for c in keys]).alias("raw")
-    texts = rows.select(raw, *keys).join(wanted, "raw", "left_semi").groupBy("raw", *keys).agg(F.lit(1).alias("one"))
-    told, _ = _canonical(rows)
-    full = durable(texts.select("raw", F.array(*told).alias("texts")).join(one, "raw").select("bucket", "canon", "words", "texts"))
+    told = []
+    for source in sources:
+        rows = source.rows()
+        told.append(rows.select(_raw(source, rows), F.array(*_canonical(rows)[0]).alias("texts")).join(wanted, "raw", "left_semi").groupBy("raw").agg(F.first("texts").alias("texts")))
+    full = durable(reduce(DataFrame.unionByName, told).join(one, "raw").select("bucket", "canon", "words", "texts"))
     listed = F.filter(F.split(F.concat_ws(" ", F.lit(""), "texts"), " "), lambda w: w != "")
     has = full.select("bucket", "canon", "words", F.explode(F.array_distinct(listed)).alias("word"))
     sizes = has.select("bucket", F.length("word").alias("size")).distinct()
@@ -187,35 +210,41 @@ def _roots(links: DataFrame) -> DataFrame:
             return labels
 
 
-def copy_classes(df: DataFrame, id_column: str, content: list[str], lines: DataFrame) -> DataFrame:
-    """(canon, id_a, copies): for each canonical text its class's smallest id and number of lines, from ``survivors``."""
-    kinds = lines.groupBy("bucket").agg(
+def copy_classes(sources: list[Source], lines: DataFrame) -> DataFrame:
+    """(source, canon, id_a, copies): for each canonical text its class's smallest id and number of lines, from ``survivors``."""
+    kinds = lines.groupBy("source", "bucket").agg(
         F.min("canon").alias("canon"), F.max("canon").alias("other"), F.min("words").alias("few"), F.max("words").alias("many"), F.min("lo").alias("id_a"), F.sum("n").alias("copies")
     )
     kinds = durable(kinds)
-    single = kinds.where("canon = other").select("canon", "id_a", "copies")
+    single = kinds.where("canon = other").select("source", "canon", "id_a", "copies")
     mixed = kinds.where("canon <> other")
-    texts = lines.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("canon").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"))
-    roots = _roots(_links(_content(df, id_column, content), lines, mixed.where("few < many")))
-    rooted = durable(texts.join(roots.withColumnRenamed("v", "canon"), "canon", "left").select("canon", F.coalesce("root", "canon").alias("root"), "lo", "n"))
+    texts = lines.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("source", "canon").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"))
+    roots = _roots(_links(sources, lines, mixed.where("few < many")))
+    rooted = durable(texts.join(roots.withColumnRenamed("v", "canon"), "canon", "left").select("source", "canon", F.coalesce("root", "canon").alias("root"), "lo", "n"))
     whole = rooted.groupBy("root").agg(F.min("lo").alias("id_a"), F.sum("n").alias("copies"))
-    return single.unionByName(rooted.select("canon", "root").join(whole, "root").select("canon", "id_a", "copies"))
+    return single.unionByName(rooted.select("source", "canon", "root").join(whole, "root").select("source", "canon", "id_a", "copies"))
+
+
+def _named(sources: list[Source]) -> Column:
+    return F.get(F.array(*[F.lit(s.name) for s in sources]), F.col("source")).alias("tbl")
 
 
-def counted(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
-    """(id_a, copies): one line for each class of copies, named by its smallest id, with the number of its lines."""
-    return copy_classes(df, id_column, content, durable(survivors(df, id_column, content))).select("id_a", "copies").distinct()
+def counted(sources: list[Source]) -> DataFrame:
+    """(tbl, id_a, copies): one line for each class of copies, named by its smallest id, with the number of its lines."""
+    return copy_classes(sources, durable(survivors(sources))).select(_named(sources), "id_a", "copies").distinct()
 
 
-def copies(df: DataFrame, id_column: str, content: list[str]) -> DataFrame:
-    """(id_a, id_b): for each class of copies its smallest id, with one row for each other id.
+def copies(sources: list[Source]) -> DataFrame:
+    """(tbl, id_a, id_b): for each class of copies its smallest id, with one row for each other id.
 
     The ids of a class are as many as its copies, so no group is asked for them: the lines of classes with copies
     take the class's smallest id along and meet the rows by the digest of the line.
     """
-    lines = durable(survivors(df, id_column, content))
-    classes = copy_classes(df, id_column, content, lines).where("copies > 1").select("canon", "id_a")
+    lines = durable(survivors(sources))
+    classes = copy_classes(sources, lines).where("copies > 1").select("canon", "id_a")
     members = lines.join(classes, "canon").select("raw", "id_a").distinct()
-    rows = _content(df, id_column, content)
-    keyed = rows.select(F.col("id").alias("id_b"), _digest([F.col(c) for c in rows.columns if c != "id"]).alias("raw"))
-    return keyed.join(members, "raw").where("id_b <> id_a").select("id_a", "id_b").distinct()
+    keyed = []
+    for source in sources:
+        rows = source.rows()
+        keyed.append(rows.select(F.lit(source.name).alias("tbl"), F.col("id").alias("id_b"), _raw(source, rows)))
+    return reduce(DataFrame.unionByName, keyed).join(members, "raw").where("id_b <> id_a").select("tbl", "id_a", "id_b").distinct()

@@ -33,22 +33,18 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).where("entry = ''").groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _logs(spark: SparkSession, sf_dir: str) -> list[dedupe.Source]:
+    tables = {name: table(spark, sf_dir, name) for name in LOGS}
+    return [dedupe.Source(name, df, "log_id", _content(df)) for name, df in tables.items()]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name in LOGS:
-        df = table(spark, sf_dir, name)
-        parts.append(dedupe.copies(df, "log_id", _content(df)).select(F.lit(name).alias("tbl"), "id_a", "id_b"))
-    return reduce(DataFrame.unionByName, parts)
+    return dedupe.copies(_logs(spark, sf_dir))
 
 
 def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each set of copies, with the number of its lines."""
-    parts = []
-    for name in LOGS:
-        df = table(spark, sf_dir, name)
-        classes = dedupe.counted(df, "log_id", _content(df))
-        parts.append(classes.select(F.lit(name).alias("tbl"), F.col("id_a").alias("log_id"), "copies"))
-    return reduce(DataFrame.unionByName, parts)
+    return dedupe.counted(_logs(spark, sf_dir)).select("tbl", F.col("id_a").alias("log_id"), "copies")
 
 
 FIELDS = {"hue_hist": 18, "gabor": 24}

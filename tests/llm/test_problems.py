@@ -89,6 +89,21 @@ def test_typed_names_and_terms(spark):
 # 2
 
 
+def _copies(df, key, content):
+    return dedupe.copies([dedupe.Source("t", df, key, content)]).select("id_a", "id_b")
+
+
+def _counted(df, key, content):
+    return dedupe.counted([dedupe.Source("t", df, key, content)]).select("id_a", "copies")
+
+
+def test_lines_of_different_tables_are_no_copies(spark):
+    one, two = (spark.createDataFrame(rows, "id long, v string") for rows in ([(1, "Ab cd"), (2, "cd ab")], [(1, "AB_CD"), (7, "abcd"), (3, "x")]))
+    sources = [dedupe.Source("one", one, "id", ["v"]), dedupe.Source("two", two, "id", ["v"])]
+    assert _rows(dedupe.copies(sources)) == {("one", 1, 2), ("two", 1, 7)}
+    assert _rows(dedupe.counted(sources)) == {("one", 1, 2), ("two", 1, 2), ("two", 3, 1)}
+
+
 def test_copies(spark):
     rows = [
         (5, "Ab cd 12.png", None, 1.5, "x"), (3, "12_CD-AB .PNG", None, 1.5, "X!"), (9, "AbCd12.png", None, 1.5, "x"), (9, "AbCd12.png", None, 1.5, "x"),
@@ -96,9 +111,9 @@ def test_copies(spark):
     ]
     df = spark.createDataFrame(rows, "log_id long, lo string, hi string, n double, raw string")
     names = ["lo", "hi", "n", "raw"]
-    assert _rows(dedupe.copies(df, "log_id", names)) == {(3, 5), (3, 9), (7, 8)}
-    assert _rows(dedupe.counted(df, "log_id", names)) == {(3, 3), (1, 1), (2, 1), (4, 1), (7, 2)}
-    assert dedupe.copies(df.where("false"), "log_id", names).count() == 0
+    assert _rows(_copies(df, "log_id", names)) == {(3, 5), (3, 9), (7, 8)}
+    assert _rows(_counted(df, "log_id", names)) == {(3, 3), (1, 1), (2, 1), (4, 1), (7, 2)}
+    assert _copies(df.where("false"), "log_id", names).count() == 0
 
 
 def test_words_written_together_are_copies_and_anagrams_are_not(spark):
@@ -107,10 +122,10 @@ def test_words_written_together_are_copies_and_anagrams_are_not(spark):
         "a ab", "aab", "aba", "x" * 5_000 + " y", "Y" + "X" * 5_000, None, "", " - ", "é e", "ée", "12 3", "1 23", "123",
     ]
     df = spark.createDataFrame([(i, v, i % 3 if i < 0 else 1) for i, v in enumerate(values)], "id long, v string, n int")
-    got = _rows(dedupe.copies(df, "id", ["v", "n"]))
+    got = _rows(_copies(df, "id", ["v", "n"]))
     same = [[0, 7, 8], [4, 5], [9, 10, 11, 12], [13, 14, 15], [16, 17], [19, 20], [21, 22], [23, 24, 25]]
     assert got == {(g[0], other) for g in same for other in g[1:]}
-    assert {r["copies"] for r in dedupe.counted(df, "id", ["v", "n"]).where("id_a = 9").collect()} == {4}
+    assert {r["copies"] for r in _counted(df, "id", ["v", "n"]).where("id_a = 9").collect()} == {4}
 
 
 @settings(max_examples=200, deadline=None)
@@ -130,8 +145,8 @@ def test_joined_words_against_all_orders(fine, data):
 def test_a_hot_line_is_counted_once_for_each_id(spark):
     hot = spark.range(4_000).selectExpr("id", "'Naso - tonganus' as v").union(spark.range(4_000).selectExpr("id", "'Naso - tonganus' as v"))
     df = hot.union(spark.range(4_000, 6_000).selectExpr("id", "concat(repeat(' ', cast(id % 50 as int)), 'tonganus naso')"))
-    assert _rows(dedupe.counted(df, "id", ["v"])) == {(0, 6_000)}
-    assert dedupe.copies(df, "id", ["v"]).count() == 5_999
+    assert _rows(_counted(df, "id", ["v"])) == {(0, 6_000)}
+    assert _copies(df, "id", ["v"]).count() == 5_999
 
 
 # 3
