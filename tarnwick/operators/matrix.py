@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick.functions.numeric import euclidean
-from tarnwick.operators.ranking import average_rank
-from tarnwick.session import durable
+from tarnwick.operators.ranking import average_rank, row_index
+from tarnwick.session import durable, stored
 
 MOST_ENTITIES = 5_000
 #: Entities of a permutation test: its two tables of pairs go to every task.
@@ -219,64 +220,66 @@ def mantel(visual: DataFrame, path: DataFrame, count: int) -> DataFrame:
 def upgma(pairs: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
     """(step, left, right, height, size): average-linkage merges of a distance table (a, b, d).
 
-    The whole matrix is one group, so more than ``most`` entities are refused. The closest pair merges first, on a
-    tie the pair of smallest labels; a merge is named by its step.
+    In each round all pairs that are each other's nearest merge at once, by a minimum over the pairs and joins; with
+    average linkage that gives the merges of one at a time. Of equal distances the pair first in
+    hashed order is the nearer, so that ties do not merge one after another. A cluster is known by its smallest label until the merges are numbered by height; ``left`` and ``right``
+    are a label or ``#`` and the step that made the cluster. At most ``most`` entities, as for every distance table.
     """
-    keys = pairs.select("a").union(pairs.select("b")).distinct()
+    keys = durable(pairs.select("a").union(pairs.select("b")).distinct())
     checked(keys, most)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {k: i for i, k in enumerate(labels)}
-        d = np.full((len(labels), len(labels)), np.inf)
-        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-        d[i, j] = d[j, i] = pdf["d"].to_numpy()
-        name, size, rows = list(map(str, labels)), np.ones(len(labels)), []
-        for step in range(len(labels) - 1):
-            k = int(np.argmin(d))
-            x, y = sorted(divmod(k, len(labels)))
-            rows.append((step, name[x], name[y], float(d[x, y]), int(size[x] + size[y])))
-            joined = (d[x] * size[x] + d[y] * size[y]) / (size[x] + size[y])
-            d[x], d[:, x] = joined, joined
-            d[x, x] = np.inf
-            d[y], d[:, y] = np.inf, np.inf
-            name[x], size[x] = f"#{step}", size[x] + size[y]
-        return pd.DataFrame(rows, columns=["step", "left", "right", "height", "size"])
-
-    return pairs.select("a", "b", "d", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "step int, left string, right string, height double, size int")
-
-
-def leaf_order(merges: list[tuple]) -> list[str]:
-    """Leaves from left to right of a list of ``upgma`` rows."""
-    parts: dict[str, list[str]] = {}
-    last = ""
-    for step, left, right, *_ in merges:
-        last = f"#{step}"
-        parts[last] = parts.pop(left, [left]) + parts.pop(right, [right])
-    return parts.get(last, [])
-
-
-def to_newick(merges: list[tuple]) -> str:
-    """Tree text of a list of ``upgma`` rows; each child's branch is half the merge's height less its own height."""
-    text, height = {}, {}
-    last = ""
-    for step, left, right, h, *_ in merges:
-        last = f"#{step}"
-        text[last] = "(" + ",".join(f"{text.pop(c, c.replace(' ', '_').replace('.', ''))}:{h / 2 - height.get(c, 0.0):g}" for c in (left, right)) + ")"
-        height[last] = h / 2
-    return text.get(last, "") + ";"
-
-
-def facing_leaves(first: list[str], second: list[str]) -> list[tuple[str, int, int, bool]]:
-    """(leaf, place in the first order, place in the second, same height) of the leaves that two orders share."""
-    kept = [[leaf for leaf in order if leaf in set(other)] for order, other in ((first, second), (second, first))]
-    at = {leaf: i for i, leaf in enumerate(kept[1])}
-    return [(leaf, i, at[leaf], i == at[leaf]) for i, leaf in enumerate(kept[0])]
-
-
-def reordered(pairs: DataFrame, order: list[str]) -> DataFrame:
-    """(row, column, d) of a distance table with rows and columns at their places in a leaf order, diagonal included."""
-    places = pairs.sparkSession.createDataFrame(list(zip(order, range(len(order)))), "k string, place int")
-    both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).union(places.select("k", "k", F.lit(0.0)))
-    left, right = places.select(F.col("k").alias("a"), F.col("place").alias("row")), places.select(F.col("k").alias("b"), F.col("place").alias("column"))
+    sizes = keys.select(F.col("a").cast("string").alias("k"), F.lit(1).cast("long").alias("n"))
+    near = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "d")
+    near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d"))
+    sizes, merges = stored(sizes), []
+    while not near.isEmpty():
+        # Both directions have the one number of their pair.
+        both = near.union(near.select("b", "a", "d"))
+        order = F.struct("d", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        best = both.groupBy("a").agg(F.min(order).alias("m")).select("a", F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), F.col("m.d").alias("d"))
+        mutual = stored(best.groupBy("lo", "hi", "d").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("lo", "hi", "d"))
+        of = lambda side, n, sizes=sizes: sizes.select(F.col("k").alias(side), F.col("n").alias(n))
+        merges.append(mutual.join(of("lo", "nl"), "lo").join(of("hi", "nr"), "hi").select("lo", "hi", "d", "nl", "nr"))
+        named = mutual.select(F.col("hi").alias("k"), F.col("lo").alias("into"))
+        into = stored(sizes.join(named, "k", "left").select("k", F.coalesce("into", "k").alias("into"), "n"))
+        ends = lambda side, into=into: into.select(F.col("k").alias(side), F.col("into").alias(f"{side}_into"), F.col("n").alias(f"{side}_n"))
+        weight = F.col("a_n") * F.col("b_n")
+        moved = near.join(ends("a"), "a").join(ends("b"), "b").where("a_into <> b_into")
+        near = stored(moved.groupBy(F.least("a_into", "b_into").alias("a"), F.greatest("a_into", "b_into").alias("b")).agg((F.sum(F.col("d") * weight) / F.sum(weight)).alias("d")))
+        sizes = stored(into.groupBy(F.col("into").alias("k")).agg(F.sum("n").alias("n")))
+    if not merges:
+        return keys.where("false").select(*[F.lit(None).cast(t).alias(n) for n, t in (("step", "int"), ("left", "string"), ("right", "string"), ("height", "double"), ("size", "long"))])
+    every = stored(reduce(DataFrame.unionByName, merges).withColumn("size", F.col("nl") + F.col("nr")).withColumn("all_", F.lit(1)))
+    placed = stored(row_index(every, ["all_"], [F.col("d"), F.col("size"), F.col("lo")]).withColumn("step", F.col("place").cast("int")))
+    made = lambda side, n, name: placed.select(F.col("lo").alias(side), F.col("size").alias(n), F.concat(F.lit("#"), F.col("step").cast("string")).alias(name))
+    named = placed.drop("size").join(made("lo", "nl", "left"), ["lo", "nl"], "left").join(made("hi", "nr", "right"), ["hi", "nr"], "left")
+    return named.select("step", F.coalesce("left", "lo").alias("left"), F.coalesce("right", "hi").alias("right"), F.col("d").alias("height"), (F.col("nl") + F.col("nr")).alias("size"))
+
+
+def merge_nodes(merges: DataFrame) -> DataFrame:
+    """(node, parent, side, label, length, name): the tree of ``upgma`` merges, each branch half the merge's height less its own.
+
+    Merges are numbered by their step; leaves come after them, in the order of their labels.
+    """
+    child = merges.select("step", F.col("height"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("name")), F.struct(F.lit(1).alias("side"), F.col("right").alias("name")))).alias("c"))
+    below = child.select(F.col("step").alias("parent"), "height", "c.side", "c.name")
+    own = merges.select(F.concat(F.lit("#"), F.col("step").cast("string")).alias("name"), F.col("step").alias("node"), F.col("height").alias("own"))
+    leaf = row_index(below.where("not startswith(name, '#')").withColumn("all_", F.lit(1)), ["all_"], [F.col("name")])
+    count = merges.agg(F.count(F.lit(1)).alias("steps"))
+    leaves = leaf.join(F.broadcast(count)).select((F.col("steps") + F.col("place")).cast("int").alias("node"), "parent", "side", F.col("name").alias("label"), (F.col("height") / 2).alias("length"))
+    inner = own.join(below, "name", "left").select("node", "parent", F.coalesce("side", F.lit(0)).alias("side"), F.lit(None).cast("string").alias("label"), F.coalesce((F.col("height") - F.col("own")) / 2, F.lit(0.0)).alias("length"))
+    return leaves.unionByName(inner)
+
+
+def reordered(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """(row, column, d) of a distance table with rows and columns at the ``places`` (label, place) of a leaf order, diagonal included."""
+    both = ordered_pairs(pairs).union(places.select("label", "label", F.lit(0.0)))
+    left, right = places.select(F.col("label").alias("a"), F.col("place").alias("row")), places.select(F.col("label").alias("b"), F.col("place").alias("column"))
     return both.join(left, "a").join(right, "b").select("row", "column", "d")
+
+
+def facing_leaves(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(label, first, second, same): places of the leaves that two orders (label, place) share, counted among these only."""
+    both = durable(first.select("label", F.col("place").alias("p")).join(second.select("label", F.col("place").alias("q")), "label").withColumn("all_", F.lit(1)))
+    one = row_index(both, ["all_"], [F.col("p")]).select("label", F.col("place").cast("int").alias("first"))
+    two = row_index(both, ["all_"], [F.col("q")]).select("label", F.col("place").cast("int").alias("second"))
+    return one.join(two, "label").select("label", "first", "second", (F.col("first") == F.col("second")).alias("same"))

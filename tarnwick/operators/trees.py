@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.operators.matrix import checked, entity_pairs
+from tarnwick.operators.ranking import row_index
 from tarnwick.session import durable
 
 
@@ -89,6 +90,38 @@ def lineages(nodes: DataFrame) -> DataFrame:
     return level.select("node", "way")
 
 
+def leaf_places(nodes: DataFrame) -> DataFrame:
+    """(label, place): the tips from left to right; the children of a node are ordered by ``side``, then by node."""
+    inner = nodes.select(F.col("node").alias("at"), F.col("side").alias("turn"))
+    way = lineages(nodes).select("node", F.posexplode("way").alias("level", "step"))
+    turns = way.join(inner, F.col("step.node") == F.col("at")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("level", "turn", "at"))).alias("turns"))
+    ends = tips(nodes).where("label is not null").select("node", "label").join(turns, "node").withColumn("all_", F.lit(1))
+    return row_index(ends, ["all_"], [F.col("turns")]).select("label", F.col("place").cast("int").alias("place"))
+
+
+def newick(nodes: DataFrame) -> DataFrame:
+    """(text): the tree as one text, children by ``side``; blanks of a label become underscores, full stops go.
+
+    A round writes all nodes whose children are written, so there are as many rounds as levels. A tree's text is one
+    value, so at most as many nodes as ``checked`` allows.
+    """
+    checked(nodes.where("label is not null"))
+    own = nodes.select("node", "parent", "side", F.translate(F.translate("label", " ", "_"), ".", "").alias("label"), F.regexp_replace(F.round(F.coalesce("length", F.lit(0.0)), 9).cast("string"), r"\.0$", "").alias("length"))
+    open_nodes = durable(own)
+    with_children = nodes.select("parent").where("parent is not null").distinct()
+    written = durable(own.join(with_children.withColumnRenamed("parent", "node"), "node", "left_anti").select("node", "label"))
+    while True:
+        placed = written.withColumnRenamed("label", "text").join(open_nodes.select("node", "parent", "side", "length"), "node")
+        total = nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+        whole = placed.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("side", "node", F.concat("text", F.lit(":"), "length").alias("t")))).alias("parts")).join(total, "parent").where("n = children")
+        fresh = whole.select(F.col("parent").alias("node"), F.concat(F.lit("("), F.array_join(F.transform("parts", lambda x: x["t"]), ","), F.lit(")")).alias("label"))
+        done = whole.select("parent")
+        rest = placed.join(done, "parent", "left_anti").select("node", F.col("text").alias("label"))
+        if whole.isEmpty():
+            return written.select(F.concat("label", F.lit(";")).alias("text"))
+        written = durable(rest.unionByName(fresh))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, length): every node with itself and all nodes above it, and the length of the way up."""
     way = lineages(nodes).select("node", F.explode("way").alias("step"), F.element_at("way", -1)["depth"].alias("depth"))

@@ -16,7 +16,7 @@ from tarnwick.operators import matrix as M
 from tarnwick.operators import ranking as R
 from tarnwick.operators import trees as T
 from tarnwick.operators import validation as V
-from tarnwick.session import shared_folder, table
+from tarnwick.session import durable, shared_folder, table
 from tarnwick.sources import readers, sinks
 from tarnwick.streaming import gates
 
@@ -678,10 +678,35 @@ def principal_distances(spark, d):
     return M.principal_distances(means, "genus", "mean", 24)
 
 
+def _linked(spark, d):
+    return M.upgma(M.distances(_genera(spark, d, "gabor"), "genus", "mean"))
+
+
 @query
 def average_linkage(spark, d):
     """Rows only: average-linkage merges of the genera."""
-    return M.upgma(M.distances(_genera(spark, d, "gabor"), "genus", "mean"))
+    return _linked(spark, d)
+
+
+@query
+def linkage_order(spark, d):
+    """Rows only: the genera in the order of the leaves of their merges, facing their order by name."""
+    places = T.leaf_places(M.merge_nodes(durable(_linked(spark, d))))
+    by_name = R.row_index(places.select("label").withColumn("all_", F.lit(1)), ["all_"], [F.col("label")]).select("label", F.col("place").cast("int").alias("place"))
+    return M.facing_leaves(places, by_name)
+
+
+@query
+def reordered_distances(spark, d):
+    """Rows only: the square matrix of the genera with rows and columns in the order of the leaves."""
+    pairs = durable(M.distances(_genera(spark, d, "gabor"), "genus", "mean"))
+    return M.reordered(pairs, T.leaf_places(M.merge_nodes(durable(M.upgma(pairs)))))
+
+
+@query
+def linkage_tree(spark, d):
+    """Rows only: the merges of the genera as one tree text."""
+    return T.newick(durable(M.merge_nodes(durable(_linked(spark, d)))))
 
 
 @query

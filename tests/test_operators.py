@@ -169,9 +169,36 @@ def test_mantel_of_a_table_with_itself(spark):
 
 def test_linkage_and_tree_text(spark):
     pairs = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 6.0), ("b", "c", 8.0)], "a string, b string, d double")
-    merges = [tuple(r) for r in M.upgma(pairs).orderBy("step").collect()]
-    assert merges == [(0, "a", "b", 2.0, 2), (1, "#0", "c", 7.0, 3)]
-    assert M.leaf_order(merges) == ["a", "b", "c"] and M.to_newick(merges) == "((a:1,b:1):2.5,c:3.5);"
+    merges = M.upgma(pairs).cache()
+    assert [tuple(r) for r in merges.orderBy("step").collect()] == [(0, "a", "b", 2.0, 2), (1, "#0", "c", 7.0, 3)]
+    nodes = M.merge_nodes(merges).cache()
+    assert T.newick(nodes).first()["text"] == "((a:1,b:1):2.5,c:3.5);"
+    places = {r["label"]: r["place"] for r in T.leaf_places(nodes).collect()}
+    assert places == {"a": 0, "b": 1, "c": 2}
+    cells = {(r["row"], r["column"]): r["d"] for r in M.reordered(pairs, spark.createDataFrame([("a", 2), ("b", 0), ("c", 1)], "label string, place int")).collect()}
+    assert cells[0, 1] == cells[1, 0] == 8.0 and cells[2, 2] == 0.0 and len(cells) == 9
+    facing = M.facing_leaves(spark.createDataFrame([("a", 4), ("b", 9), ("x", 5)], "label string, place int"), spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "label string, place int"))
+    assert {tuple(r) for r in facing.collect()} == {("a", 0, 1, False), ("b", 1, 0, False)}
+    assert M.upgma(pairs.where("false")).count() == 0
+
+
+def test_linkage_against_one_merge_at_a_time(spark):
+    rng = np.random.default_rng(12)
+    x = rng.random((14, 2))
+    names = [f"k{i:02d}" for i in range(14)]
+    pairs = [(names[i], names[j], float(np.linalg.norm(x[i] - x[j]))) for i in range(14) for j in range(i + 1, 14)]
+    groups = {k: [k] for k in names}
+    d = {frozenset(p[:2]): p[2] for p in pairs}
+    want = []
+    while len(groups) > 1:
+        mean = lambda a, b: np.mean([d[frozenset((p, q))] for p in groups[a] for q in groups[b]])
+        h, a, b = min((round(mean(a, b), 9), a, b) for a in groups for b in groups if a < b)
+        groups[a] = groups[a] + groups.pop(b)
+        want.append((h, len(groups[a])))
+    got = M.upgma(spark.createDataFrame(pairs, "a string, b string, d double")).orderBy("step").collect()
+    assert len(got) == 13 and sorted(round(r["height"], 6) for r in got) == pytest.approx(sorted(round(h, 6) for h, _ in want)) and got[-1]["size"] == 14
+    tied = M.upgma(spark.createDataFrame([(a, b, 1.0) for a, b, _ in pairs], "a string, b string, d double"))
+    assert tied.count() == 13 and tied.where("height = 1").count() == 13
 
 
 def test_paths_prune_and_splits(spark):
