@@ -195,10 +195,12 @@ def mantel(visual: DataFrame, path: DataFrame, count: int) -> DataFrame:
     visual table are permuted together. A table whose values do not vary has r NaN and p 1.
     """
     spark = visual.sparkSession
-    both = durable(visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"]))
-    names = checked(both.select(F.col("a").alias("k")).union(both.select("b")).distinct(), MOST_PERMUTED)
-    keys = sorted(r["k"] for r in names.collect())
-    table = both.orderBy("a", "b").toPandas()
+    both = visual.select("a", "b", F.col("d").alias("v")).join(path.select("a", "b", F.col("d").alias("p")), ["a", "b"])
+    most = MOST_PERMUTED * (MOST_PERMUTED - 1) // 2
+    table = both.limit(most + 1).toPandas().sort_values(["a", "b"])
+    keys = sorted({*table["a"], *table["b"]})
+    if len(keys) > MOST_PERMUTED or len(table) > most:
+        raise ValueError(f"more than {MOST_PERMUTED} entities: reduce the records to groups first")
     at = {k: i for i, k in enumerate(keys)}
     sides = [table[c].map(at).to_numpy(np.int64) for c in ("a", "b")]
     held = Permuted([str(k) for k in keys], *sides, *[table[c].to_numpy(np.float64) for c in ("v", "p")])

@@ -79,14 +79,16 @@ def lineages(nodes: DataFrame) -> DataFrame:
     # The root's own length belongs to no way between two nodes.
     step = F.struct(F.col("node").alias("node"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("depth"))
     level = durable(nodes.select("node", F.col("parent").alias("up"), F.array(step).alias("way")))
-    rounds, most = 0, math.ceil(math.log2(max(2, level.count()))) + 1
-    while not level.where("up is not null").isEmpty():
+    state = lambda df: df.agg(F.count(F.lit(1)), F.count("up")).first()
+    count, still = state(level)
+    rounds, most = 0, math.ceil(math.log2(max(2, count))) + 1
+    while still:
         if rounds == most:
             raise ValueError("the parents of a node lead back to it")
         above = level.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("way").alias("upper"))
         deeper = F.transform("way", lambda x: F.struct(x["node"].alias("node"), (x["depth"] + F.element_at("upper", -1)["depth"]).alias("depth")))
         level = durable(level.join(above, "up", "left").select("node", F.col("next").alias("up"), F.when(F.col("upper").isNull(), F.col("way")).otherwise(F.concat("upper", deeper)).alias("way")))
-        rounds += 1
+        rounds, (_, still) = rounds + 1, state(level)
     return level.select("node", "way")
 
 
