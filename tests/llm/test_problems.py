@@ -232,6 +232,16 @@ def test_groups_and_splits(spark):
     assert abs(shares["train"] - 0.7) < 0.02 and abs(shares["test"] - 0.15) < 0.02
 
 
+def test_splits_of_the_tables_keep_groups_whole_and_their_shares(spark):
+    from tarnwick.llm.queries import SHARES, p4_splits
+
+    rows = p4_splits(spark, "/root/testdata/sf0.01").cache()
+    assert rows.count() == rows.select("image_id").distinct().count() > 4_000
+    assert rows.groupBy("group_key").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    found = {r["split"]: r["count"] / rows.count() for r in rows.groupBy("split").count().collect()}
+    assert all(abs(found[name] - share) < 0.02 for name, share in SHARES.items())
+
+
 # 5
 
 
