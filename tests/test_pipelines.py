@@ -39,6 +39,8 @@ def test_statistics_and_report(spark):
 
 
 def test_leaf_orders(spark):
-    assert matrix.facing_leaves(["a", "b", "c"], ["b", "x", "c", "a"]) == [("a", 0, 2, False), ("b", 1, 0, False), ("c", 2, 1, False)]
+    order = lambda labels: spark.createDataFrame(list(zip(labels, range(len(labels)))), "label string, place int")
+    facing = matrix.facing_leaves(order(["a", "b", "c"]), order(["b", "x", "c", "a"]))
+    assert {tuple(r) for r in facing.collect()} == {("a", 0, 2, False), ("b", 1, 0, False), ("c", 2, 1, False)}
     pairs = spark.createDataFrame([("a", "b", 2.0)], "a string, b string, d double")
-    assert {tuple(r) for r in matrix.reordered(pairs, ["b", "a"]).collect()} == {(0, 0, 0.0), (1, 1, 0.0), (0, 1, 2.0), (1, 0, 2.0)}
+    assert {tuple(r) for r in matrix.reordered(pairs, order(["b", "a"])).collect()} == {(0, 0, 0.0), (1, 1, 0.0), (0, 1, 2.0), (1, 0, 2.0)}
